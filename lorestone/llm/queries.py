@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestone.llm import mixing, sharding
+from lorestone.llm import mixing, neardup, sharding
 from lorestone.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op5_sharding)}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.neardup_report(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op5_sharding, op10_neardup)}
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op10_neardup": neardup.OP10_SQL}
