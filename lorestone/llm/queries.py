@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestone.llm import mixing, neardup, sharding
+from lorestone.llm import decontaminate, mixing, neardup, sharding
 from lorestone.llm.common import table
 
 
@@ -18,10 +18,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.neardup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op5_sharding, op10_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op5_sharding, op8_decontaminate, op10_neardup)}
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op10_neardup": neardup.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op10_neardup": neardup.OP10_SQL}
