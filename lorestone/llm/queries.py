@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestone.llm import decontaminate, media, mixing, neardup, secrets, sharding
+from lorestone.llm import decontaminate, media, mixing, neardup, quality, secrets, sharding
 from lorestone.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.neardup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_secrets, op5_sharding, op7_media, op8_decontaminate, op10_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_secrets, op4_quality, op5_sharding, op7_media, op8_decontaminate, op10_neardup)}
 
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op10_neardup": neardup.OP10_SQL}
