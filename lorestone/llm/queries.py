@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestone.llm import decontaminate, media, mixing, neardup, quality, secrets, sharding
+from lorestone.llm import decontaminate, media, mixing, neardup, quality, secrets, sharding, toxicity
 from lorestone.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,6 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.neardup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_secrets, op4_quality, op5_sharding, op7_media, op8_decontaminate, op10_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_secrets, op4_quality, op5_sharding, op7_media, op8_decontaminate, op10_neardup)}
 
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op10_neardup": neardup.OP10_SQL}
