@@ -1,8 +1,56 @@
-"""The corpus pipeline; filled in as its operators arrive."""
+"""From raw documents to sharded training data: five stages, each written before the next reads it."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lorestone.llm import decontaminate, mixing, neardup, sharding, toxicity
+from lorestone.llm.common import materialize, table
+
+SHARDS = 8
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates, five-word shingles being alike by 0.8 or more, the document of the least id."""
+    return neardup.keep_one(docs, neardup.Setup(words=5, percent=80))
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; those that mostly are such passages go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks for."""
+    return mixing.emit(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and their place in it."""
+    return sharding.shard_documents(docs, SHARDS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", keep_one_of_each_group),
+    ("benchmark decontamination", remove_benchmark),
+    ("mixing to target weights", mix_sources),
+    ("sharding", shard),
+]
+
+#: The first stage's model is trained, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestone.llm import decontaminate, media, mixing, neardup, quality, secrets, sharding, toxicity
+from lorestone.llm import decontaminate, language, media, mixing, neardup, quality, secrets, sharding, toxicity
 from lorestone.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,9 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.neardup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_secrets, op4_quality, op5_sharding, op7_media, op8_decontaminate, op10_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+        op1_mixing, op2_toxicity, op3_secrets, op4_quality, op5_sharding, op6_language, op7_media, op8_decontaminate, op10_neardup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op10_neardup": neardup.OP10_SQL}

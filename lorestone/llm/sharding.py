@@ -118,11 +118,12 @@ def with_slots(rows: DataFrame) -> DataFrame:
     return rows.withColumn("inside", inside).join(starts, ["node", "part"]).withColumn("slot", (F.col("start") + F.col("inside")).cast("long"))
 
 
-def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """Shard and slot of every document, for so many shards or leaves of so many bytes."""
+def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Shard (``node``) and slot of every document, for so many shards or leaves of so many bytes."""
     text = F.col("text")
     narrow = docs.select(
         "doc_id",
+        *carry,
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
@@ -135,5 +136,13 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     return with_slots(kd_assign(rows, list(text_metadata(text)), shards))
 
 
+def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``. Rows get a number of their own first, as ids may repeat."""
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    full = materialize(docs.select(*columns, F.monotonically_increasing_id().alias("__row")))
+    placed = shard(full, shards, target_bytes, ["__row"]).select("__row", F.col("node").cast("int").alias("shard"), "slot")
+    return full.join(placed, "__row").select(*columns, "shard", "slot")
+
+
 def shard_report(docs: DataFrame, shards: int = 8) -> DataFrame:
     return shard(docs, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("node").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
