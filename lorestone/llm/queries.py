@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestone.llm import decontaminate, language, media, mixing, neardup, quality, secrets, sharding, toxicity
+from lorestone.llm import decontaminate, language, lmscore, media, mixing, neardup, quality, secrets, sharding, toxicity
 from lorestone.llm.common import table
 
 
@@ -42,12 +42,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.lmscore_report(table(spark, sf_dir, "documents"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.neardup_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-        op1_mixing, op2_toxicity, op3_secrets, op4_quality, op5_sharding, op6_language, op7_media, op8_decontaminate, op10_neardup,
+        op1_mixing, op2_toxicity, op3_secrets, op4_quality, op5_sharding, op6_language, op7_media, op8_decontaminate, op9_lmscore, op10_neardup,
     )
 }
 
