@@ -1,10 +1,432 @@
-"""Registered queries over the driver's tables, each with its SQL."""
+"""Registered queries over the driver's tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lorestone.functions import text as tx
+from lorestone.operators import chunks, graph, incremental, search, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The search's query: one row, by a pushed-down filter."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+
+
+def vectors_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    return v.join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
+DISTANCE = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6)"
+NEAR = f"from embeddings e cross join (select embedding from embeddings where vec_id = 0) q"
+
+
+@query(f"select e.vec_id, {DISTANCE} as distance, round(1 / (1 + {DISTANCE}), 6) as score {NEAR} order by distance, vec_id limit 10")
+def search_topk(spark, sf_dir):  # F1 B16 H17
+    hits = search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), "vec_id", 10, "embedding")
+    return hits.select("vec_id", "distance", "score")
+
+
+@query(f"select d.doc_id, {DISTANCE} as distance, round(1 / (1 + {DISTANCE}), 6) as score, substring(d.text, 1, 200) as excerpt {NEAR} join documents d on d.doc_id = e.vec_id where d.lang = 'en' order by distance, d.doc_id limit 10")
+def search_filtered(spark, sf_dir):  # M1 C14 F9
+    rows = vectors_with_documents(spark, sf_dir).filter("lang = 'en'")
+    hits = search.top_k(rows, first_vector(spark, sf_dir), "doc_id", 10, "embedding")
+    return hits.select("doc_id", "distance", "score", search.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("""select doc_id, source from documents where '["' || source || '","' || lang || '"]' like '%rc1%'""")
+def search_label_like(spark, sf_dir):  # B5: substring of the labels' JSON
+    labels = F.to_json(F.array("source", "lang"))
+    return table(spark, sf_dir, "documents").filter(search.label_like(labels, "rc1")).select("doc_id", "source")
+
+
+@query(f"""with hits as (select e.vec_id, d.source, {DISTANCE} as distance {NEAR} join documents d on d.doc_id = e.vec_id order by distance, e.vec_id limit 50)
+select source, vec_id as doc_id, distance from hits qualify row_number() over (partition by source order by distance, vec_id) = 1""")
+def search_documents_dedup(spark, sf_dir):  # M2 E1
+    hits = search.top_k(vectors_with_documents(spark, sf_dir), first_vector(spark, sf_dir), "doc_id", 50, "embedding")
+    return search.best_per_document(hits, "source", "doc_id").select("source", "doc_id", "distance")
+
+
+@query("select count(*) as chunk_count, count(distinct conv_id) as document_count from conversations")
+def chunk_and_document_count(spark, sf_dir):  # D1 D2
+    return table(spark, sf_dir, "conversations").agg(F.count("*").alias("chunk_count"), F.count_distinct("conv_id").alias("document_count"))
+
+
+@query("select conv_id, count(*) as chunk_count, arg_min(role, turn) as role from conversations group by conv_id")
+def list_documents(spark, sf_dir):  # D3 M3
+    return chunks.list_documents(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role"])
+
+
+@query("select conv_id, string_agg(text, chr(10) || chr(10) order by turn, text) as content, count(*) as chunk_count from conversations group by conv_id")
+def get_document(spark, sf_dir):  # D4 F2
+    return chunks.get_document(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("select conv_id, string_agg(text, chr(10) || chr(10) order by turn, text) as content, count(*) as chunk_count from conversations where role = 'assistant' group by conv_id")
+def get_section(spark, sf_dir):  # D6 B3
+    return chunks.get_document(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", F.col("role") == "assistant")
+
+
+@query("select doc_id from documents where list_has_all([lang, source], ['en', 'src3'])")
+def list_documents_all_labels(spark, sf_dir):  # B6 G6
+    return table(spark, sf_dir, "documents").filter(search.has_labels(F.array("lang", "source"), ["en", "src3"])).select("doc_id")
+
+
+@query("""select doc_id, len(regexp_extract_all(text, '\\S+'))::int as token_count, coalesce(nullif(source, 'src0'), 'Document') as title from documents""")
+def document_metadata(spark, sf_dir):  # B20 B21 H39
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.word_count(F.col("text")).alias("token_count"), F.coalesce(F.nullif("source", F.lit("src0")), F.lit("Document")).alias("title"))
+
+
+MD = """select conv_id, turn, role, (case when turn % 3 = 2 then '### ' else '## ' end) || role || chr(10) || chr(10)
+  || (case when turn % 5 = 4 then '```' || chr(10) || text || chr(10) || '```' else text end)
+  || (case when (conv_id + turn) % 7 = 6 then chr(10) || chr(10) || '| a | b |' || chr(10) else '' end) as md,
+  case when turn % 3 = 2 then 3 else least(turn % 3 + 1, 2) end as lvl from conversations"""
+
+
+def markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, turn = table(spark, sf_dir, "conversations"), F.col("turn")
+    body = F.when(turn % 5 == 4, F.concat(F.lit("```\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    grid = F.when((F.col("conv_id") + turn) % 7 == 6, "\n\n| a | b |\n").otherwise("")
+    md = F.concat(F.when(turn % 3 == 2, "### ").otherwise("## "), "role", F.lit("\n\n"), body, grid)
+    return c.select("conv_id", "turn", "role", md.alias("md"), F.when(turn % 3 == 2, 3).otherwise(F.least(turn % 3 + 1, F.lit(2))).cast("int").alias("lvl"))
+
+
+@query(f"""select conv_id, turn, case when contains(md, '```') and regexp_matches(md, '(?m)^\\|.*\\|') then 'mixed' when contains(md, '```') then 'code'
+  when regexp_matches(md, '(?m)^\\|.*\\|') then 'table' else 'text' end as content_type from ({MD})""")
+def content_type(spark, sf_dir):  # H7
+    return markdown_view(spark, sf_dir).select("conv_id", "turn", tx.content_type(F.col("md")).alias("content_type"))
+
+
+@query("select doc_id, length(text) // 4 as tokens, length(text) // 4 > 1900 as over_budget from documents")
+def token_estimate(spark, sf_dir):  # H1
+    tokens = tx.token_estimate(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"), (tokens > tx.TOKEN_BUDGET).alias("over_budget"))
+
+
+@query("""select doc_id, (generate_subscripts(p, 1) - 1)::int as part, unnest(p) as content from (
+  select doc_id, list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+'), lambda x: trim(x, chr(10) || ' ') <> '') as p from documents)""")
+def split_paragraphs(spark, sf_dir):  # H2
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(tx.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("part", "content"))
+
+
+@query("""select doc_id, (generate_subscripts(p, 1) - 1)::int as part, unnest(p) as content from (
+  select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(10) || ' ') <> '') as p from documents)""")
+def split_sentences(spark, sf_dir):  # H3
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("part", "content"))
+
+
+@query("""select doc_id, i::int as part, substring(text, i * 7600 + 1, 7600) as content from documents, lateral (select unnest(range(0, (length(text) + 7599) // 7600)) as i)""")
+def hard_split(spark, sf_dir):  # H5 E8
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.hard_split(F.col("text"))).alias("part", "content"))
+
+
+@query("""with recursive base as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(10) || ' ') <> '') as p from documents),
+fold(doc_id, p, i, part, used) as (
+  select doc_id, p, 1, 0, length(p[1]) // 4 from base where len(p) > 0
+  union all
+  select doc_id, p, i + 1, case when used + length(p[i + 1]) // 4 > 1900 then part + 1 else part end,
+    case when used + length(p[i + 1]) // 4 > 1900 then length(p[i + 1]) // 4 else used + length(p[i + 1]) // 4 end from fold where i < len(p))
+select doc_id, part::int as part, string_agg(p[i], ' ' order by i) as content from fold group by doc_id, part""")
+def merge_sentences(spark, sf_dir):  # H4 E6: a fold whose sum starts anew
+    merged = tx.greedy_merge(tx.sentences(F.col("text")), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(merged).alias("part", "content"))
+
+
+@query()
+def resplit(spark, sf_dir):  # H6: checked against a model in Python by the tests
+    d = table(spark, sf_dir, "documents")
+    parts = d.select("doc_id", F.posexplode(tx.resplit(F.col("text"))).alias("part", "content"))
+    return parts.withColumn("part_id", tx.short_hash(F.col("doc_id").cast("string"), F.concat(F.lit("#part-"), (F.col("part") + 1).cast("string"))))
+
+
+@query("select doc_id, substring(sha256(source || ':' || lang || ':' || doc_id::varchar), 1, 16) as chunk_id from documents")
+def chunk_ids(spark, sf_dir):  # H8
+    return table(spark, sf_dir, "documents").select("doc_id", tx.short_hash(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("chunk_id"))
+
+
+@query(f"""select conv_id, turn, crumb, case when crumb = 'Document' then 1 else least(len(string_split(crumb, ' > ')), 3) end::int as level from (
+  select conv_id, turn, case when lvl = 3 then 'Top > user > ' || regexp_extract(md, '(?m)^#+[ \\t]+(.+)', 1) when lvl = 2 then 'Top > ' || regexp_extract(md, '(?m)^#+[ \\t]+(.+)', 1)
+    else regexp_extract(md, '(?m)^#+[ \\t]+(.+)', 1) end as crumb from ({MD})) where true""")
+def breadcrumb_level(spark, sf_dir):  # H9 H10
+    parents = F.when(F.col("lvl") == 3, F.array(F.lit("Top"), F.lit("user"))).when(F.col("lvl") == 2, F.array(F.lit("Top"))).otherwise(F.array().cast("array<string>"))
+    heading = tx.first_heading(F.col("md"))
+    # a heading that repeats its parent is kept here by a mark that goes again
+    crumb = F.replace(tx.breadcrumb(parents, F.concat(heading, F.lit("\x01"))), F.lit("\x01"), F.lit(""))
+    return markdown_view(spark, sf_dir).select("conv_id", "turn", crumb.alias("crumb")).withColumn("level", tx.level(F.col("crumb")).cast("int"))
+
+
+@query(f"""select conv_id, turn, case when lvl = 3 then last_value(case when lvl = 2 then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) end as parent_turn from ({MD})""")
+def parent_assignment(spark, sf_dir):  # E3
+    return chunks.with_parent(markdown_view(spark, sf_dir), "conv_id", "turn", "lvl", "turn").select("conv_id", "turn", F.col("parent_chunk_id").alias("parent_turn"))
+
+
+@query(f"""with g as (select *, sum(case when lvl <= 2 then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as grp, row_number() over (partition by conv_id order by turn) as rn from ({MD}))
+select conv_id, min(turn) as turn, string_agg(md, chr(10) || chr(10) order by turn) as content from g group by conv_id, case when grp = 0 then -rn else grp end""")
+def merge_level_3(spark, sf_dir):  # E4
+    rows = chunks.merge_level_3(markdown_view(spark, sf_dir), "conv_id", "turn", "lvl", "md")
+    return rows.select("conv_id", "turn", F.col("md").alias("content"))
+
+
+@query(f"""with v as (select * from ({MD})) select a.conv_id, a.turn, (select max(b.turn) from v b where b.conv_id = a.conv_id and b.turn < a.turn and b.lvl < a.lvl) as parent from v a""")
+def section_tree(spark, sf_dir):  # E5
+    return chunks.section_parent(markdown_view(spark, sf_dir), "conv_id", "turn", "lvl", "turn").select("conv_id", "turn", "parent")
+
+
+@query("""with old as (select doc_id, case when doc_id % 7 = 0 then 'x' else sha256(text) end as h, case when doc_id % 5 = 0 then 1 else 0 end as m from documents where doc_id % 3 <> 0
+  union all select doc_id + 1000000, sha256(text), 0 from documents where doc_id % 11 = 0),
+new as (select doc_id, sha256(text) as h, 0 as m from documents)
+select coalesce(n.doc_id, o.doc_id) as path, case when n.doc_id is null then 'deleted' when o.doc_id is null then 'new' when n.m = o.m then 'same_time' when n.h = o.h then 'same_content' else 'changed' end as state
+from new n full join old o using (doc_id)""")
+def discover_diff(spark, sf_dir):  # C1 C2 A3
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("content_hash"))
+    old = d.filter("path % 3 <> 0").select("path", F.when(F.col("path") % 7 == 0, "x").otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("path") % 5 == 0, 1).otherwise(0).alias("mtime"))
+    gone = d.filter("path % 11 = 0").select((F.col("path") + 1_000_000).alias("path"), "content_hash", F.lit(0).alias("mtime"))
+    return incremental.diff_files(d.withColumn("mtime", F.lit(0)), old.unionByName(gone))
+
+
+RULES = (
+    incremental.Rule("drafts", "https://*/**/draft*", exclude=True),
+    incremental.Rule("example", "https://*.example.com/**/*"),
+    incremental.Rule("secure", "https://**"),
+    incremental.Rule("rest", "**"),
+)
+
+
+@query("""select page_id, case when regexp_full_match(url, 'https://[^/]*\\.example\\.com/(.*/)?[^/]*') then 'example' when regexp_full_match(url, 'https://.*') then 'secure' else 'rest' end as rule
+from pages where not regexp_full_match(url, 'https://[^/]*/(.*/)?draft[^/]*')""")
+def first_match_rule(spark, sf_dir):  # B7 B8 B9
+    return incremental.assign_rules(table(spark, sf_dir, "pages"), RULES, "url").select("page_id", "rule")
+
+
+@query("""with cache as (select distinct sha256(text) as h from documents where doc_id % 3 <> 0)
+select d.doc_id, sha256(d.text) as content_hash, c.h is not null as hit from documents d left join cache c on c.h = sha256(d.text)""")
+def cache_lookup_split(spark, sf_dir):  # C5 H15 A20
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = d.filter("doc_id % 3 <> 0").select(F.sha2("text", 256).alias("content_hash")).distinct()
+    cache = cache.select("content_hash", F.lit("hash").alias("model"), F.lit(1).alias("dimensions"), F.array(F.lit(0.0)).alias("vector"))
+    return incremental.cache_lookup(d, cache, "hash", 1).select("doc_id", "content_hash", "hit")
+
+
+@query("select event_type as model, count(*) as entries from events group by rollup (event_type)")
+def cache_stats(spark, sf_dir):  # D5
+    return incremental.cache_stats(table(spark, sf_dir, "events").select(F.col("event_type").alias("model")))
+
+
+@query("select event_id from events where ts >= timestamp '2024-01-30' - interval 7 day")
+def cache_prune(spark, sf_dir):  # A23
+    rows = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("accessed_at"))
+    kept = incremental.cache_prune(rows, 7 * 86_400_000, F.unix_millis(F.to_timestamp(F.lit("2024-01-30 00:00:00"))))
+    return kept.select("event_id")
+
+
+@query("""select user_id, sum(case when event_type in ('view', 'click') then 1 else 0 end) as hits, round(sum(case when event_type in ('view', 'click') then 1 else 0 end) / nullif(count(*), 0), 6) as rate
+from events group by user_id""")
+def cache_hit_rate(spark, sf_dir):  # D8
+    hits = F.count_if(F.col("event_type").isin("view", "click"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(hits.alias("hits"), F.round(incremental.hit_rate(hits, F.count("*") - hits), 6).alias("rate"))
+
+
+@query("select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts from events group by user_id, event_type")
+def manifest_latest(spark, sf_dir):  # A17 E7
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    # the winner travels as one struct through partial sums: no sort, and a hot key stays cheap
+    best = e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    return best.select("user_id", "event_type", "m.event_id", "m.ts")
+
+
+@query("select p_partkey, p_name from part where p_brand = (select min(p_brand) from part) and starts_with(p_type, 'S') order by p_partkey limit 50")
+def find_artifacts(spark, sf_dir):  # B11 F3 K4
+    part = table(spark, sf_dir, "part")
+    brand = part.agg(F.min("p_brand")).first()[0]
+    nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.col("p_name"), F.col("p_brand").alias("label"))
+    return graph.find(nodes, name="S", label=brand).select(F.col("id").alias("p_partkey"), "p_name")
+
+
+def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations, customers and orders as nodes, with CONTAINS edges."""
+    r, n, c, o = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    name = lambda p, k: F.concat(F.lit(f"{p}:"), F.col(k).cast("string"))
+    nodes = r.select(name("r", "r_regionkey").alias("id")).union(n.select(name("n", "n_nationkey"))).union(c.select(name("c", "c_custkey"))).union(o.select(name("o", "o_orderkey")))
+    edges = n.select(name("r", "n_regionkey").alias("from_id"), name("n", "n_nationkey").alias("to_id"))
+    edges = edges.union(c.select(name("n", "c_nationkey"), name("c", "c_custkey"))).union(o.select(name("c", "o_custkey"), name("o", "o_orderkey")))
+    return nodes, edges.withColumns({"rel_type": F.lit("CONTAINS"), "kind": F.lit(None).cast("string")})
+
+
+TREE = """edges as (select 'r:' || n_regionkey as f, 'n:' || n_nationkey as t from nation union all select 'n:' || c_nationkey, 'c:' || c_custkey from customer union all select 'c:' || o_custkey, 'o:' || o_orderkey from orders)"""
+
+
+@query(f"""with recursive {TREE}, down(id) as (select 'n:1' union all select e.t from down d join edges e on e.f = d.id) select id from down""")
+def descendants(spark, sf_dir):  # K5 D10 C9
+    nodes, edges = tree(spark, sf_dir)
+    return graph.descendants(nodes, edges, F.col("id") == "n:1", depth=3)
+
+
+@query(f"""with recursive {TREE}, both_ways as (select f as a, t as b from edges union all select t, f from edges),
+walk(id, d) as (select 'n:1', 0 union all select w.b, d + 1 from walk join both_ways w on w.a = walk.id where d < 2)
+select id, min(d)::int as distance from walk group by id order by distance, id limit 200""")
+def neighbors_depth_2(spark, sf_dir):  # K2 K3 F6
+    nodes, edges = tree(spark, sf_dir)
+    return graph.neighbors(nodes, edges, "n:1", depth=2, limit=200)[0]
+
+
+def relates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as RELATES edges, to parts and to suppliers."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    name = lambda p, k: F.concat(F.lit(f"{p}:"), F.col(k).cast("string"))
+    of = lambda to, kind: line.select(name("o", "l_orderkey").alias("from_id"), to.alias("to_id"), F.lit("RELATES").alias("rel_type"), F.lit(kind).alias("kind"), "l_quantity")
+    return of(name("p", "l_partkey"), "references").union(of(name("s", "l_suppkey"), "calls"))
+
+
+RELATES = """rel as (select 'o:' || l_orderkey as from_id, 'p:' || l_partkey as to_id, 'references' as kind, l_quantity from lineitem union all select 'o:' || l_orderkey, 's:' || l_suppkey, 'calls', l_quantity from lineitem)"""
+
+
+@query(f"""with {RELATES}, one as (select from_id, to_id from rel where kind = 'calls' and from_id = 'o:1'), two as (select from_id from rel where kind = 'calls' and to_id in (select to_id from one))
+select id, min(d)::int as distance from (select 'o:1' as id, 0 as d union all select to_id, 1 from one union all select from_id, 2 from two) group by id order by distance, id limit 100""")
+def neighbors_kind(spark, sf_dir):  # K2a
+    edges = graph.selected(relates(spark, sf_dir), kind="calls")
+    ids = edges.select(F.col("from_id").alias("id")).union(edges.select(F.col("to_id").alias("id"))).distinct()
+    return graph.neighbors(ids, edges, "o:1", depth=2, limit=100)[0]
+
+
+@query(f"with {RELATES} select id, count(*) as degree from (select from_id as id from rel union all select to_id from rel) group by id")
+def degree(spark, sf_dir):  # D9 G11
+    return graph.degree(relates(spark, sf_dir))
+
+
+@query("""select from_id, to_id, kind, l_quantity from (select *, row_number() over (partition by from_id, to_id, kind order by l_quantity desc) as rn from (
+  select 'o:' || l_orderkey as from_id, 'p:' || l_partkey as to_id, 'references' as kind, l_quantity from lineitem union all select 'o:' || l_orderkey, 's:' || l_suppkey, 'calls', l_quantity from lineitem)) where rn = 1""")
+def relates_upsert(spark, sf_dir):  # K10 K9 G8
+    return graph.merge_edges(relates(spark, sf_dir), [F.desc("l_quantity")]).select("from_id", "to_id", "kind", "l_quantity")
+
+
+@query("""select c.c_custkey, c.c_name, coalesce(o.n, 0) as links_out, coalesce(l.n, 0) as annotations from customer c left join (select o_custkey, count(*) as n from orders group by 1) o on o.o_custkey = c.c_custkey
+left join (select user_id, count(*) as n from events where event_type = 'view' group by 1) l on l.user_id = c.c_custkey""")
+def describe_node(spark, sf_dir):  # K1 C6
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_id"), (-F.col("o_orderkey")).alias("to_id"), F.lit("RELATES").alias("rel_type"), F.lit("references").alias("kind"))
+    notes = table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("event_id").alias("id"), F.col("user_id").alias("target_id"), F.lit("note").alias("kind"), F.col("props").alias("body"), F.col("ts").alias("created_at"))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
+    return graph.describe(nodes, edges, notes).select(F.col("id").alias("c_custkey"), "c_name", n("links_out"), n("annotations"))
+
+
+@query("select doc_id from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id and d.doc_id % 7 <> 0)")
+def orphans(spark, sf_dir):  # C10 K17
+    live = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"))
+    notes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("target_id"))
+    return graph.orphans(notes, live).select(F.col("target_id").alias("doc_id"))
+
+
+@query("""with live as (select doc_id from documents where doc_id % 7 <> 0)
+select l.doc_id as id, case when l.doc_id in (select doc_id from live) then l.doc_id when l.doc_id + 1 in (select doc_id from live) then l.doc_id + 1 else l.doc_id end as target_id from labels l""")
+def reattach(spark, sf_dir):  # K18
+    live = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"))
+    notes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("target_id"))
+    return graph.reattach(notes, live, notes.select("id", (F.col("id") + 1).alias("new_target")))
+
+
+@query("""select user_id, event_type, event_id from events where event_type <> 'view' union all select user_id, 'view', max(event_id) from events where event_type = 'view' group by user_id""")
+def summary_replace(spark, sf_dir):  # K15
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    last = e.filter("event_type = 'view'").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    return e.filter("event_type <> 'view'").unionByName(last)
+
+
+@query("""with old as (select doc_id, source from documents where doc_id % 4 <> 0), new as (select doc_id, source from documents where doc_id % 3 <> 0 and source = 'src0'),
+kept as (select doc_id, source from old where source <> 'src0' union select doc_id, source from new)
+select doc_id as id, source from kept""")
+def ingest_reconcile(spark, sf_dir):  # K12 G3 K24
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    none = F.create_map().cast("map<string,string>")
+    name = F.col("doc_id").cast("string")
+    members = d.filter("doc_id % 4 <> 0").select(F.col("source").alias("doc_id"), name.alias("id"))
+    node = lambda i: (i.alias("id"), F.lit("MarkdownSection").alias("label"), F.lit("kb").alias("kb_name"), none.alias("properties"))
+    nodes = d.filter("doc_id % 4 <> 0").select(*node(name)).union(d.select("source").distinct().select(*node(F.col("source"))))
+    contains = lambda rows: rows.select(F.col("source").alias("from_id"), name.alias("to_id"), F.lit("CONTAINS").alias("rel_type"), F.lit(None).cast("string").alias("kind"), none.alias("properties"))
+    new = d.filter("doc_id % 3 <> 0 and source = 'src0'")
+    notes = spark.createDataFrame([], "id string, target_id string, updated_at timestamp")
+    out = graph.reconcile(nodes, contains(d.filter("doc_id % 4 <> 0")), members, notes, new.select("source").distinct().select(*node(F.col("source"))), new.select(F.col("source").alias("doc_id"), *node(name)), contains(new), F.current_timestamp())
+    left = out["members"].join(out["nodes"].select("id"), "id")
+    return left.select(F.col("id").cast("long").alias("id"), F.col("doc_id").alias("source"))
+
+
+@query("select n_nationkey as id, case when n_regionkey = 1 then 'out' else 'in' end as direction from nation where n_regionkey in (1, 2)")
+def kb_links(spark, sf_dir):  # K22 B12
+    n = table(spark, sf_dir, "nation")
+    return n.filter(F.col("n_regionkey").isin(1, 2)).select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") == 1, "out").otherwise("in").alias("direction"))
+
+
+@query("""with s as (select doc_id as id from documents), m as (select doc_id as id from labels union select doc_id + 500000 from labels)
+select id, 'upsert' as action from s where id not in (select id from m) union all select id, 'delete' from m where id not in (select id from s)""")
+def sync_plan(spark, sf_dir):  # K27 G1 G2 C13
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return sync.plan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), ids.union(ids.select(F.col("id") + 500_000)))
+
+
+@query("""with s as (select doc_id as id from documents), m as (select doc_id as id from labels union select doc_id + 500000 from labels)
+select (select count(*) from s) as store_count, (select count(*) from m) as mirror_count, (select count(*) from (select id from s except select id from m)) + (select count(*) from (select id from m except select id from s)) as drift""")
+def sync_status(spark, sf_dir):  # D12 D13
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return sync.status(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), ids.union(ids.select(F.col("id") + 500_000)))
+
+
+@query("""with c as (select 'o:' || l_orderkey as s, 'p:' || l_partkey as t from lineitem) select id, id as label, 'unknown' as kind from (select s as id from c union select t from c)""")
+def query_to_graph_shape(spark, sf_dir):  # K25
+    r = relates(spark, sf_dir).filter("kind = 'references'")
+    none = F.lit(None).cast("string")
+    cell = lambda c: r.select(F.col(c).alias("id"), none.alias("label"), none.alias("kind"), none.alias("source"), none.alias("target"))
+    return graph.graph_shape(cell("from_id").union(cell("to_id")))[0]
+
+
+@query(f"""select e.label, e.vec_id, {DISTANCE} as distance, round(1 / (1 + {DISTANCE}), 6) as score {NEAR} qualify row_number() over (partition by e.label order by {DISTANCE}, e.vec_id) <= 5""")
+def federated_merged(spark, sf_dir):  # M4 G10 F4
+    return search.federated(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), "label", "vec_id", 5, "embedding").select("label", "vec_id", "distance", "score")
+
+
+@query(f"""select label, string_agg(vec_id::varchar, ',' order by distance, vec_id) as hits from (select e.label, e.vec_id, {DISTANCE} as distance {NEAR} qualify row_number() over (partition by e.label order by {DISTANCE}, e.vec_id) <= 5) group by label""")
+def federated_grouped(spark, sf_dir):  # D14
+    near = search.federated(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), "label", "vec_id", 5, "embedding")
+    hits = F.array_sort(F.collect_list(F.struct("distance", "vec_id")))
+    return near.groupBy("label").agg(F.array_join(F.transform(hits, lambda x: x["vec_id"].cast("string")), ",").alias("hits"))
+
+
+@query("""with shipped as (select doc_id as path, sha256(text) as h from documents where doc_id % 10 <> 1), inst as (select doc_id as path, case when doc_id % 4 = 0 then 'x' else sha256(text) end as h from documents where doc_id % 10 <> 2),
+rec as (select doc_id as path, case when doc_id % 8 = 0 then 'x' else sha256(text) end as h from documents where doc_id % 10 <> 3)
+select path, case when s.h is null then 'leave' when i.h is null then 'install' when i.h = s.h then 'same' when i.h is not distinct from r.h then 'update' else 'skip' end as action
+from shipped s full join inst i using (path) full join rec r using (path)""")
+def asset_three_way(spark, sf_dir):  # A32 C18
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+    other = lambda n: d.withColumn("hash", F.when(F.col("path") % n == 0, "x").otherwise(F.col("hash")))
+    return sync.three_way(d.filter("path % 10 <> 1"), other(4).filter("path % 10 <> 2"), other(8).filter("path % 10 <> 3"))
+
+
+@query("""with m as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hour then 0 else 1 end as new from events),
+g as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as grp from m) select user_id, min(ts) as began, count(*) as changes from g group by user_id, grp""")
+def stream_debounce(spark, sf_dir):  # I1 I3
+    e = table(spark, sf_dir, "events").select("user_id", "ts")
+    return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("changes")).select("user_id", F.col("w.start").alias("began"), "changes")
