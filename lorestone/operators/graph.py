@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorestone.sources.scratch import written
+
 EDGE_KEY = ("from_id", "to_id", "rel_type", "kind")
 
 
@@ -42,11 +44,13 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
 def reach(nodes: DataFrame, ways: DataFrame, roots: Column, depth: int) -> DataFrame:
     """``(id, distance)`` of the nodes up to ``depth`` steps from the roots, one join a step."""
     ids = nodes.select("id")
-    found = ids.filter(roots).select("id", F.lit(0).alias("distance"))
+    found = written(nodes.filter(roots).select("id", F.lit(0).alias("distance")))
     edge = found
     for d in range(1, depth + 1):
-        near = edge.join(ways, edge["id"] == ways["here"]).select(F.col("there").alias("id")).distinct()
-        edge = near.join(found, "id", "left_anti").join(ids, "id", "left_semi").select("id", F.lit(d).alias("distance"))
+        near = ways.join(edge, edge["id"] == ways["here"]).select(F.col("there").alias("id")).distinct()
+        edge = written(near.join(found, "id", "left_anti").join(ids, "id", "left_semi").select("id", F.lit(d).alias("distance")))
+        if edge.isEmpty():
+            break
         found = found.union(edge)
     return found
 
@@ -138,7 +142,7 @@ def annotate(annotations: DataFrame, added: DataFrame) -> DataFrame:
     return annotations.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 
-def reconcile(nodes: DataFrame, edges: DataFrame, members: DataFrame, annotations: DataFrame, parsed_docs: DataFrame, parsed_nodes: DataFrame, parsed_edges: DataFrame, now: Column) -> dict[str, DataFrame]:
+def reconcile(nodes: DataFrame, edges: DataFrame, members: DataFrame, annotations: DataFrame, parsed_docs: DataFrame, parsed_nodes: DataFrame, parsed_edges: DataFrame, now: Column, depth: int = 16) -> dict[str, DataFrame]:
     """Take over the parse results of many documents at once.
 
     ``members(doc_id, id)`` says which document holds a node; ``parsed_docs`` and ``parsed_nodes`` are
@@ -150,12 +154,10 @@ def reconcile(nodes: DataFrame, edges: DataFrame, members: DataFrame, annotation
     others = members.join(docs, "doc_id", "left_anti")
     members_now = others.unionByName(current)
     lost = members.join(docs, "doc_id", "left_semi").select("id").distinct().join(members_now.select("id"), "id", "left_anti")
-    ways = steps(edges.filter("rel_type = 'CONTAINS'"), "out")
-    below, edge = lost, lost
-    for _ in range(8):
-        edge = edge.join(ways, edge["id"] == ways["here"]).select(F.col("there").alias("id")).distinct().join(below, "id", "left_anti")
-        below = below.union(edge)
-    victims = below.join(members_now.select("id"), "id", "left_anti").distinct()
+    lost = written(lost)
+    everyone = nodes.select("id").union(lost).distinct()
+    below = reach(everyone.join(lost.withColumn("lost", F.lit(True)), "id", "left"), steps(edges.filter("rel_type = 'CONTAINS'"), "out"), F.col("lost"), depth).select("id")
+    victims = written(below.join(members_now.select("id"), "id", "left_anti").distinct())
     nodes, edges = delete_nodes(nodes, edges, victims)
     nodes = upsert_nodes(nodes, parsed_docs.unionByName(parsed_nodes.drop("doc_id")).dropDuplicates(["id"]))
     owned = members.join(docs, "doc_id", "left_semi").select("id").union(docs.select(F.col("doc_id").alias("id"))).distinct()
