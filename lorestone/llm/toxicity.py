@@ -37,6 +37,8 @@ VOCABULARY, WORD_DIM = 6000, 10
 GRAMS, GRAM_DIM, GRAM = 1 << 13, 6, 4
 HIDDEN, ATTEND = 10, 8
 ROUNDS, BATCH, RATE = 5, 256, 0.01
+#: A small sample is gone over more often, for so many steps at least.
+LEAST_STEPS = 400
 #: Counts that are added to both labels' document counts of a word.
 PRIOR = 4.0
 THRESHOLD = 0.7
@@ -259,7 +261,9 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Netw
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
-    for k in range(ROUNDS):
+    a_round = len(batch.windows) * 4 // (3 * BATCH) + 1
+    rounds = max(ROUNDS, -(-LEAST_STEPS // a_round))
+    for k in range(rounds):
         best = np.lexsort((strength, owner))[batch.first[1:] - 1]
         positive, negative = best[y == 1], np.flatnonzero(y[owner] == 0)
         # as many windows of either label in the mean, all of them once a round
@@ -275,7 +279,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Netw
             for name, slope in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * slope
                 v[name] = 0.999 * v[name] + 0.001 * slope * slope
-                net.p[name] -= RATE * (1 - k / ROUNDS) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-6)
+                net.p[name] -= RATE * (1 - k / rounds) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-6)
         strength = net.logits(batch)
     top = np.maximum.reduceat(strength, batch.first[:-1]).astype(np.float64)
     share = min(max(share if share is not None else y.mean(), 0.01), 0.99)
