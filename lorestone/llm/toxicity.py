@@ -33,7 +33,8 @@ from lorestone.llm.common import crc_mod
 #: Labelled rows of either label that a fit takes at most, and the longest text among them.
 FIT_ROWS, FIT_CHARS = 1500, 12_000
 WINDOW, STRIDE = 48, 32
-VOCABULARY, WORD_DIM = 6000, 10
+#: Words of the vocabulary at most, and texts that each is in at least, lest the net learns texts by heart.
+VOCABULARY, LEAST_TEXTS, WORD_DIM = 6000, 2, 10
 GRAMS, GRAM_DIM, GRAM = 1 << 13, 6, 4
 HIDDEN, ATTEND = 10, 8
 ROUNDS, BATCH, RATE = 5, 256, 0.01
@@ -248,9 +249,11 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Netw
     counts = [np.bincount(pair // len(y), weights=y[pair % len(y)] == k, minlength=len(words)) for k in (0, 1)]
     total = [(y == k).sum() for k in (0, 1)]
     lean = np.log((counts[1] + PRIOR) / (counts[0] * total[1] / total[0] + PRIOR))
-    by_use = np.argsort(-(counts[0] + counts[1]), kind="stable")[: VOCABULARY // 2]
+    used = counts[0] + counts[1]
+    by_use = np.argsort(-used, kind="stable")[: VOCABULARY // 2]
     by_lean = np.argsort(-np.abs(lean), kind="stable")[: VOCABULARY // 2]
     chosen = np.unique(np.concatenate([by_use, by_lean]))
+    chosen = chosen[used[chosen] >= LEAST_TEXTS]
     net = Network.new(words[chosen], lean[chosen].astype(np.float32))
     batch = prepare(column, net.vocabulary)
     rng = np.random.default_rng(SEED)
