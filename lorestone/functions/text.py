@@ -18,7 +18,7 @@ def word_count(text: Column) -> Column:
 
 
 def comma_list(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _not_blank(parts: Column) -> Column:
