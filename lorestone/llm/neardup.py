@@ -216,6 +216,11 @@ def _bucket_links(mates: DataFrame, sets: DataFrame, labels: DataFrame, setup: S
 def near_duplicates(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     """``(doc_id, row_key, n_shingles, component_id)`` of every row; row_key is the digest of the
     row's id and text."""
+    return _grouped(docs, setup).drop("component")
+
+
+def _grouped(docs: DataFrame, setup: Setup) -> DataFrame:
+    """The same with ``component``, which names the group of rows with shingles even if it has no id."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
     keyed = docs.select("doc_id", "text", key.alias("row_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -240,11 +245,11 @@ def near_duplicates(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     named = names.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = materialize(named)
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(roots, "component").select("k1", "k2", "component_id")
+    of_class = named.join(roots, "component").select("k1", "k2", "component_id", "component")
     return (
         signed.select("doc_id", "row_key", "n", "k1", "k2")
         .join(of_class, ["k1", "k2"], "left")
-        .select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
     )
 
 
@@ -254,12 +259,23 @@ def neardup_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """``docs`` less all but the document of the least id of each group; rows that repeat that id and
-    text stay one row. Rows whose id is null are kept if their group has no id at all."""
-    found = near_duplicates(docs.select("doc_id", "text"), setup)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key").distinct()
+    """``docs`` less all but one row of each group: of the least id, then of the least row_key; ids that are null come last.
+    Rows without words are groups of their own; of those that repeat an id one row stays."""
+    found = _grouped(docs.select("doc_id", "text"), setup)
+    group = F.when(F.col("n_shingles") > 0, F.col("component").cast("string")).otherwise(F.col("row_key"))
+    # rows without words and id aren't known to be the same document
+    same = (F.col("n_shingles") > 0) | F.col("doc_id").isNotNull()
+    rows = found.groupBy(group.alias("grp"), "row_key").agg(F.min("doc_id").alias("doc_id"), F.sum(same.cast("int")).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "copies"))
+    keep = materialize(rows.groupBy("grp").agg(first.alias("x")).select(F.col("x.row_key").alias("__row_key"), F.col("x.copies").alias("__copies")))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
-    return docs.withColumn("__row_key", key).join(keep.withColumnRenamed("row_key", "__row_key").hint("shuffle_hash"), "__row_key", "left_semi").select(*docs.columns)
+    keyed = docs.withColumn("__row_key", key)
+    repeated = keep.filter("__copies > 1")
+    if repeated.isEmpty():
+        return keyed.join(keep.select("__row_key").hint("shuffle_hash"), "__row_key", "left_semi").select(*docs.columns)
+    once = keyed.join(keep.filter("__copies <= 1").select("__row_key").hint("shuffle_hash"), "__row_key", "left_semi")
+    more = keyed.join(repeated.select("__row_key").hint("shuffle_hash"), "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return once.union(more).select(*docs.columns)
 
 
 OP10_SQL = """
