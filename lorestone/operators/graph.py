@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lorestone.sources.scratch import written
 
+#: Steps after which what was reached is written as one table, so plans stay small however deep the graph is.
+UNIONS = 16
 EDGE_KEY = ("from_id", "to_id", "rel_type", "kind")
 
 
@@ -41,17 +43,18 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     return {"out": out, "in": back, "both": out.union(back)}[direction]
 
 
-def reach(nodes: DataFrame, ways: DataFrame, roots: Column, depth: int) -> DataFrame:
-    """``(id, distance)`` of the nodes up to ``depth`` steps from the roots, one join a step."""
+def reach(nodes: DataFrame, ways: DataFrame, roots: Column, depth: int | None = None) -> DataFrame:
+    """``(id, distance)`` of the nodes up to ``depth`` steps from the roots, or of all there are, one join a step."""
     ids = nodes.select("id")
     found = written(nodes.filter(roots).select("id", F.lit(0).alias("distance")))
-    edge = found
-    for d in range(1, depth + 1):
+    edge, d = found, 0
+    while depth is None or d < depth:
+        d += 1
         near = ways.join(edge, edge["id"] == ways["here"]).select(F.col("there").alias("id")).distinct()
         edge = written(near.join(found, "id", "left_anti").join(ids, "id", "left_semi").select("id", F.lit(d).alias("distance")))
         if edge.isEmpty():
             break
-        found = found.union(edge)
+        found = written(found.union(edge)) if d % UNIONS == 0 else found.union(edge)
     return found
 
 
@@ -61,8 +64,8 @@ def neighbors(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1, lim
     return kept, with_both_ends(edges, kept)
 
 
-def descendants(nodes: DataFrame, edges: DataFrame, root: Column, depth: int = 16) -> DataFrame:
-    """Ids below the roots along CONTAINS edges, the roots among them."""
+def descendants(nodes: DataFrame, edges: DataFrame, root: Column, depth: int | None = None) -> DataFrame:
+    """Ids below the roots along CONTAINS edges, the roots among them; all of them if no depth is given."""
     return reach(nodes, steps(edges.filter("rel_type = 'CONTAINS'"), "out"), root, depth).select("id")
 
 
@@ -142,7 +145,7 @@ def annotate(annotations: DataFrame, added: DataFrame) -> DataFrame:
     return annotations.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 
-def reconcile(nodes: DataFrame, edges: DataFrame, members: DataFrame, annotations: DataFrame, parsed_docs: DataFrame, parsed_nodes: DataFrame, parsed_edges: DataFrame, now: Column, depth: int = 16) -> dict[str, DataFrame]:
+def reconcile(nodes: DataFrame, edges: DataFrame, members: DataFrame, annotations: DataFrame, parsed_docs: DataFrame, parsed_nodes: DataFrame, parsed_edges: DataFrame, now: Column, depth: int | None = None) -> dict[str, DataFrame]:
     """Take over the parse results of many documents at once.
 
     ``members(doc_id, id)`` says which document holds a node; ``parsed_docs`` and ``parsed_nodes`` are

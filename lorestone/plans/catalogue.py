@@ -284,7 +284,7 @@ TREE = """edges as (select 'r:' || n_regionkey as f, 'n:' || n_nationkey as t fr
 @query(f"""with recursive {TREE}, down(id) as (select 'n:1' union all select e.t from down d join edges e on e.f = d.id) select id from down""")
 def descendants(spark, sf_dir):  # K5 D10 C9
     nodes, edges = tree(spark, sf_dir)
-    return graph.descendants(nodes, edges, F.col("id") == "n:1", depth=3)
+    return graph.descendants(nodes, edges, F.col("id") == "n:1")
 
 
 @query(f"""with recursive {TREE}, both_ways as (select f as a, t as b from edges union all select t, f from edges),
