@@ -56,7 +56,7 @@ def _hinted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = raw.find(hint)
         while at >= 0:
             places.append(at)
-            at = raw.find(hint, at + len(hint))
+            at = raw.find(hint, at + 1)  # a hit that goes over the end of a row may overlap the next row's own
     step = np.diff(np.concatenate([[0], _HEX[low].view(np.int8), [0]]))
     begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     # a run may go on over the end of a row; then rows are scanned for nothing, never the reverse
