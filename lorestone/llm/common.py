@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A table goes to every executor only if it was counted and has no more rows than this.
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder in the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in local tests, a temporary folder of this machine is
-    named in it first.
+    Only where that setting is absent and Spark runs on this machine alone, as in tests, a temporary
+    folder is named in it first. A cluster without the setting is an error, as its executors share no other folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="lorestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lorestone-{uuid.uuid4().hex}"
@@ -54,6 +57,48 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(id_text(doc_id)) % F.lit(n)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called that, in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def fit_sample(pool: DataFrame, rows: int, chars: int) -> tuple[list[tuple[str, object]], DataFrame]:
+    """A bounded sample of ``pool(doc_id, text, y)`` to fit a model on, and the table of all ids and labels it comes from.
+
+    Of each label the ``rows`` texts with the least digests of their ids, those of at most ``chars`` characters
+    first. Longer ones fill up a label that has fewer, as long as the label's texts stay within rows * chars
+    characters together; one that alone is longer is left out. Two passes read the texts: one for ids and lengths,
+    one for the sample. Of texts that share an id and a label the least is taken. In the order of ids.
+    """
+    size = F.length("text")
+    digest = F.sha2(F.col("doc_id").cast("string"), 256)
+    ids = materialize(pool.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("y").isNotNull()).select("doc_id", "y", size.alias("size"), digest.alias("digest")))
+    first = ids.groupBy("doc_id", "y", "digest").agg(F.min("size").alias("size"))
+    place = F.row_number().over(W.partitionBy("y").orderBy(F.col("size") > chars, "digest", "doc_id"))
+    chosen, left = [], {}
+    for r in first.withColumn("place", place).filter(F.col("place") <= rows).orderBy("y", "place").collect():
+        left[r["y"]] = left.get(r["y"], rows * chars) - r["size"]
+        if left[r["y"]] >= 0:
+            chosen.append((r["doc_id"], r["y"]))
+        else:
+            left[r["y"]] += r["size"]
+    if not chosen:
+        return [], ids
+    # at most `rows` ids of each label
+    kept = F.broadcast(pool.sparkSession.createDataFrame(chosen, pool.select("doc_id", "y").schema))
+    found = pool.join(kept, ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min(F.struct(F.length("text"), "text")).alias("x"))
+    return [(r["text"], r["y"]) for r in found.orderBy("doc_id", "y").select("x.text", "y").collect()], ids
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, text, y)`` of the documents that ``label`` marks 0 or 1."""
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).distinct()
+    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+
+
 def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """A table of numbers that the driver holds already, hinted for broadcast if it is short."""
     columns = names.split()

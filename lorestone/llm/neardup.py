@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorestone.llm import wordvec as wv
-from lorestone.llm.common import materialize
+from lorestone.llm.common import bounded, materialize
 from lorestone.llm.components import components
 
 #: The chance that banding or sketches may lose a pair that is just at the threshold.
@@ -38,6 +38,8 @@ MOST_COORDINATES = 192
 NEAREST = 3
 #: Classes, and shingles of them, that a chunk of a bucket has about.
 CHUNK_ROWS, CHUNK_SHINGLES = 256, 500_000
+#: Rows of a class that is dealt over so many parts when names are joined to rows.
+HOT, PARTS = 10_000, 64
 _BLOCK = 1 << 15
 
 
@@ -50,13 +52,16 @@ class Setup:
 
     @property
     def bands(self) -> tuple[int, int]:
-        """Bands and rows of a band: the most rows that MISS and MOST_COORDINATES allow."""
-        t, found = self.percent / 100, (MOST_COORDINATES, 1)
+        """Bands and rows of a band: the most rows that MISS and MOST_COORDINATES allow. A threshold so low that
+        not even bands of one row keep to MISS is an error."""
+        t, found = self.percent / 100, None
         for rows in range(1, 33):
             n = math.ceil(math.log(MISS) / math.log1p(-(t**rows))) if t < 1 else 1
             if n * rows > MOST_COORDINATES:
                 break
             found = (n, rows)
+        if not found:
+            raise ValueError(f"{self.percent}% takes more than {MOST_COORDINATES} coordinates to miss a pair with a chance of {MISS:g} only")
         return found
 
     @property
@@ -158,7 +163,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(rows: pa.Table, setup: Setup) -> pa.Table:
-    """Links between the components of two chunks of a bucket. A component pair needs one link."""
+    """Links between the components of two chunks of a bucket. A component pair needs one link.
+
+    A pair that shares several mixed buckets is compared in the first of them alone: ``earlier`` has the members'
+    buckets before this one."""
     sides = rows.column("side").to_numpy()
     cls, comp, size = (rows.column(c).to_numpy() for c in ("cls", "component", "n"))
     items = rows.column("items").combine_chunks()
@@ -169,6 +177,8 @@ def _compare(rows: pa.Table, setup: Setup) -> pa.Table:
     j = np.flatnonzero(sides != 0)
     found: list[tuple[int, int]] = []
     if len(i) and len(j) and (len(np.unique(comp)) > 1):
+        i, j = _unmet(rows.column("earlier"), i, j, comp)
+    if len(i) and len(j):
         inter = _overlaps([flat[at[x] : at[x + 1]] for x in i], [flat[at[x] : at[x + 1]] for x in j])
         union = size[i][:, None] + size[j][None] - inter
         p, q = np.nonzero((100 * inter >= setup.percent * union) & (comp[i][:, None] != comp[j][None]))
@@ -177,6 +187,17 @@ def _compare(rows: pa.Table, setup: Setup) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
+def _unmet(earlier: pa.ChunkedArray, i: np.ndarray, j: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of either side that have a partner of another component with which they share no bucket before."""
+    lists = earlier.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    side = [[flat[at[x] : at[x + 1]] for x in rows] for rows in (i, j)]
+    met = _overlaps(*side) > 0 if sum(map(len, side[0])) and sum(map(len, side[1])) else np.zeros((len(i), len(j)), bool)
+    new = ~met & (comp[i][:, None] != comp[j][None])
+    return i[new.any(1)], j[new.any(0)]
+
+
 def _linked(inter: Column, n: Column, m: Column, setup: Setup) -> Column:
     return F.lit(100) * inter >= F.lit(setup.percent) * (n + m - inter)
 
@@ -201,11 +222,14 @@ def _bucket_links(mates: DataFrame, sets: DataFrame, labels: DataFrame, setup: S
     known = materialize(known)
     mixed = known.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"), F.sum("n").alias("items")).filter("x <> y")
     mixed = mixed.select("band", F.greatest(F.ceil(F.col("rows") / CHUNK_ROWS), F.ceil(F.col("items") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    rows = known.join(mixed, "band").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    rows = known.join(mixed, "band")
+    # bands carry their number's hash, so any fixed order of them will do; only buckets that are mixed count
+    mine = rows.groupBy("cls").agg(F.array_sort(F.collect_set("band")).alias("all_bands"))
+    rows = rows.join(mine, "cls").withColumn("earlier", F.filter("all_bands", lambda b: b < F.col("band"))).drop("all_bands")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     # chunk c meets every chunk: as the left one of those from c on, as the right one of those before; side 2 is a chunk with itself
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j"), F.when(o == F.col("chunk"), 2).when(o > F.col("chunk"), 0).otherwise(1).alias("side")))
-    rows = rows.withColumn("meet", F.explode(meets)).select("band", "meet.*", "cls", "component", "n")
-
+    rows = rows.withColumn("meet", F.explode(meets)).select("band", "meet.*", "cls", "component", "n", "earlier")
 
     def compare(rows: pa.Table) -> pa.Table:
         return _compare(rows, setup)
@@ -226,7 +250,7 @@ def _grouped(docs: DataFrame, setup: Setup) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = keyed.mapInArrow(partial(_sign, setup=setup), f"doc_id {kind}, row_key string, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
     signed = materialize(signed.withColumn("uid", F.monotonically_increasing_id()))
-    names = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("least"))
+    names = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     names = materialize(names)
     classes = signed.join(names.select(F.col("cls").alias("uid"), "cls"), "uid").select("cls", "n", "bands", "sketch", "row_key")
     banded = classes.select("cls", "n", F.explode("bands").alias("band"))
@@ -246,9 +270,17 @@ def _grouped(docs: DataFrame, setup: Setup) -> DataFrame:
     named = materialize(named)
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(roots, "component").select("k1", "k2", "component_id", "component")
+    rows = signed.select("doc_id", "row_key", "n", "k1", "k2")
+    some, none = rows.filter("n > 0"), rows.filter("n = 0").withColumns({"component_id": F.lit(None).cast(kind), "component": F.lit(None).cast("long")})
+    # the rows of a class of very many copies are dealt over parts by their ids
+    hot = bounded(names.filter(F.col("copies") > HOT).select("k1", "k2", F.lit(True).alias("hot")))
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("row_key"), F.lit(PARTS)).cast("int")).otherwise(0)
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    some = some.join(hot, ["k1", "k2"], "left").withColumn("part", part).drop("hot")
+    of_class = of_class.join(hot, ["k1", "k2"], "left").withColumn("part", F.explode(parts)).drop("hot")
     return (
-        signed.select("doc_id", "row_key", "n", "k1", "k2")
-        .join(of_class, ["k1", "k2"], "left")
+        some.join(of_class, ["k1", "k2", "part"]).drop("part")
+        .unionByName(none)
         .select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
     )
 

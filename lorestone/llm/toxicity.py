@@ -28,18 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorestone.llm import wordvec as wv
-from lorestone.llm.common import crc_mod
+from lorestone.llm.common import crc_mod, fit_sample, labelled, unused
 
-#: Labelled rows of either label that a fit takes at most, and the longest text among them.
+#: Labelled rows of either label that a fit takes at most; texts of more characters come after all others.
 FIT_ROWS, FIT_CHARS = 1500, 12_000
 WINDOW, STRIDE = 48, 32
-#: Words of the vocabulary at most, and texts that each is in at least, lest the net learns texts by heart.
-VOCABULARY, LEAST_TEXTS, WORD_DIM = 6000, 2, 10
+#: Words of the vocabulary at most. Each is in a share of the fitted texts, or leans to one label by so many standard
+#: deviations, as chance alone lets hardly any word do; the net would learn texts by heart from other words.
+VOCABULARY, LEAST_TEXTS, COMMON, BEYOND_CHANCE, WORD_DIM = 6000, 20, 0.02, 4.0, 10
 GRAMS, GRAM_DIM, GRAM = 1 << 13, 6, 4
 HIDDEN, ATTEND = 10, 8
 ROUNDS, BATCH, RATE = 5, 256, 0.01
 #: A small sample is gone over more often, for so many steps at least.
-LEAST_STEPS = 400
+LEAST_STEPS = 200
 #: Counts that are added to both labels' document counts of a word.
 PRIOR = 4.0
 THRESHOLD = 0.7
@@ -249,11 +250,12 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Netw
     counts = [np.bincount(pair // len(y), weights=y[pair % len(y)] == k, minlength=len(words)) for k in (0, 1)]
     total = [(y == k).sum() for k in (0, 1)]
     lean = np.log((counts[1] + PRIOR) / (counts[0] * total[1] / total[0] + PRIOR))
-    used = counts[0] + counts[1]
-    by_use = np.argsort(-used, kind="stable")[: VOCABULARY // 2]
-    by_lean = np.argsort(-np.abs(lean), kind="stable")[: VOCABULARY // 2]
+    used, part = counts[0] + counts[1], total[1] / len(y)
+    beyond = np.abs(counts[1] - used * part) / np.sqrt(used * part * (1 - part) + 1e-9)
+    common = used >= max(LEAST_TEXTS, COMMON * len(y))
+    by_use = np.argsort(-used * common, kind="stable")[: min(VOCABULARY // 2, int(common.sum()))]
+    by_lean = np.argsort(-beyond, kind="stable")[: min(VOCABULARY // 2, int((beyond >= BEYOND_CHANCE).sum()))]
     chosen = np.unique(np.concatenate([by_use, by_lean]))
-    chosen = chosen[used[chosen] >= LEAST_TEXTS]
     net = Network.new(words[chosen], lean[chosen].astype(np.float32))
     batch = prepare(column, net.vocabulary)
     rng = np.random.default_rng(SEED)
@@ -299,38 +301,26 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Netw
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, chars: int) -> tuple[list[str], list[int], float]:
-    """At most ``rows`` labelled documents of either label, none longer than ``chars``, those with the
-    least digests of their ids; and the share of label 1 among all that may be learned from."""
-    known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y"))
-    pool = docs.select("doc_id", "text").filter((crc_mod(F.col("doc_id"), folds) != held_out) & F.col("text").isNotNull() & (F.length("text") <= chars))
-    ids = pool.select("doc_id").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "y").distinct()
-    share = ids.agg(F.avg("y")).first()[0] or 0.0
-    place = F.sha2(F.col("doc_id").cast("string"), 256)
-    chosen = [r for y in (0, 1) for r in ids.filter(F.col("y") == y).orderBy(place, "doc_id").limit(rows).collect()]
-    if not chosen:
-        return [], [], share
-    kept = docs.sparkSession.createDataFrame(chosen, ids.schema)
-    found = pool.join(F.broadcast(kept), "doc_id").dropDuplicates(["doc_id", "y"]).orderBy("doc_id", "y").collect()
-    return [r["text"] for r in found], [r["y"] for r in found], share
-
-
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Network:
-    texts, y, share = sample(docs, labels, "toxic", 3, 1, rows, chars)
-    return fit(texts, y, share)
+    """Fit on at most ``rows`` documents of either label; the share of toxic ones is that of all that may be learned from."""
+    pool = labelled(docs, labels, "toxic").filter(crc_mod(F.col("doc_id"), 3) != 1)
+    sample, ids = fit_sample(pool, rows, chars)
+    share = ids.select("doc_id", "y").distinct().agg(F.avg("y")).first()[0] or 0.0
+    return fit([t for t, _ in sample], [y for _, y in sample], share)
 
 
-def _score(batches: Iterator[pa.RecordBatch], net: Broadcast) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], net: Broadcast, column: str) -> Iterator[pa.RecordBatch]:
     for batch in wv.slices(batches):
         score = net.value.score(prepare(batch.column("text"), net.value.vocabulary))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "toxic_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, column])
 
 
-def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with ``toxic_score``; the column must be new."""
+def scored(docs: DataFrame, net: Network, column: str = "toxic_score") -> DataFrame:
+    """``docs`` with its scores in ``column``, which replaces one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    schema = docs.select("*").withColumn("toxic_score", F.lit(0.0)).schema
-    return docs.mapInArrow(partial(_score, net=shared), schema)
+    docs = docs.drop(column)
+    schema = docs.withColumn(column, F.lit(0.0)).schema
+    return docs.mapInArrow(partial(_score, net=shared, column=column), schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -343,4 +333,5 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` less those that score the threshold or more."""
-    return scored(docs, train(docs, labels)).filter(F.col("toxic_score") < threshold).select(*docs.columns)
+    score = unused(docs.columns, "toxic_score")
+    return scored(docs, train(docs, labels), score).filter(F.col(score) < threshold).select(*docs.columns)

@@ -87,18 +87,31 @@ def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_BLANK)
 
 
 def hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes and length."""
-    n = len(data)
+    """A 64-bit hash of each word's bytes and length, by pieces of a long text."""
     if not len(words.start):
         return np.zeros(0, np.uint64)
+    if len(data) <= 2 * SLICE_BYTES or len(words.start) == 1:
+        low, high = int(words.start[0]), int(words.end[-1])
+        return _hashes(data[low:high], words.start - low, words.end - low)
+    parts, at = [], 0
+    while at < len(words.start):
+        low = int(words.start[at])
+        end = max(at + 1, int(np.searchsorted(words.end, low + SLICE_BYTES, "right")))
+        parts.append(_hashes(data[low : int(words.end[end - 1])], words.start[at:end] - low, words.end[at:end] - low))
+        at = end
+    return np.concatenate(parts)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = len(data)
     powers = np.full(n, _BASE, np.uint64)
     powers[0] = 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(powers), out=total[1:])
     back = np.full(n, _BASE_INVERSE, np.uint64)
     back[0] = 1
-    raw = (total[words.end] - total[words.start]) * np.multiply.accumulate(back)[words.start]
-    return mix64(raw + (words.end - words.start).astype(np.uint64) * _ODD)
+    raw = (total[end] - total[start]) * np.multiply.accumulate(back)[start]
+    return mix64(raw + (end - start).astype(np.uint64) * _ODD)
 
 
 def shingles(word_hash: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
