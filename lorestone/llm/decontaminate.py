@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorestone.llm import wordvec as wv
-from lorestone.llm.common import materialize
+from lorestone.llm.common import materialize, unused
 
 WINDOW = 10
 BLOCK_WORDS = 250_000
@@ -261,13 +261,13 @@ def _cut(batches: Iterator[pa.RecordBatch], automaton: Broadcast, most_coverage:
         yield batch if keep.all() else batch.filter(pa.array(keep))
 
 
-def _cut_at(batches: Iterator[pa.RecordBatch], names: list[str], most_coverage: float) -> Iterator[pa.RecordBatch]:
-    """The rows without the words at their ``__hits``, once."""
+def _cut_at(batches: Iterator[pa.RecordBatch], names: list[str], hits: str, most_coverage: float) -> Iterator[pa.RecordBatch]:
+    """The rows without the words at their ``hits``, once."""
     for batch in wv.slices(batches):
         data, offsets = wv.buffers(batch.column("text"))
         words = wv.split(wv.LOWER[data], offsets, wv.ALNUM)
         keep, texts = np.ones(batch.num_rows, bool), {}
-        for i, places in enumerate(batch.column("__hits")):
+        for i, places in enumerate(batch.column(hits)):
             a, b = words.first[i], words.first[i + 1]
             marked = np.zeros(b - a, bool)
             marked[places.values.to_numpy()] = True
@@ -278,15 +278,15 @@ def _cut_at(batches: Iterator[pa.RecordBatch], names: list[str], most_coverage:
         yield _replaced(batch.select(names), texts).filter(pa.array(keep))
 
 
-def _hits(keyed: DataFrame, blocks: list[Broadcast]) -> DataFrame:
-    """``(__key, __hits)`` of the rows that some block hits: the places of all blocks."""
-    rows = keyed.select(F.lit(0).alias("doc_id"), F.col("__key").alias("row_key"), "text")
+def _hits(keyed: DataFrame, blocks: list[Broadcast], key: str, hits: str) -> DataFrame:
+    """``(key, hits)`` of the rows that some block hits: the places of all blocks."""
+    rows = keyed.select(F.lit(0).alias("doc_id"), F.col(key).alias("row_key"), "text")
     schema = "doc_id int, row_key string, n_words long, hits array<int>, items array<string>"
     found = [rows.mapInArrow(partial(_scan, automaton=a, keep_all=False), schema).select("row_key", "hits") for a in blocks]
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    return every.groupBy(F.col("row_key").alias("__key")).agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("__hits"))
+    return every.groupBy(F.col("row_key").alias(key)).agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias(hits))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_coverage: float = MOST_COVERAGE) -> DataFrame:
@@ -298,18 +298,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_cove
     blocks = [docs.sparkSession.sparkContext.broadcast(a) for a in _blocks(benchmark, window)]
     if len(blocks) == 1:
         return docs.mapInArrow(partial(_cut, automaton=blocks[0], most_coverage=most_coverage), docs.schema)
+    mark, places = unused(docs.columns, "__key"), unused(docs.columns, "__hits")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     key = F.sha2(F.concat(F.length(name).cast("string"), F.lit(":"), name, F.coalesce("text", F.lit(""))), 256)
     left, done = docs, None
     while True:
         # rows of equal id and text have equal hits, so they may share a key
-        keyed = materialize(left.withColumn("__key", key))
-        hits = materialize(_hits(keyed, blocks))
-        clear = keyed.join(hits, "__key", "left_anti").select(*docs.columns)
+        keyed = materialize(left.withColumn(mark, key))
+        hits = materialize(_hits(keyed, blocks, mark, places))
+        clear = keyed.join(hits, mark, "left_anti").select(*docs.columns)
         done = clear if done is None else done.union(clear)
         if hits.isEmpty():
             return done
-        left = keyed.join(hits, "__key").drop("__key").mapInArrow(partial(_cut_at, names=docs.columns, most_coverage=most_coverage), docs.schema)
+        left = keyed.join(hits, mark).drop(mark).mapInArrow(partial(_cut_at, names=docs.columns, hits=places, most_coverage=most_coverage), docs.schema)
         most_coverage = 1.0  # documents are judged as they came
 
 

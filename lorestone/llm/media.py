@@ -26,7 +26,8 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorestone.llm import wordvec as wv
 from lorestone.llm.common import materialize, scratch_dir
@@ -73,6 +74,16 @@ def payload_of(text: bytes, width: int = WIDTH) -> bytes:
     return text + b" " * (-len(text) % width if text else width)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark itself would take for it, so that tasks open the same store."""
+    if "://" in folder:
+        return folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    full = path.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
@@ -114,9 +125,9 @@ def _pack(batches: Iterator[pa.RecordBatch], folder: str, schema: pa.Schema) ->
 
 
 def pack(docs: DataFrame, folder: str) -> DataFrame:
-    """The index of the shards written to ``folder``, itself written to the shared folder."""
+    """The index of the shards written to ``folder``, itself written to the shared folder. Ids may be of any type."""
     kind = docs.schema["doc_id"].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    arrow = to_arrow_type(kind)
     schema = pa.schema([("doc_ids", pa.list_(arrow)), ("digest", pa.binary()), ("shard", pa.string()), ("at", pa.int64()), ("length", pa.int32()), ("n_bytes", pa.int64())])
     return materialize(docs.select("doc_id", "text").mapInArrow(partial(_pack, folder=folder, schema=schema), INDEX.format(kind=kind.simpleString())))
 
@@ -178,7 +189,7 @@ def read_payloads(index: DataFrame, folder: str) -> DataFrame:
 
 
 def media_report(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    folder = folder or scratch_dir(docs.sparkSession)
+    folder = qualified(docs.sparkSession, folder or scratch_dir(docs.sparkSession))
     index = pack(docs, folder)
     full = read_payloads(fill_metadata(index, folder), folder)
     return full.selectExpr(

@@ -63,7 +63,7 @@ def plan(sized_docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def with_copies(docs: DataFrame, goals: DataFrame, size: Column, u: Column) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``."""
+    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``, which must be new."""
     goals = goals.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
@@ -82,11 +82,13 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
-    """The mixed documents: every row as often as the mix takes it, with the columns of ``docs``."""
+    """The mixed documents: every row as often as the mix takes it, with the columns of ``docs``, whatever they are called."""
     size = word_count(F.col("text"))
     goals = plan(docs.select("source", size.alias("size")), weights, share, cap)
-    out = with_copies(docs, goals, size, draw(F.col("doc_id"), F.col("text"))).filter("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    # the row travels as one struct, so no name of its columns can clash
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    out = with_copies(row, goals, size, draw(F.col("doc_id"), F.col("text"))).filter("__copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
 
 
 OP1_SQL = """

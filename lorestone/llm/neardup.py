@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorestone.llm import wordvec as wv
-from lorestone.llm.common import bounded, materialize
+from lorestone.llm.common import bounded, materialize, unused
 from lorestone.llm.components import components
 
 #: The chance that banding or sketches may lose a pair that is just at the threshold.
@@ -301,12 +301,14 @@ def keep_one(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "copies"))
     keep = materialize(rows.groupBy("grp").agg(first.alias("x")).select(F.col("x.row_key").alias("__row_key"), F.col("x.copies").alias("__copies")))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumn("__row_key", key)
+    mark = unused(docs.columns, "__row_key")
+    keyed = docs.withColumn(mark, key)
+    keep = keep.withColumnRenamed("__row_key", mark)
     repeated = keep.filter("__copies > 1")
     if repeated.isEmpty():
-        return keyed.join(keep.select("__row_key").hint("shuffle_hash"), "__row_key", "left_semi").select(*docs.columns)
-    once = keyed.join(keep.filter("__copies <= 1").select("__row_key").hint("shuffle_hash"), "__row_key", "left_semi")
-    more = keyed.join(repeated.select("__row_key").hint("shuffle_hash"), "__row_key", "left_semi").dropDuplicates(["__row_key"])
+        return keyed.join(keep.select(mark).hint("shuffle_hash"), mark, "left_semi").select(*docs.columns)
+    once = keyed.join(keep.filter("__copies <= 1").select(mark).hint("shuffle_hash"), mark, "left_semi")
+    more = keyed.join(repeated.select(mark).hint("shuffle_hash"), mark, "left_semi").dropDuplicates([mark])
     return once.union(more).select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorestone.llm.common import materialize, values
+from lorestone.llm.common import materialize, unused, values
 
 BITS, STEP = 60, 15
 POSITION, HASH = 20, 40
@@ -137,11 +137,12 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
 
 
 def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``. Rows get a number of their own first, as ids may repeat."""
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    full = materialize(docs.select(*columns, F.monotonically_increasing_id().alias("__row")))
-    placed = shard(full, shards, target_bytes, ["__row"]).select("__row", F.col("node").cast("int").alias("shard"), "slot")
-    return full.join(placed, "__row").select(*columns, "shard", "slot")
+    """``docs`` with ``shard`` and ``slot``, which replace columns of those names. Rows get a number of their own first, as
+    ids may repeat."""
+    columns, number = [c for c in docs.columns if c.lower() not in ("shard", "slot")], unused([*docs.columns, "doc_id", "size"], "__row")
+    full = materialize(docs.select(*columns, F.monotonically_increasing_id().alias(number)))
+    placed = shard(full.select("doc_id", "text", number), shards, target_bytes, [number]).select(number, F.col("node").cast("int").alias("shard"), "slot")
+    return full.join(placed, number).select(*columns, "shard", "slot")
 
 
 def shard_report(docs: DataFrame, shards: int = 8) -> DataFrame:
