@@ -65,38 +65,53 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def fit_sample(pool: DataFrame, rows: int, chars: int) -> tuple[list[tuple[str, object]], DataFrame]:
-    """A bounded sample of ``pool(doc_id, text, y)`` to fit a model on, and the table of all ids and labels it comes from.
+def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, learnable: Column) -> DataFrame:
+    """``(doc_id, y, size)`` of the learnable documents that ``label`` marks 0 or 1. Lengths meet the labels, never texts."""
+    known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    return docs.filter(learnable & F.col("text").isNotNull()).select("doc_id", F.length("text").alias("size")).join(known, "doc_id")
 
-    Of each label the ``rows`` texts with the least digests of their ids, those of at most ``chars`` characters
+
+def fit_sample(ids: DataFrame, texts: DataFrame, rows: int, chars: int) -> tuple[list[tuple[str, object]], DataFrame]:
+    """A bounded sample of ``texts(doc_id, text)``, which may also have ``y``, to fit a model on; and the table of all
+    ``ids(doc_id, y, size)`` that it comes from.
+
+    Of each label the ``rows`` texts with the least draws by their ids, those of at most ``chars`` characters
     first. Longer ones fill up a label that has fewer, as long as the label's texts stay within rows * chars
     characters together; one that alone is longer is left out. Two passes read the texts: one for ids and lengths,
-    one for the sample. Of texts that share an id and a label the least is taken. In the order of ids.
+    one for the sample. Of texts that share an id and a label the least is taken. In the order of ids; rows without
+    id, text or label are left out.
     """
-    size = F.length("text")
     digest = F.sha2(F.col("doc_id").cast("string"), 256)
-    ids = materialize(pool.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("y").isNotNull()).select("doc_id", "y", size.alias("size"), digest.alias("digest")))
-    first = ids.groupBy("doc_id", "y", "digest").agg(F.min("size").alias("size"))
-    place = F.row_number().over(W.partitionBy("y").orderBy(F.col("size") > chars, "digest", "doc_id"))
-    chosen, left = [], {}
-    for r in first.withColumn("place", place).filter(F.col("place") <= rows).orderBy("y", "place").collect():
-        left[r["y"]] = left.get(r["y"], rows * chars) - r["size"]
-        if left[r["y"]] >= 0:
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    known = F.col("doc_id").isNotNull() & F.col("size").isNotNull() & F.col("y").isNotNull()
+    ids = materialize(ids.filter(known).select("doc_id", "y", "size", draw.alias("draw")))
+    once = ids.groupBy("doc_id", "y", "draw").agg(F.min("size").alias("size")).withColumn("long", F.col("size") > chars)
+    counts = once.groupBy("y", "long").count().collect()
+    chosen: list[tuple] = []
+    for times in (4, 64, None):  # only low draws are ranked; all of them should these ever be too few
+        most = [(r["y"], r["long"], min(1.0, (times * rows + 100) / r["count"]) if times else 1.0) for r in counts]
+        if not most:
+            break
+        limits = once.sparkSession.createDataFrame(most, once.select("y", "long", "draw").schema).withColumnRenamed("draw", "most")
+        near = once.join(F.broadcast(limits), ["y", "long"]).filter(F.col("draw") <= F.col("most"))
+        place = F.row_number().over(W.partitionBy("y", "long").orderBy("draw", "doc_id"))
+        ranked = near.withColumn("place", place).filter(F.col("place") <= rows).orderBy("y", "long", "place").collect()
+        found = {(r["y"], r["long"]): r["place"] for r in ranked}
+        if all(found.get((r["y"], r["long"]), 0) >= min(rows, r["count"]) for r in counts):
+            break
+    taken: dict[object, list[int]] = {}
+    for r in ranked if counts else []:
+        number, space = taken.setdefault(r["y"], [0, rows * chars])
+        if number < rows and r["size"] <= space:
+            taken[r["y"]] = [number + 1, space - r["size"]]
             chosen.append((r["doc_id"], r["y"]))
-        else:
-            left[r["y"]] += r["size"]
     if not chosen:
         return [], ids
     # at most `rows` ids of each label
-    kept = F.broadcast(pool.sparkSession.createDataFrame(chosen, pool.select("doc_id", "y").schema))
-    found = pool.join(kept, ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min(F.struct(F.length("text"), "text")).alias("x"))
-    return [(r["text"], r["y"]) for r in found.orderBy("doc_id", "y").select("x.text", "y").collect()], ids
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``(doc_id, text, y)`` of the documents that ``label`` marks 0 or 1."""
-    known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).distinct()
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    kept = F.broadcast(ids.sparkSession.createDataFrame(chosen, ids.select("doc_id", "y").schema))
+    both = texts.filter(F.col("text").isNotNull()).join(kept, ["doc_id", "y"] if "y" in texts.columns else "doc_id")
+    least = both.groupBy("doc_id", "y").agg(F.min(F.struct(F.length("text"), "text")).alias("x"))
+    return [(r["text"], r["y"]) for r in least.orderBy("doc_id", "y").select("x.text", "y").collect()], ids
 
 
 def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:

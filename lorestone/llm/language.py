@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorestone.llm import wordvec as wv
-from lorestone.llm.common import crc_mod, fit_sample
+from lorestone.llm.common import crc_mod, fit_sample, materialize
 
 #: Texts that a fit takes at most, of each language and of all together; texts of more characters come after all others.
 #: All languages are learned; more than ``MOST_LANGUAGES``, whose weights would not fit a task, are an error.
@@ -241,10 +241,11 @@ def fit(texts: list[str], languages: list[str]) -> Field:
 def train(docs: DataFrame, folds: int = 3, held_out: int = 1, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Field:
     """Fit on at most ``rows`` texts of each language, fewer where there are so many languages that FIT_TOTAL binds."""
     pool = docs.filter(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out)).select("doc_id", "text", F.col("lang").alias("y"))
-    n = pool.filter(F.col("text").isNotNull()).select("y").distinct().limit(MOST_LANGUAGES + 1).count()
+    ids = materialize(pool.select("doc_id", "y", F.length("text").alias("size")).filter("size is not null"))
+    n = ids.select("y").distinct().limit(MOST_LANGUAGES + 1).count()
     if n > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sample, _ = fit_sample(pool, max(1, min(rows, FIT_TOTAL // max(1, n))), chars)
+    sample, _ = fit_sample(ids, pool, max(1, min(rows, FIT_TOTAL // max(1, n))), chars)
     return fit([t for t, _ in sample], [y for _, y in sample])
 
 

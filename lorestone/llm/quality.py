@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorestone.llm import wordvec as wv
-from lorestone.llm.common import crc_mod, fit_sample, labelled
+from lorestone.llm.common import crc_mod, fit_sample, labelled_ids
 
 #: Labelled rows of either label that a fit takes at most; texts of more characters come after all others.
 FIT_ROWS, FIT_CHARS = 1500, 20_000
@@ -199,7 +199,8 @@ def fit(texts: list[str], labels: list[int]) -> Field:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Field:
     """Fit on at most ``rows`` documents of either label."""
-    sample, _ = fit_sample(labelled(docs, labels, label).filter(crc_mod(F.col("doc_id"), folds) != held_out), rows, chars)
+    ids = labelled_ids(docs, labels, label, crc_mod(F.col("doc_id"), folds) != held_out)
+    sample, _ = fit_sample(ids, docs.select("doc_id", "text"), rows, chars)
     return fit([t for t, _ in sample], [y for _, y in sample])
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorestone.llm import wordvec as wv
-from lorestone.llm.common import crc_mod, fit_sample, labelled, unused
+from lorestone.llm.common import crc_mod, fit_sample, labelled_ids, unused
 
 #: Labelled rows of either label that a fit takes at most; texts of more characters come after all others.
 FIT_ROWS, FIT_CHARS = 1500, 12_000
@@ -303,8 +303,8 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Netw
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Network:
     """Fit on at most ``rows`` documents of either label; the share of toxic ones is that of all that may be learned from."""
-    pool = labelled(docs, labels, "toxic").filter(crc_mod(F.col("doc_id"), 3) != 1)
-    sample, ids = fit_sample(pool, rows, chars)
+    ids = labelled_ids(docs, labels, "toxic", crc_mod(F.col("doc_id"), 3) != 1)
+    sample, ids = fit_sample(ids, docs.select("doc_id", "text"), rows, chars)
     share = ids.select("doc_id", "y").distinct().agg(F.avg("y")).first()[0] or 0.0
     return fit([t for t, _ in sample], [y for _, y in sample], share)
 

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lorestone.llm import common, language, toxicity, wordvec
 
@@ -121,12 +122,14 @@ def test_every_language_is_learned_and_too_many_are_an_error(spark, monkeypatch)
 def test_the_sample_is_bounded_and_the_same_again(spark):
     rows = [(i, "x" * (5 + i % 7), i % 2) for i in range(50)] + [(100 + i, "y" * 40, 2) for i in range(9)] + [(3, "other", 1), (None, "no id", 1), (60, None, 1)]
     pool = spark.createDataFrame(rows, "doc_id long, text string, y int")
-    got, _ = common.fit_sample(pool, 6, 20)
-    again, _ = common.fit_sample(pool.repartition(5), 6, 20)
+    def sample(pool):
+        return common.fit_sample(pool.select("doc_id", "y", F.length("text").alias("size")), pool, 6, 20)[0]
+
+    got, again = sample(pool), sample(pool.repartition(5))
     # of label 2 all texts are longer than 20: as many as fit 6 * 20 characters
     assert got == again and [sum(y == k for _, y in got) for k in (0, 1, 2)] == [6, 6, 3]
     assert all(len(t) <= 20 for t, y in got if y < 2)
-    assert common.fit_sample(pool.limit(0), 6, 20)[0] == []
+    assert sample(pool.limit(0)) == []
 
 
 def test_hashes_of_long_texts_go_by_pieces(monkeypatch):
