@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,7 +73,7 @@ def resplit(text: Column, budget: int = TOKEN_BUDGET) -> Column:
 
 
 def content_type(text: Column) -> Column:
-    code, grid = text.contains("```"), text.rlike(r"(?m)^\|.*\|")
+    code, grid = text.contains("```"), text.rlike(r"(?md)^\|[^\n]+\|")
     return F.when(code & grid, "mixed").when(code, "code").when(grid, "table").otherwise("text")
 
 
@@ -80,7 +82,8 @@ def short_hash(*parts: Column) -> Column:
 
 
 def first_heading(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?m)^#+[ \t]+(.+)", 1), F.lit(""))
+    """The text after the first line's number signs; blanks before it may be line ends."""
+    return F.nullif(F.regexp_extract(text, r"(?mdU)^#+\s+([^\n]+)", 1), F.lit(""))
 
 
 def breadcrumb(parents: Column, heading: Column) -> Column:
@@ -115,18 +118,73 @@ def ellipsis(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
 
 
-def glob_pattern(glob: str) -> str:
-    """A full-match pattern for a glob: ``**/`` is any folders, ``*`` stays inside one name."""
+def glob_pattern(glob: str, watcher: bool = False) -> str:
+    """A full-match pattern for a glob: ``**/`` is any folders, ``*`` stays inside one name. When a folder is scanned, any
+    other ``**`` is everything below and ``?`` one character; to a ``watcher`` a ``**`` is two stars and ``?`` itself."""
     out, i = "", 0
     while i < len(glob):
         if glob.startswith("**/", i):
             out, i = out + "(.*/)?", i + 3
-        elif glob.startswith("**", i):
+        elif glob.startswith("**", i) and not watcher:
             out, i = out + ".*", i + 2
+        elif glob[i] == "?" and not watcher:
+            out, i = out + "[^/]", i + 1
         elif glob[i] == "*":
             out, i = out + "[^/]*", i + 1
-        elif glob[i] == "?":
-            out, i = out + "[^/]", i + 1
         else:
-            out, i = out + ("\\" + glob[i] if glob[i] in r"\.[]{}()+-^$|" else glob[i]), i + 1
+            out, i = out + ("\\" + glob[i] if glob[i] in r"\.[]{}()+-^$|?" else glob[i]), i + 1
     return f"^{out}$"
+
+
+def json_list(text: Column) -> Column:
+    """A JSON list of texts; anything else is an empty list."""
+    return F.coalesce(F.from_json(text, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))
+
+
+def json_map(text: Column) -> Column:
+    """A JSON object as a map of texts; anything else is an empty map."""
+    return F.coalesce(F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
+
+
+def title(frontmatter: Column, path: Column) -> Column:
+    """The header's title, else the last part of the path, else the path."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.coalesce(F.nullif(F.get_json_object(frontmatter, "$.title"), F.lit("")), F.nullif(name, F.lit("")), path)
+
+
+def tags(frontmatter: Column, labels: Column) -> Column:
+    """The header's tags, a list or a text with commas, else the labels."""
+    said = F.get_json_object(frontmatter, "$.tags")
+    return F.coalesce(F.when(said.startswith("["), json_list(said)).when(said.isNotNull(), comma_list(said)), labels)
+
+
+def is_identifier(name: Column) -> Column:
+    return name.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")
+
+
+def utc(milliseconds: Column) -> Column:
+    return F.timestamp_millis(milliseconds)
+
+
+def version(text: Column) -> Column:
+    """``major.minor.patch`` as a struct of numbers; null if the text is no such version."""
+    part = lambda k: F.regexp_extract(text, r"^(\d+)\.(\d+)\.(\d+)", k).try_cast("int")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))
+
+
+def compatible(mine: Column, theirs: Column) -> Column:
+    """Whether two versions have the same major number; what is no version is not compatible."""
+    return F.coalesce(version(mine)["major"] == version(theirs)["major"], F.lit(False))
+
+
+def is_read_only(sql: str) -> bool:
+    """Whether a query has none of the words that write."""
+    return not re.search(r"(?i)\b(create|merge|delete|set|remove|detach|insert|update|drop|alter|truncate)\b", sql)
+
+
+def resplit_parts(text: Column, crumb: Column, budget: int = TOKEN_BUDGET) -> Column:
+    """The parts of a text over the budget, numbered in their breadcrumbs and each with its own type."""
+    pieces = resplit(text, budget)
+    one = F.size(pieces) <= 1
+    named = lambda i: F.when(one, crumb).otherwise(F.concat(crumb, F.lit("#part-"), (i + 1).cast("string")))
+    return F.transform(pieces, lambda p, i: F.struct(i.alias("part"), named(i).alias("header_breadcrumb"), p.alias("content"), content_type(p).alias("content_type")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The closed vocabularies.
 ARTIFACT_LABELS = ("Module", "Class", "Function", "Method", "OpenApiSpec", "OpenApiOperation", "OpenApiSchema", "MarkdownSection")
 KB_LINK_KINDS = ("depends_on", "fork_of", "references", "related_to", "mirrors")
+RELATES_KINDS = ("imports", "inherits_from", "implements", "calls", "references", "documents")
 ANNOTATION_KINDS = ("summary", "gotcha", "caveat", "note")
 CONTENT_TYPES = ("text", "code", "table", "mixed")
 CHUNK_KINDS = ("text", "code", "openapi_operation", "openapi_schema", "markdown_section")

@@ -59,9 +59,13 @@ def reach(nodes: DataFrame, ways: DataFrame, roots: Column, depth: int | None =
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 1, limit: int = 50, direction: str = "both") -> tuple[DataFrame, DataFrame]:
-    """Nodes by distance and id, the root among them, up to the limit; and the edges between them."""
-    kept = reach(nodes, steps(edges, direction), F.col("id") == root, depth).orderBy("distance", "id").limit(limit)
-    return kept, with_both_ends(edges, kept)
+    """Nodes by distance and id, the root among them, up to the limit; and the edges on the ways to them. An edge
+    between two nodes of the greatest distance is on no way."""
+    kept = written(reach(nodes, steps(edges, direction), F.col("id") == root, depth).orderBy("distance", "id").limit(limit))
+    walked = kept.filter(F.col("distance") < depth).select("id")
+    out, into = (edges.join(walked.select(F.col("id").alias(end)), end, "left_semi").select(*edges.columns) for end in ("from_id", "to_id"))
+    ways = {"out": out, "in": into, "both": out.unionByName(into.join(walked.select(F.col("id").alias("from_id")), "from_id", "left_anti").select(*edges.columns))}[direction]
+    return kept, with_both_ends(ways, kept)
 
 
 def descendants(nodes: DataFrame, edges: DataFrame, root: Column, depth: int | None = None) -> DataFrame:
@@ -85,10 +89,12 @@ def describe(nodes: DataFrame, edges: DataFrame, annotations: DataFrame) -> Data
     return nodes.join(notes, "id", "left").join(out, "id", "left").join(into, "id", "left")
 
 
-def find(nodes: DataFrame, name: str | None = None, qualname: str | None = None, label: str | None = None, tag: str | None = None, kb: str | None = None, limit: int = 50) -> DataFrame:
-    """Artifacts by prefixes of name and qualified name, label, tag and knowledge base, in id order."""
-    wanted = F.col("id").isNotNull()
-    for value, test in ((name, lambda v: F.col("name").startswith(v)), (qualname, lambda v: F.col("qualname").startswith(v)), (label, lambda v: F.col("label") == v), (tag, lambda v: F.array_contains("tags", v)), (kb, lambda v: F.col("kb_name") == v)):
+def find(nodes: DataFrame, name: str | None = None, qualname: str | None = None, label: str | Sequence[str] | None = None, tag: str | Sequence[str] | None = None, kb: str | None = None, limit: int = 50) -> DataFrame:
+    """Artifacts by prefixes of name and qualified name, any of some labels, any of some tags, and knowledge base, in id
+    order. Knowledge bases and the store's own records are no artifacts."""
+    wanted = F.col("id").isNotNull() & ~F.coalesce(F.col("label").isin("Kb", "_Meta"), F.lit(False)) if "label" in nodes.columns else F.col("id").isNotNull()
+    several = lambda v: [v] if isinstance(v, str) else list(v)
+    for value, test in ((name, lambda v: F.col("name").startswith(v)), (qualname, lambda v: F.col("qualname").startswith(v)), (label, lambda v: F.col("label").isin(several(v))), (tag, lambda v: F.arrays_overlap("tags", F.array(*map(F.lit, several(v))))), (kb, lambda v: F.col("kb_name") == v)):
         if value is not None:
             wanted = wanted & test(value)
     return nodes.filter(wanted).orderBy("id").limit(limit)
@@ -104,6 +110,31 @@ def upsert_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select("id", F.coalesce("label", "old_label").alias("label"), F.coalesce("kb_name", "old_kb").alias("kb_name"), merged.alias("properties"))
 
 
+def _over(old: str, new: str) -> Column:
+    """Properties of ``new`` over those of ``old``."""
+    empty = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce(F.col(old), empty), F.coalesce(F.col(new), empty)
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+
+
+def one_each(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of each key, the same on every run: maps count by their sorted entries."""
+    said = F.to_json(F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if rows.schema[c].dataType.typeName() == "map" else F.col(c) for c in rows.columns]))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(said))
+    return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
+
+
+def merge_relates(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """``edges`` with ``changes``: one edge for each pair of ends, type and kind, new properties over old ones."""
+    fresh = one_each(changes, EDGE_KEY).withColumnRenamed("properties", "new")
+    match = [edges[k].eqNullSafe(fresh[k]) for k in EDGE_KEY]
+    both = edges.select(*[F.col(k).alias(f"old_{k}") for k in EDGE_KEY], F.col("properties").alias("old")).join(fresh, [F.col(f"old_{k}").eqNullSafe(fresh[k]) for k in EDGE_KEY], "inner")
+    merged = both.select(*EDGE_KEY, _over("old", "new").alias("properties"))
+    kept = edges.join(fresh, match, "left_anti").select(*EDGE_KEY, "properties")
+    new = fresh.join(edges, match, "left_anti").select(*EDGE_KEY, F.col("new").alias("properties"))
+    return kept.unionByName(merged).unionByName(new)
+
+
 def merge_edges(edges: DataFrame, order: Sequence[Column]) -> DataFrame:
     """One edge for each pair of ends, type and kind: the first in the order."""
     place = F.row_number().over(W.partitionBy(*EDGE_KEY).orderBy(*order))
@@ -137,10 +168,16 @@ def reattach(annotations: DataFrame, nodes: DataFrame, moves: DataFrame) -> Data
     return both.withColumn("target_id", F.when(F.col("there").isNull() & F.col("new_target").isNotNull(), F.col("new_target")).otherwise(F.col("target_id"))).select(*annotations.columns)
 
 
-def annotate(annotations: DataFrame, added: DataFrame) -> DataFrame:
-    """Summaries take the place of the target's last one, with its id and time of creation; others are added."""
-    old = annotations.filter("kind = 'summary'").select("target_id", F.col("id").alias("old_id"), F.col("created_at").alias("old_created"))
-    fresh = added.join(old, (added["target_id"] == old["target_id"]) & (added["kind"] == "summary"), "left").drop(old["target_id"])
+def annotate(annotations: DataFrame, added: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Summaries take the place of the target's last one, with its id and time of creation; others are added. Those of
+    targets that are not among the nodes, if these are given, are left out; of a batch's summaries for one target the last one counts."""
+    if nodes is not None:
+        added = added.join(nodes.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi").select(*added.columns)
+    last = F.row_number().over(W.partitionBy("target_id").orderBy(F.desc("created_at"), F.desc("id")))
+    summaries = added.filter("kind = 'summary'").withColumn("__place", last).filter("__place = 1").drop("__place")
+    added = added.filter("kind <> 'summary'").unionByName(summaries)
+    old = annotations.filter("kind = 'summary'").select(F.col("target_id").alias("old_target"), F.col("id").alias("old_id"), F.col("created_at").alias("old_created"))
+    fresh = added.join(old, (F.col("target_id") == F.col("old_target")) & (F.col("kind") == "summary"), "left")
     fresh = fresh.withColumn("id", F.coalesce("old_id", "id")).withColumn("created_at", F.coalesce("old_created", "created_at")).select(*annotations.columns)
     return annotations.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
@@ -162,14 +199,27 @@ def reconcile(nodes: DataFrame, edges: DataFrame, members: DataFrame, annotation
     below = reach(everyone.join(lost.withColumn("lost", F.lit(True)), "id", "left"), steps(edges.filter("rel_type = 'CONTAINS'"), "out"), F.col("lost"), depth).select("id")
     victims = written(below.join(members_now.select("id"), "id", "left_anti").distinct())
     nodes, edges = delete_nodes(nodes, edges, victims)
-    nodes = upsert_nodes(nodes, parsed_docs.unionByName(parsed_nodes.drop("doc_id")).dropDuplicates(["id"]))
+    nodes = upsert_nodes(nodes, one_each(parsed_docs.unionByName(parsed_nodes.drop("doc_id")), ["id"]))
     owned = members.join(docs, "doc_id", "left_semi").select("id").union(docs.select(F.col("doc_id").alias("id"))).distinct()
     stale = edges.filter("rel_type = 'RELATES'").join(owned.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
     edges = edges.join(stale.select(*EDGE_KEY), [edges[k].eqNullSafe(stale[k]) for k in EDGE_KEY], "left_anti")
-    edges = edges.unionByName(parsed_edges).dropDuplicates(list(EDGE_KEY))
+    # a relation needs a kind
+    edges = merge_relates(edges, parsed_edges.filter("rel_type <> 'RELATES' or kind is not null"))
     return {"nodes": nodes, "edges": edges, "members": members_now, "annotations": orphan(annotations, victims, now)}
 
 
+def delete_document(nodes: DataFrame, edges: DataFrame, members: DataFrame, annotations: DataFrame, docs: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """The graph without ``docs(id)``: what they alone hold goes with all below it, annotations stay as orphans."""
+    gone = docs.select(F.col("id").alias("doc_id"))
+    kept = members.join(gone, "doc_id", "left_anti")
+    heads = docs.select("id").union(members.join(gone, "doc_id", "left_semi").select("id")).distinct()
+    heads = heads.join(kept.select("id"), "id", "left_anti").withColumn("head", F.lit(True))
+    below = reach(nodes.select("id").join(heads, "id", "left"), steps(edges.filter("rel_type = 'CONTAINS'"), "out"), F.col("head"))
+    victims = written(below.select("id").join(kept.select("id"), "id", "left_anti").distinct())
+    nodes, edges = delete_nodes(nodes, edges, victims)
+    return {"nodes": nodes, "edges": edges, "members": kept, "annotations": orphan(annotations, victims, now)}
+
+
 def graph_shape(cells: DataFrame, federation: str = "federation") -> tuple[DataFrame, DataFrame]:
     """``cells(id, label, kind, source, target)`` as nodes, each id once, and edges."""
     edge = F.col("source").isNotNull() & F.col("target").isNotNull() & F.col("kind").isNotNull()

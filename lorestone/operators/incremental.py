@@ -28,20 +28,28 @@ def merge_rules(general: Sequence[Rule], local: Sequence[Rule]) -> list[Rule]:
     return [own.get(r.name, r) for r in general] + [r for r in local if r.name not in names]
 
 
-def excluded(path: Column, rules: Sequence[Rule]) -> Column:
+def excluded(path: Column, rules: Sequence[Rule], watcher: bool = False) -> Column:
     """Whether any exclude rule matches, in whatever order the rules come."""
     hit = F.lit(False)
     for r in rules:
         if r.exclude:
-            hit = hit | path.rlike(glob_pattern(r.glob))
+            hit = hit | path.rlike(glob_pattern(r.glob, watcher))
     return hit
 
 
-def first_rule(path: Column, rules: Sequence[Rule]) -> Column:
+def first_rule(path: Column, rules: Sequence[Rule], watcher: bool = False) -> Column:
     """The name of the first include rule that matches, or null. A chain of conditions: no join."""
     found = F.lit(None).cast("string")
     for r in reversed([r for r in rules if not r.exclude]):
-        found = F.when(path.rlike(glob_pattern(r.glob)), F.lit(r.name)).otherwise(found)
+        found = F.when(path.rlike(glob_pattern(r.glob, watcher)), F.lit(r.name)).otherwise(found)
+    return found
+
+
+def rule_labels(path: Column, rules: Sequence[Rule]) -> Column:
+    """The labels of the first include rule that matches; none if no rule does."""
+    found = F.array().cast("array<string>")
+    for r in reversed([r for r in rules if not r.exclude]):
+        found = F.when(path.rlike(glob_pattern(r.glob)), F.array(*map(F.lit, r.labels)).cast("array<string>")).otherwise(found)
     return found
 
 
@@ -51,7 +59,7 @@ def assign_rules(files: DataFrame, rules: Sequence[Rule], path: str = "path") ->
 
 def watched(path: Column, rules: Sequence[Rule], own_folder: str = ".lorestone/") -> Column:
     """Whether a changed path matters: no editor's temporary file, not of our own, and included."""
-    return ~path.rlike(r"(\.swp|\.swo|\.tmp|~)$") & ~path.startswith(own_folder) & ~excluded(path, rules) & first_rule(path, rules).isNotNull()
+    return ~path.rlike(r"(\.swp|\.swo|\.tmp|~)$") & ~path.startswith(own_folder) & ~excluded(path, rules, True) & first_rule(path, rules, True).isNotNull()
 
 
 def diff_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -77,8 +85,8 @@ def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the order. Rows travel as one struct that is combined before it
-    is shuffled, so a key with most rows stays cheap."""
+    """The first row of each key in the order: each task passes on one row of a key only, so a key with most rows stays
+    cheap."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
 
@@ -101,7 +109,8 @@ def cache_touch(cache: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
 
 
 def cache_put(cache: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
-    fresh = rows.dropDuplicates(["content_hash", "model"]).withColumn("created_at", now).withColumn("accessed_at", now)
+    one = F.min(F.struct("dimensions", "vector")).alias("x")  # of two vectors of one text always the same one
+    fresh = rows.groupBy("content_hash", "model").agg(one).select("content_hash", "model", "x.*").withColumn("created_at", now).withColumn("accessed_at", now)
     return upsert(cache, fresh, ["content_hash", "model"])
 
 
@@ -110,9 +119,50 @@ def cache_prune(cache: DataFrame, older_than_ms: int, now: Column) -> DataFrame:
     return cache.filter(F.col("accessed_at") >= now - F.lit(older_than_ms))
 
 
-def cache_stats(cache: DataFrame, model: str = "model") -> DataFrame:
-    """Entries of each model, and of all (a null model)."""
-    return cache.rollup(model).agg(F.count("*").alias("entries"))
+def cache_clear(cache: DataFrame, model: str | None = None) -> DataFrame:
+    """What stays once a model's rows, or all, are gone."""
+    return cache.filter(F.col("model") != model) if model is not None else cache.limit(0)
+
+
+def cache_stats(cache: DataFrame, model: str = "model", vector: str = "vector") -> DataFrame:
+    """Entries of each model and bytes of their vectors, of 4 bytes a number; a null model is the sum of all."""
+    size = (F.sum(F.size(vector)) * 4).alias("bytes") if vector in cache.columns else F.lit(None).cast("long").alias("bytes")
+    return cache.rollup(model).agg(F.count("*").alias("entries"), size)
+
+
+def job_counters(states: DataFrame) -> DataFrame:
+    """One row of ``states(state, chunks, hits, misses)``, a row a file: what a job did, and its cache hit rate."""
+    of = lambda *names: F.count_if(F.col("state").isin(*names))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    done = states.agg(
+        of("new", "changed", "same_time", "same_content").alias("files_total"), of("new", "changed").alias("files_processed"), of("same_time", "same_content").alias("files_skipped"),
+        of("deleted").alias("files_deleted"), total("chunks").alias("chunks_created"), total("hits").alias("cache_hits"), total("misses").alias("cache_misses"),
+    )
+    return done.withColumn("cache_hit_rate", hit_rate(F.col("cache_hits"), F.col("cache_misses")))
+
+
+def last_finished_job(jobs: DataFrame) -> DataFrame:
+    """Of ``jobs(job_id, status, created_at, finished_at, ...)`` the completed one that ended last, with its hit rate."""
+    done = jobs.filter("status = 'completed'").orderBy(F.coalesce("finished_at", "created_at").desc_nulls_last(), F.desc("job_id")).limit(1)
+    return done.withColumn("cache_hit_rate", hit_rate(F.col("cache_hits"), F.col("cache_misses")))
+
+
+def current_job(jobs: DataFrame) -> DataFrame:
+    return jobs.filter("status = 'running'").orderBy(F.desc("created_at"), F.desc("job_id")).limit(1)
+
+
+def status(chunks: DataFrame, jobs: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: documents, chunks, the running job, cache entries and the last finished job's hit rate."""
+    sides = (
+        chunks.agg(F.count_distinct("file_path").alias("documents"), F.count("*").alias("chunks")),
+        current_job(jobs).agg(F.max("job_id").alias("current_job")),
+        cache.agg(F.count("*").alias("cache_entries")),
+        last_finished_job(jobs).agg(F.max("cache_hit_rate").alias("last_hit_rate")),
+    )
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.crossJoin(F.broadcast(side))  # each is one row
+    return out
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:

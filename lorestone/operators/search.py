@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lorestone.functions import vectors
 
 EXCERPT = 200
+#: Queries that every task holds at once, at most.
+MOST_QUERIES = 1_000
 
 
 def ranked(chunks: DataFrame, query: Sequence[float], vector: str = "vector") -> DataFrame:
@@ -25,6 +27,8 @@ def top_k(chunks: DataFrame, query: Sequence[float], key: str, k: int = 10, vect
 
 def top_k_each(queries: DataFrame, chunks: DataFrame, key: str, k: int = 10) -> DataFrame:
     """The k nearest of ``chunks`` for each of a few ``queries(query_id, query_vector)``."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: search them in parts")
     pairs = chunks.crossJoin(F.broadcast(queries)).withColumn("distance", F.round(vectors.squared_distance(F.col("vector"), F.col("query_vector")), 6))
     # the window has one group a query; a first cut inside each partition keeps k rows of it
     here = W.partitionBy("query_id", "part").orderBy("distance", key)
@@ -52,8 +56,39 @@ def excerpt(text: Column, size: int = EXCERPT) -> Column:
 
 
 def federated(chunks: DataFrame, query: Sequence[float], peer: str, key: str, k: int = 10, vector: str = "vector") -> DataFrame:
-    """The k nearest of every peer, merged by score. Salted first, so that a peer with most of the
+    """The k nearest of every peer, the best scores of all first, without a limit over all. Salted first, so that a peer with most of the
     rows is ranked by many tasks before its winners meet."""
     near = ranked(chunks, query, vector).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(64)))
     near = near.withColumn("place", F.row_number().over(W.partitionBy(peer, "salt").orderBy("distance", key))).filter(F.col("place") <= k)
-    return near.withColumn("place", F.row_number().over(W.partitionBy(peer).orderBy("distance", key))).filter(F.col("place") <= k).drop("salt")
+    return near.withColumn("place", F.row_number().over(W.partitionBy(peer).orderBy("distance", key))).filter(F.col("place") <= k).drop("salt").orderBy(F.desc("score"), peer, key)
+
+
+def by_peer(hits: DataFrame, peers: DataFrame, peer: str, key: str) -> DataFrame:
+    """``peers(peer, status)``, each with its hits in order; a peer that is not alive is unreachable and has none."""
+    listed = hits.groupBy(peer).agg(F.array_sort(F.collect_list(F.struct("distance", key, "score"))).alias("hits"))
+    out = peers.join(listed, peer, "left").withColumn("unreachable", ~F.col("status").eqNullSafe("alive"))
+    return out.withColumn("hits", F.when(~F.col("unreachable"), F.coalesce("hits", F.array().cast(listed.schema["hits"].dataType))))
+
+
+def checked_request(query: str, n: int = 20) -> tuple[str, int]:
+    """A search's text and number of results, if they are within bounds."""
+    if not 1 <= len(query) <= 500:
+        raise ValueError("a query has 1 to 500 characters")
+    if not 1 <= n <= 100:
+        raise ValueError("a search gives 1 to 100 results")
+    return query, n
+
+
+def search_text(chunks: DataFrame, query: str, embedder, key: str, k: int = 10, filters: dict[str, Sequence[str]] | None = None, labels_json: str = "labels_json") -> DataFrame:  # noqa: ANN001
+    """The k nearest to a text. Filters are substrings of the labels' JSON, all of which must be there; no other column
+    can be filtered on."""
+    if set(filters or ()) - {"labels"}:
+        raise ValueError("only labels can be filtered on")
+    for value in (filters or {}).get("labels", ()):
+        chunks = chunks.filter(label_like(F.col(labels_json), value))
+    return top_k(chunks, [float(x) for x in embedder([query])[0]], key, k)
+
+
+def pivot_to_nodes(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hits with the graph node that their chunk is about."""
+    return hits.join(nodes.select(F.col("id").alias("artifact_qualname"), F.col("label").alias("node_label"), F.col("properties").alias("node_properties")), "artifact_qualname")

@@ -12,6 +12,14 @@ def plan(store: DataFrame, mirror: DataFrame) -> DataFrame:
     return missing.unionByName(mirror.select("id").distinct().join(store.select("id"), "id", "left_anti").withColumn("action", F.lit("delete")))
 
 
+def applied(store: DataFrame, mirror: DataFrame) -> DataFrame:
+    """The mirror once the plan has been carried out; both have the same columns, ``id`` among them."""
+    todo = plan(store, mirror)
+    added = store.dropDuplicates(["id"]) if set(store.columns) == {"id"} else store
+    added = added.join(todo.filter("action = 'upsert'").select("id"), "id", "left_semi")
+    return mirror.join(todo.filter("action = 'delete'").select("id"), "id", "left_anti").unionByName(added)
+
+
 def status(store: DataFrame, mirror: DataFrame | None) -> DataFrame:
     """One row: both counts and the drift; without a mirror all of the store has drifted."""
     have = store.agg(F.count_distinct("id").alias("store_count"))

@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorestone.functions import text as tx
-from lorestone.operators import chunks, graph, incremental, search, sync
+from lorestone.model import EDGES
+from lorestone.operators import chunks, graph, incremental, kb, search, store, sync
+from lorestone.sources import scratch
+from lorestone.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,28 +99,33 @@ def list_documents_all_labels(spark, sf_dir):  # B6 G6
     return table(spark, sf_dir, "documents").filter(search.has_labels(F.array("lang", "source"), ["en", "src3"])).select("doc_id")
 
 
-@query("""select doc_id, len(regexp_extract_all(text, '\\S+'))::int as token_count, coalesce(nullif(source, 'src0'), 'Document') as title from documents""")
-def document_metadata(spark, sf_dir):  # B20 B21 H39
+@query("""select doc_id, len(regexp_extract_all(text, '\\S+'))::int as token_count, case when doc_id % 2 = 0 then 'T' || doc_id else source || '.md' end as title,
+  array_to_string(case when doc_id % 3 = 0 then ['a', 'b'] when doc_id % 3 = 1 then ['x', lang] else ['l', lang] end, '|') as tags from documents""")
+def document_metadata(spark, sf_dir):  # B19 B20 B21 H39
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", tx.word_count(F.col("text")).alias("token_count"), F.coalesce(F.nullif("source", F.lit("src0")), F.lit("Document")).alias("title"))
+    tags = F.when(F.col("doc_id") % 3 == 0, F.lit('"tags": " a, b ,"')).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('"tags": ["x", "'), "lang", F.lit('"]')))
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"title": "T'), F.col("doc_id").cast("string"), F.lit('"')))
+    front = F.concat(F.lit("{"), F.concat_ws(", ", head, tags), F.lit("}"))
+    said = tx.tags(front, F.array(F.lit("l"), "lang"))
+    return d.select("doc_id", tx.word_count(F.col("text")).alias("token_count"), tx.title(front, F.concat(F.lit("docs/"), "source", F.lit(".md"))).alias("title"), F.array_join(said, "|").alias("tags"))
 
 
 MD = """select conv_id, turn, role, (case when turn % 3 = 2 then '### ' else '## ' end) || role || chr(10) || chr(10)
   || (case when turn % 5 = 4 then '```' || chr(10) || text || chr(10) || '```' else text end)
-  || (case when (conv_id + turn) % 7 = 6 then chr(10) || chr(10) || '| a | b |' || chr(10) else '' end) as md,
+  || (case when (conv_id + turn) % 7 = 6 then chr(10) || chr(10) || '| a | b |' || chr(10) when (conv_id + turn) % 7 = 5 then chr(10) || '||' || chr(10) else '' end) as md,
   case when turn % 3 = 2 then 3 else least(turn % 3 + 1, 2) end as lvl from conversations"""
 
 
 def markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, turn = table(spark, sf_dir, "conversations"), F.col("turn")
     body = F.when(turn % 5 == 4, F.concat(F.lit("```\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
-    grid = F.when((F.col("conv_id") + turn) % 7 == 6, "\n\n| a | b |\n").otherwise("")
+    grid = F.when((F.col("conv_id") + turn) % 7 == 6, "\n\n| a | b |\n").when((F.col("conv_id") + turn) % 7 == 5, "\n||\n").otherwise("")
     md = F.concat(F.when(turn % 3 == 2, "### ").otherwise("## "), "role", F.lit("\n\n"), body, grid)
     return c.select("conv_id", "turn", "role", md.alias("md"), F.when(turn % 3 == 2, 3).otherwise(F.least(turn % 3 + 1, F.lit(2))).cast("int").alias("lvl"))
 
 
-@query(f"""select conv_id, turn, case when contains(md, '```') and regexp_matches(md, '(?m)^\\|.*\\|') then 'mixed' when contains(md, '```') then 'code'
-  when regexp_matches(md, '(?m)^\\|.*\\|') then 'table' else 'text' end as content_type from ({MD})""")
+@query(f"""select conv_id, turn, case when contains(md, '```') and regexp_matches(md, '(?m)^\\|.+\\|') then 'mixed' when contains(md, '```') then 'code'
+  when regexp_matches(md, '(?m)^\\|.+\\|') then 'table' else 'text' end as content_type from ({MD})""")
 def content_type(spark, sf_dir):  # H7
     return markdown_view(spark, sf_dir).select("conv_id", "turn", tx.content_type(F.col("md")).alias("content_type"))
 
@@ -171,13 +179,11 @@ def chunk_ids(spark, sf_dir):  # H8
 
 
 @query(f"""select conv_id, turn, crumb, case when crumb = 'Document' then 1 else least(len(string_split(crumb, ' > ')), 3) end::int as level from (
-  select conv_id, turn, case when lvl = 3 then 'Top > user > ' || regexp_extract(md, '(?m)^#+[ \\t]+(.+)', 1) when lvl = 2 then 'Top > ' || regexp_extract(md, '(?m)^#+[ \\t]+(.+)', 1)
-    else regexp_extract(md, '(?m)^#+[ \\t]+(.+)', 1) end as crumb from ({MD})) where true""")
+  select conv_id, turn, array_to_string(case when h = parents[-1] then parents else list_append(parents, h) end, ' > ') as crumb from (
+    select conv_id, turn, regexp_extract(md, '(?m)^#+\\s+(.+)', 1) as h, case when lvl = 3 then ['Top', 'user'] when lvl = 2 then ['Top'] else []::varchar[] end as parents from ({MD})))""")
 def breadcrumb_level(spark, sf_dir):  # H9 H10
     parents = F.when(F.col("lvl") == 3, F.array(F.lit("Top"), F.lit("user"))).when(F.col("lvl") == 2, F.array(F.lit("Top"))).otherwise(F.array().cast("array<string>"))
-    heading = tx.first_heading(F.col("md"))
-    # a heading that repeats its parent is kept here by a mark that goes again
-    crumb = F.replace(tx.breadcrumb(parents, F.concat(heading, F.lit("\x01"))), F.lit("\x01"), F.lit(""))
+    crumb = tx.breadcrumb(parents, tx.first_heading(F.col("md")))
     return markdown_view(spark, sf_dir).select("conv_id", "turn", crumb.alias("crumb")).withColumn("level", tx.level(F.col("crumb")).cast("int"))
 
 
@@ -213,8 +219,8 @@ def discover_diff(spark, sf_dir):  # C1 C2 A3
 RULES = (
     incremental.Rule("drafts", "https://*/**/draft*", exclude=True),
     incremental.Rule("example", "https://*.example.com/**/*"),
-    incremental.Rule("secure", "https://**"),
-    incremental.Rule("rest", "**"),
+    incremental.Rule("secure", "https://**/*"),
+    incremental.Rule("rest", "**/*"),
 )
 
 
@@ -233,9 +239,10 @@ def cache_lookup_split(spark, sf_dir):  # C5 H15 A20
     return incremental.cache_lookup(d, cache, "hash", 1).select("doc_id", "content_hash", "hit")
 
 
-@query("select event_type as model, count(*) as entries from events group by rollup (event_type)")
+@query("select lang as model, count(*) as entries, (sum(doc_id % 3) * 4)::bigint as bytes from documents group by rollup(lang)")
 def cache_stats(spark, sf_dir):  # D5
-    return incremental.cache_stats(table(spark, sf_dir, "events").select(F.col("event_type").alias("model")))
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("model"), F.array_repeat(F.lit(0.0), (F.col("doc_id") % 3).cast("int")).alias("vector"))
+    return incremental.cache_stats(d)
 
 
 @query("select event_id from events where ts >= timestamp '2024-01-30' - interval 7 day")
@@ -245,19 +252,20 @@ def cache_prune(spark, sf_dir):  # A23
     return kept.select("event_id")
 
 
-@query("""select user_id, sum(case when event_type in ('view', 'click') then 1 else 0 end) as hits, round(sum(case when event_type in ('view', 'click') then 1 else 0 end) / nullif(count(*), 0), 6) as rate
-from events group by user_id""")
-def cache_hit_rate(spark, sf_dir):  # D8
-    hits = F.count_if(F.col("event_type").isin("view", "click"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(hits.alias("hits"), F.round(incremental.hit_rate(hits, F.count("*") - hits), 6).alias("rate"))
+@query("""select o_orderkey as job_id, (o_totalprice::bigint % 50)::bigint as cache_hits, (o_custkey % 7)::bigint as cache_misses,
+  round((o_totalprice::bigint % 50)::double / nullif((o_totalprice::bigint % 50) + o_custkey % 7, 0), 6) as cache_hit_rate from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey desc limit 1""")
+def cache_hit_rate(spark, sf_dir):  # D8: of the latest finished job
+    whole = F.round("o_totalprice").cast("bigint")
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("finished_at"), (whole % 50).alias("cache_hits"), (F.col("o_custkey") % 7).cast("bigint").alias("cache_misses"))
+    return incremental.last_finished_job(jobs).select("job_id", "cache_hits", "cache_misses", F.round("cache_hit_rate", 6).alias("cache_hit_rate"))
 
 
-@query("select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts from events group by user_id, event_type")
-def manifest_latest(spark, sf_dir):  # A17 E7
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
-    # the winner travels as one struct through partial sums: no sort, and a hot key stays cheap
-    best = e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m"))
-    return best.select("user_id", "event_type", "m.event_id", "m.ts")
+@query("""select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1""")
+def manifest_latest(spark, sf_dir):  # A17 E7: the manifest's rows of known users are replaced by later ones
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    order = [F.desc("ts"), F.desc("event_id")]
+    known = incremental.latest(e.filter("event_id % 3 = 0"), ["user_id"], order)
+    return incremental.upsert(known, incremental.latest(e, ["user_id"], order), ["user_id"])
 
 
 @query("select p_partkey, p_name from part where p_brand = (select min(p_brand) from part) and starts_with(p_type, 'S') order by p_partkey limit 50")
@@ -350,35 +358,52 @@ def reattach(spark, sf_dir):  # K18
     return graph.reattach(notes, live, notes.select("id", (F.col("id") + 1).alias("new_target")))
 
 
-@query("""select user_id, event_type, event_id from events where event_type <> 'view' union all select user_id, 'view', max(event_id) from events where event_type = 'view' group by user_id""")
-def summary_replace(spark, sf_dir):  # K15
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    last = e.filter("event_type = 'view'").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
-    return e.filter("event_type <> 'view'").unionByName(last)
-
-
-@query("""with old as (select doc_id, source from documents where doc_id % 4 <> 0), new as (select doc_id, source from documents where doc_id % 3 <> 0 and source = 'src0'),
-kept as (select doc_id, source from old where source <> 'src0' union select doc_id, source from new)
-select doc_id as id, source from kept""")
-def ingest_reconcile(spark, sf_dir):  # K12 G3 K24
+@query("""with e as (select user_id, event_type, event_id from events where user_id % 5 <> 0),
+old as (select user_id, max(event_id) as old_id from e where event_type = 'view' and event_id % 2 = 0 group by 1),
+new as (select user_id, max(event_id) as new_id from e where event_type = 'view' and event_id % 2 = 1 group by 1)
+select event_id as id, user_id as target_id, event_type as kind, event_id as body from e where event_type <> 'view'
+union all select coalesce(o.old_id, n.new_id), user_id, 'view', coalesce(n.new_id, o.old_id) from old o full join new n using (user_id)""")
+def summary_replace(spark, sf_dir):  # K15: odd events are written over what the even ones left, for users that exist
+    e = table(spark, sf_dir, "events").filter("user_id % 5 <> 0 or event_id % 2 = 1")
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("target_id"), F.when(F.col("event_type") == "view", "summary").otherwise(F.col("event_type")).alias("kind"), F.col("event_id").alias("body"), F.col("event_id").alias("created_at"))
+    nodes = e.filter("user_id % 5 <> 0").select(F.col("user_id").alias("id")).distinct()
+    before = graph.annotate(rows.limit(0), rows.filter("id % 2 = 0"), nodes)
+    after = graph.annotate(before, rows.filter("id % 2 = 1"), nodes)
+    return after.select("id", "target_id", F.when(F.col("kind") == "summary", "view").otherwise(F.col("kind")).alias("kind"), "body")
+
+
+@query("""with old as (select doc_id, source from documents where doc_id % 4 <> 0), new as (select doc_id, source from documents where doc_id % 3 <> 0)
+select 'node' as what, doc_id::varchar as a, null as b from new union all select distinct 'node', source, null from documents
+union all select 'edge', source, doc_id::varchar from new
+union all select 'note', doc_id::varchar, case when doc_id in (select doc_id from old where doc_id not in (select doc_id from new)) then null else doc_id::varchar end from labels
+union all select 'member', source, doc_id::varchar from new""")
+def ingest_reconcile(spark, sf_dir):  # K12 K13 G3 K24: all documents are parsed anew, each source being one
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     none = F.create_map().cast("map<string,string>")
     name = F.col("doc_id").cast("string")
     members = d.filter("doc_id % 4 <> 0").select(F.col("source").alias("doc_id"), name.alias("id"))
     node = lambda i: (i.alias("id"), F.lit("MarkdownSection").alias("label"), F.lit("kb").alias("kb_name"), none.alias("properties"))
-    nodes = d.filter("doc_id % 4 <> 0").select(*node(name)).union(d.select("source").distinct().select(*node(F.col("source"))))
+    parents = d.select("source").distinct().select(*node(F.col("source")))
+    nodes = d.filter("doc_id % 4 <> 0").select(*node(name)).union(parents)
     contains = lambda rows: rows.select(F.col("source").alias("from_id"), name.alias("to_id"), F.lit("CONTAINS").alias("rel_type"), F.lit(None).cast("string").alias("kind"), none.alias("properties"))
-    new = d.filter("doc_id % 3 <> 0 and source = 'src0'")
-    notes = spark.createDataFrame([], "id string, target_id string, updated_at timestamp")
-    out = graph.reconcile(nodes, contains(d.filter("doc_id % 4 <> 0")), members, notes, new.select("source").distinct().select(*node(F.col("source"))), new.select(F.col("source").alias("doc_id"), *node(name)), contains(new), F.current_timestamp())
-    left = out["members"].join(out["nodes"].select("id"), "id")
-    return left.select(F.col("id").cast("long").alias("id"), F.col("doc_id").alias("source"))
-
-
-@query("select n_nationkey as id, case when n_regionkey = 1 then 'out' else 'in' end as direction from nation where n_regionkey in (1, 2)")
-def kb_links(spark, sf_dir):  # K22 B12
-    n = table(spark, sf_dir, "nation")
-    return n.filter(F.col("n_regionkey").isin(1, 2)).select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") == 1, "out").otherwise("in").alias("direction"))
+    new = d.filter("doc_id % 3 <> 0")
+    notes = table(spark, sf_dir, "labels").select(name.alias("id"), name.alias("target_id"), F.lit(0).alias("updated_at"))
+    out = graph.reconcile(nodes, contains(d.filter("doc_id % 4 <> 0")), members, notes, parents, new.select(F.col("source").alias("doc_id"), *node(name)), contains(new), F.lit(1))
+    say = lambda part, what, a, b: out[part].select(F.lit(what).alias("what"), F.col(a).alias("a"), b.cast("string").alias("b"))
+    parts = say("nodes", "node", "id", F.lit(None)), say("edges", "edge", "from_id", F.col("to_id")), say("annotations", "note", "id", F.col("target_id")), say("members", "member", "doc_id", F.col("id"))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("""with kb as (select n_nationkey::varchar as name from nation), l as (select c_nationkey::varchar as f, (c_custkey % 30)::varchar as t, case when c_custkey % 2 = 0 then 'depends_on' else 'mirrors' end as kind, c_custkey, c_name from customer),
+one as (select f, t, kind, min(c_custkey) as created_at, max_by(c_name, c_custkey) as metadata_json from l where t in (select name from kb) group by 1, 2, 3)
+select f as from_kb, t as to_kb, kind, created_at, metadata_json, 'out' as direction from one where f = '3' union all select f, t, kind, created_at, metadata_json, 'in' from one where t = '3'""")
+def kb_links(spark, sf_dir):  # K22: links of all customers, of which those of one knowledge base are listed
+    kbs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"))
+    c = table(spark, sf_dir, "customer")
+    kind = F.when(F.col("c_custkey") % 2 == 0, "depends_on").otherwise("mirrors").alias("kind")
+    rows = c.select(F.col("c_nationkey").cast("string").alias("from_kb"), (F.col("c_custkey") % 30).cast("string").alias("to_kb"), kind, F.col("c_custkey").alias("created_at"), F.col("c_name").alias("metadata_json"))
+    links, _ = kb.link_kbs(rows.limit(0), rows, kbs)
+    return kb.links_of(links, "3")
 
 
 @query("""with s as (select doc_id as id from documents), m as (select doc_id as id from labels union select doc_id + 500000 from labels)
@@ -426,7 +451,104 @@ def asset_three_way(spark, sf_dir):  # A32 C18
 
 
 @query("""with m as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hour then 0 else 1 end as new from events),
-g as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as grp from m) select user_id, min(ts) as began, count(*) as changes from g group by user_id, grp""")
+g as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as grp from m) select user_id, min(ts) as began, max(ts) + interval 6 hour as ended, count(*) as changes from g group by user_id, grp""")
 def stream_debounce(spark, sf_dir):  # I1 I3
-    e = table(spark, sf_dir, "events").select("user_id", "ts")
-    return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("changes")).select("user_id", F.col("w.start").alias("began"), "changes")
+    return watch.bursts(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", gap="6 hours")
+
+
+@query("""select doc_id::varchar as file_path, doc_id % 10 as chunk_index, case when doc_id % 3 = 0 then upper(source) else source end as content from documents where doc_id % 5 <> 0 or doc_id % 3 = 0""")
+def chunk_replace(spark, sf_dir):  # A9 A13 A14 A15: documents are replaced in one snapshot, others are deleted
+    d = table(spark, sf_dir, "documents")
+    rows = lambda content: d.select(F.col("doc_id").cast("string").alias("file_path"), (F.col("doc_id") % 10).alias("chunk_index"), content.alias("content"), F.col("doc_id").cast("string").alias("chunk_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    root = scratch.folder(spark)
+    old = store.write(rows(F.col("source")), root)
+    new = rows(F.upper("source")).filter("cast(file_path as bigint) % 3 = 0")
+    gone = old.filter("cast(file_path as bigint) % 5 = 0 or cast(file_path as bigint) % 3 = 0").select("file_path")
+    store.write(store.replace_documents(old, new, gone, 2), root)
+    return store.read(spark, root, "file_path string").select("file_path", "chunk_index", "content")
+
+
+@query("select doc_id, 'text' as kind, '' as language, '' as artifact_qualname, '' as parent_document_id, source as header_breadcrumb, source as section_breadcrumb from documents")
+def schema_evolution(spark, sf_dir):  # A11 A12
+    return store.evolved_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("header_breadcrumb")))
+
+
+@query("""select doc_id::varchar as file_path, case when doc_id % 2 = 0 then sha256(text) else 'old' end as content_hash, case when doc_id % 2 = 0 then 2.0 when doc_id % 3 = 0 then 5.0 else 1.0 end::double as mtime from documents where doc_id % 7 <> 0""")
+def manifest_upsert(spark, sf_dir):  # A16 A17 A18 A19
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), "text")
+    old = d.select("path", F.lit("old").alias("content_hash"), F.lit(1.0).alias("mtime"))
+    fresh = d.filter("doc_id % 2 = 0").select("path", F.sha2("text", 256).alias("content_hash"), F.lit(2.0).alias("mtime"))
+    touched = incremental.touch_mtime(old, d.filter("doc_id % 3 = 0").select("path", F.lit(5.0).alias("mtime")))
+    kept = store.delete(incremental.upsert(touched, fresh, ["path"]), d.filter("doc_id % 7 = 0"), ["path"])
+    return kept.select(F.col("path").alias("file_path"), "content_hash", "mtime")
+
+
+@query("""select n_name as name, n_regionkey as created_at, 9 as updated_at, case when n_regionkey = 1 then 'new' else 'old' end as project_root from nation where n_name >= 'B' and n_name < 'K' and n_regionkey <> 4 order by name""")
+def kb_list(spark, sf_dir):  # K21 K33 B12
+    n = table(spark, sf_dir, "nation")
+    rows = n.select(F.col("n_name").alias("name"), F.lit("old").alias("project_root"), F.array(F.col("n_regionkey").cast("string")).alias("tags"), F.lit("{}").alias("metadata_json"), F.col("n_regionkey").alias("created_at"), F.lit(9).alias("updated_at"))
+    links = rows.select(F.col("name").alias("from_kb"), F.col("name").alias("to_kb"))
+    changed = kb.upsert_kbs(rows, rows.filter("created_at = 1").select("name", F.lit("new").alias("project_root"), "tags", "metadata_json"), F.lit(9))
+    kept, _ = kb.delete_kbs(changed, links, rows.filter("created_at = 4").select("name"))
+    return kb.list_kbs(kept).filter("name >= 'B' and name < 'K'").select("name", "created_at", "updated_at", "project_root")
+
+
+@query("""select n_nationkey as name, coalesce(s.n, 0) as links_out, coalesce(c.n, 0) as links_in from nation left join (select s_nationkey, count(*) as n from supplier group by 1) s on s_nationkey = n_nationkey
+left join (select s_suppkey % 30 as k, count(*) as n from supplier group by 1) c on c.k = n_nationkey""")
+def kb_link_counts(spark, sf_dir):  # C12
+    links = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("from_kb"), (F.col("s_suppkey") % 30).alias("to_kb"))
+    return kb.link_counts(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("name")), links)
+
+
+@query("""with l as (select 'o:' || l_orderkey as from_id, 'p:' || l_partkey as to_id, l_linenumber, l_suppkey from lineitem where l_orderkey % 3 <> 0),
+one as (select from_id, to_id, max_by(l_suppkey, l_linenumber) as author from l group by 1, 2)
+select from_id, to_id, 'documents' as kind, 'user:' || author as author from one""")
+def relates_link(spark, sf_dir):  # C7 C8 K11 K23: links of orders that exist, batch by batch, the others refused
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(F.concat(F.lit("o:"), "l_orderkey").alias("from_id"), F.concat(F.lit("p:"), "l_partkey").alias("to_id"), F.lit("documents").alias("kind"), F.concat(F.lit("user:"), "l_suppkey").alias("author"), F.lit("{}").alias("metadata_json"), "l_linenumber")
+    rows = incremental.latest(rows, ["from_id", "to_id"], [F.desc("l_linenumber")]).drop("l_linenumber")
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"))
+    nodes = orders.union(table(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey")))
+    edges, _ = kb.link_artifacts(spark.createDataFrame([], EDGES), rows, nodes)
+    return edges.select("from_id", "to_id", "kind", F.col("properties")["author"].alias("author"))
+
+
+@query("""select o_custkey % 3 = 0 as orphaned, count(*) as annotations from orders group by 1""")
+def annotation_targets(spark, sf_dir):  # C11 K16 K19: annotations with their targets, which may be gone
+    nodes = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.lit("Class").alias("label"), F.create_map(F.lit("name"), F.col("c_name")).alias("properties"))
+    notes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target_id"))
+    return kb.with_targets(notes, nodes).groupBy(F.col("target_label").isNull().alias("orphaned")).agg(F.count("*").alias("annotations"))
+
+
+@query("""with e as (select r_regionkey, 'r:' || r_regionkey as f, 'n:' || n_nationkey as t from region join nation on n_regionkey = r_regionkey union all select null, 'n:' || n_nationkey, 's:' || s_suppkey from nation join supplier on s_nationkey = n_nationkey)
+select f as from_id, t as to_id from e where f = 'r:1' or f in (select t from e where f = 'r:1')""")
+def neighbors_edges(spark, sf_dir):  # K2: the edges walked
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    name = lambda p, k: F.concat(F.lit(f"{p}:"), F.col(k).cast("string"))
+    edges = n.select(name("r", "n_regionkey").alias("from_id"), name("n", "n_nationkey").alias("to_id")).union(s.select(name("n", "s_nationkey"), name("s", "s_suppkey")))
+    ids = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct()
+    return graph.neighbors(ids, edges, "r:1", 2, 1_000_000, "out")[1]
+
+
+@query("""select count(*) as files_total, count(*) filter (doc_id % 4 in (0, 1)) as files_processed, count(*) filter (doc_id % 4 in (2, 3)) as files_skipped, 0 as files_deleted,
+  (sum(doc_id % 5) filter (doc_id % 4 < 2))::bigint as chunks_created, (sum(doc_id % 3) filter (doc_id % 4 < 2))::bigint as cache_hits, (sum(doc_id % 2) filter (doc_id % 4 < 2))::bigint as cache_misses from documents""")
+def job_counters(spark, sf_dir):  # D7 B24
+    d, did = table(spark, sf_dir, "documents"), F.col("doc_id") % 4 < 2
+    state = F.element_at(F.array(*map(F.lit, ("new", "changed", "same_time", "same_content"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = d.select(state.alias("state"), *[F.when(did, F.col("doc_id") % k).alias(c) for c, k in (("chunks", 5), ("hits", 3), ("misses", 2))])
+    return incremental.job_counters(rows).drop("cache_hit_rate")
+
+
+@query(f"""with near as (select e.label, e.vec_id, {DISTANCE} as distance {NEAR} qualify row_number() over (partition by e.label order by {DISTANCE}, e.vec_id) <= 3)
+select p.label, p.label % 2 = 1 as unreachable, case when p.label % 2 = 0 then count(n.vec_id) else -1 end as hits from (select distinct label from embeddings) p left join near n on n.label = p.label group by p.label""")
+def federated_by_peer(spark, sf_dir):  # D14 M4 A28: peers that are down are listed without hits
+    e = table(spark, sf_dir, "embeddings")
+    hits = search.federated(e, first_vector(spark, sf_dir), "label", "vec_id", 3, "embedding")
+    peers = e.select("label").distinct().withColumn("status", F.when(F.col("label") % 2 == 0, "alive").otherwise("unreachable"))
+    return search.by_peer(hits, peers, "label", "vec_id").select("label", "unreachable", F.coalesce(F.nullif(F.size("hits"), F.lit(-1)), F.lit(-1)).cast("long").alias("hits"))
+
+
+@query("""select id from (select doc_id as id from documents) order by id""")
+def sync_applied(spark, sf_dir):  # K27 A31 I7: the mirror after its plan
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return sync.applied(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), ids.union(ids.select(F.col("id") + 500_000)).distinct())

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorestone.operators.incremental import Rule, assign_rules
+from lorestone.sources.scratch import written
 
 FILES = "path string, content binary, mtime double, size_bytes bigint, content_hash string"
 
@@ -19,16 +24,71 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(plain, "^" + "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in "/" + root.split(":")[-1].strip("/")) + "/?", "")
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The folder with the scheme that Spark would take for it, so that tasks open the same store."""
+    if "://" in root:
+        return root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return re.sub(r":/+", "://" if "file" not in str(store.getUri()) else ":///", path.makeQualified(store.getUri(), store.getWorkingDirectory()).toString(), count=1)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, mtime, size_bytes)`` of every file below ``root``, names with a leading underscore or dot among them, which
+    Spark's own readers pass over. A job lists a level of folders, its tasks a folder each."""
+    uri = qualified(spark, root)
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch["path"]:
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
+                rows = [(x.path[len(base) :].strip("/"), x.mtime_ns / 1e9, x.size, x.type == fs.FileType.Directory) for x in found if x.type in (fs.FileType.File, fs.FileType.Directory)]
+                yield pd.DataFrame(rows, columns=["path", "mtime", "size_bytes", "is_dir"]).astype({"size_bytes": "Int64"})
+
+    level, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        found = written(level.mapInPandas(names, "path string, mtime double, size_bytes bigint, is_dir boolean"))
+        levels.append(found.filter("not is_dir").drop("is_dir"))
+        level = found.filter("is_dir").select("path")
+        n = level.count()
+        if not n:
+            return reduce(DataFrame.union, levels)
+        level = level.repartition(min(n, spark.sparkContext.defaultParallelism * 4))
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """Listed files with ``content`` and ``content_hash``, read in tasks; what has gone meanwhile is left out."""
+    uri = qualified(files.sparkSession, root)
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in files.schema)}, content binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for at in range(len(batch)):  # a file at a time, as one may be large
+                try:
+                    with store.open_input_file(f"{base}/{batch['path'].iloc[at]}") as file:
+                        yield batch.iloc[at : at + 1].assign(content=[file.readall()])
+                except FileNotFoundError:
+                    continue
+
+    return files.mapInPandas(run, schema).withColumn("content_hash", F.sha2("content", 256))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` with its content's hash; columns that are not asked for are not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return raw.select(relative(F.col("path"), root).alias("path"), "content", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"))
+    """Every file below ``root`` with its content and the content's hash."""
+    return with_content(listing(spark, root), root).select("path", "content", "mtime", "size_bytes", "content_hash")
 
 
 def discover(spark: SparkSession, root: str, rules: Sequence[Rule], tracked: DataFrame | None = None) -> DataFrame:
-    """Scanned files with their rule; of those, where ``tracked(path)`` is given, the tracked ones."""
-    files = assign_rules(scan(spark, root), rules)
-    return files if tracked is None else files.join(tracked.select("path"), "path", "left_semi")
+    """Files with their rule; of those, where ``tracked(path)`` is given, the tracked ones. Only these are read."""
+    files = assign_rules(listing(spark, root), rules)
+    return with_content(files if tracked is None else files.join(tracked.select("path"), "path", "left_semi"), root)
+
+
+def read_tracked(spark: SparkSession, names: str) -> DataFrame:
+    """``(path)`` of the tracked files, from a text file with a name a line."""
+    return spark.read.text(names).select(F.trim("value").alias("path")).filter("path <> ''").distinct()
 
 
 def read_rules(text: str) -> list[Rule]:

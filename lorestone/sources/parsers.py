@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import ast
 import json
+import posixpath
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorestone.functions import text as tx
 from lorestone.model import HTTP_METHODS
+from lorestone.operators.chunks import with_parent
+from lorestone.operators.graph import one_each
+from lorestone.operators.incremental import Rule, rule_labels
 
 BODY_CHARS = 800
 RESULT = (
@@ -59,6 +64,14 @@ def _load_yaml(text: str) -> Any:
     return yaml.safe_load(text)
 
 
+def _say_yaml(value: Any) -> str:
+    try:
+        import yaml
+    except ImportError:
+        return json.dumps(value)
+    return yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
+
+
 def markdown(text: str, kb: str, path: str, split_h2: bool = False) -> Found:
     """Sections by heading, fences left alone; with ``split_h2`` deeper sections join the one above."""
     found = Found(kb, path, "markdown")
@@ -107,11 +120,27 @@ def markdown(text: str, kb: str, path: str, split_h2: bool = False) -> Found:
     return found
 
 
-def python(text: str, kb: str, path: str) -> Found:
+def _signature(n: ast.AST) -> str:
+    if isinstance(n, ast.ClassDef):
+        return f"class {n.name}({', '.join(map(ast.unparse, n.bases))})" if n.bases else f"class {n.name}"
+    returns = f" -> {ast.unparse(n.returns)}" if n.returns else ""
+    return f"{'async ' if isinstance(n, ast.AsyncFunctionDef) else ''}def {n.name}({ast.unparse(n.args)}){returns}"
+
+
+def _imported(n: ast.Import | ast.ImportFrom, package: list[str]) -> list[str]:
+    """Full names of the modules; dots lead up from the file's own package."""
+    if isinstance(n, ast.Import):
+        return [a.name for a in n.names]
+    base = package[: len(package) - n.level + 1] if n.level else []
+    return [".".join([*base, *([n.module] if n.module else [])]) or "."]
+
+
+def python(text: str, kb: str, path: str, module: str | None = None) -> Found:
     """Module, its classes, functions and methods; imports and base classes as RELATES edges. A file
-    that does not compile is its document and module alone."""
+    that does not compile is its document and module alone. ``module``: its name below its package root."""
     found = Found(kb, path, "python")
-    qual = re.sub(r"(^|\.)__init__$", "", re.sub(r"\.py$", "", path).replace("/", ".")) or path
+    qual = module or re.sub(r"(^|\.)__init__$", "", re.sub(r"\.py$", "", path).replace("/", ".")) or path
+    package = qual.split(".") if path.endswith("__init__.py") else qual.split(".")[:-1]
     module = found.node(f"{kb}::{qual}", "Module", name=qual.rpartition(".")[2], qualname=qual)
     found.edge(found.id, module)
     try:
@@ -126,14 +155,14 @@ def python(text: str, kb: str, path: str) -> Found:
 
     def symbol(n: ast.AST, owner: str, label: str, parent: str) -> str:
         name = f"{owner}.{n.name}"
-        id_ = found.node(f"{kb}::{name}", label, name=n.name, qualname=name)
+        id_ = found.node(f"{kb}::{name}", label, name=n.name, qualname=name, signature=_signature(n), docstring=(ast.get_docstring(n) or "")[:BODY_CHARS], line=n.lineno)
         found.edge(parent, id_)
         found.chunk(name, "\n".join(lines[n.lineno - 1 : n.end_lineno])[:BODY_CHARS], 3 if label == "Method" else 2, "code", id_)
         return id_
 
     for n in tree.body:
         if isinstance(n, ast.Import | ast.ImportFrom):
-            for name in [a.name for a in n.names] if isinstance(n, ast.Import) else ["." * n.level + (n.module or "")]:
+            for name in _imported(n, package):
                 found.edge(module, f"{kb}::__import__::{name}", "RELATES", "imports")
         elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
             symbol(n, qual, "Function", module)
@@ -150,46 +179,76 @@ def python(text: str, kb: str, path: str) -> Found:
     return found
 
 
-def _refs(value: Any) -> set[str]:
+def _plain(value: Any, above: tuple[int, ...] = ()) -> Any:
+    """The value as JSON can say it: keys and odd scalars are texts, and a value inside itself is cut off."""
+    if id(value) in above:
+        return "..."
     if isinstance(value, dict):
-        own = {value["$ref"]} if isinstance(value.get("$ref"), str) else set()
-        return own.union(*map(_refs, value.values()))
-    return set().union(*map(_refs, value)) if isinstance(value, list) else set()
+        return {str(k): _plain(v, (*above, id(value))) for k, v in value.items()}
+    if isinstance(value, list | tuple):
+        return [_plain(v, (*above, id(value))) for v in value]
+    return value if value is None or isinstance(value, str | int | float | bool) else str(value)
+
+
+def _refs(value: Any) -> set[str]:
+    """All references in a plain value."""
+    found, left = set(), [value]
+    while left:
+        x = left.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get("$ref"), str):
+                found.add(x["$ref"])
+            left.extend(x.values())
+        elif isinstance(x, list):
+            left.extend(x)
+    return found
+
+
+def _ref_target(ref: str, kb: str, path: str) -> str:
+    """The node a reference means: in this file, in another file of the knowledge base, or outside."""
+    file, _, place = ref.partition("#")
+    if re.match(r"[a-z][a-z0-9+.-]*:", file):
+        return f"{kb}::__external__::{ref}"
+    where = posixpath.normpath(posixpath.join(posixpath.dirname(path), file)) if file else path
+    if where.startswith(".."):
+        return f"{kb}::__external__::{ref}"
+    name = place.rpartition("/")[2].replace("~1", "/").replace("~0", "~")
+    return f"{kb}::{where}::components/schemas/{name}" if name else f"{kb}::{where}::spec"
 
 
 def openapi(text: str, kb: str, path: str) -> Found:
-    """Operations and schemas of an API description, with references between them."""
+    """Operations and schemas of an API description, with references between them. Parts of a wrong shape are passed over."""
     found = Found(kb, path, "openapi")
     try:
         spec = _load_yaml(text)
     except Exception as e:  # noqa: BLE001  whatever the reader raises, the file is malformed
         found.properties |= {"valid": "false", "error": type(e).__name__}
         return found
+    spec = _plain(spec)
     if not isinstance(spec, dict) or not ({"openapi", "swagger"} & spec.keys()):
         found.properties |= {"openapi": "false"} if isinstance(spec, dict) else {"valid": "false"}
         return found
-    root = found.node(f"{found.id}::spec", "OpenApiSpec", name=str((spec.get("info") or {}).get("title", path)))
+    under = lambda value, key: v if isinstance(value, dict) and isinstance(v := value.get(key), dict) else {}
+    root = found.node(f"{found.id}::spec", "OpenApiSpec", name=str(under(spec, "info").get("title", path)))
     found.edge(found.id, root)
-    schemas = (spec.get("components") or {}).get("schemas") or spec.get("definitions") or {}
 
     def relate(id_: str, value: Any) -> None:
-        for ref in sorted(_refs(value)):
-            name = ref.rpartition("/")[2]
-            found.edge(id_, f"{found.id}::components/schemas/{name}" if ref.startswith("#/") else f"{kb}::__external__::{ref}", "RELATES", "references")
+        for target in sorted({_ref_target(ref, kb, path) for ref in _refs(value)} - {id_}):
+            found.edge(id_, target, "RELATES", "references")
 
-    for route, methods in (spec.get("paths") or {}).items():
-        for method, operation in (methods or {}).items():
-            if str(method).lower() in HTTP_METHODS:
+    for route, methods in under(spec, "paths").items():
+        for method, operation in methods.items() if isinstance(methods, dict) else ():
+            if method.lower() in HTTP_METHODS and isinstance(operation, dict):
                 id_ = found.node(f"{found.id}::{route}::{method}", "OpenApiOperation", name=f"{method.upper()} {route}")
                 found.edge(root, id_)
                 relate(id_, operation)
-                found.chunk(f"{method.upper()} {route}", json.dumps({route: {method: operation}}, default=str), 2, "openapi_operation", id_)
-    for name, schema in schemas.items():
+                found.chunk(f"{method.upper()} {route}", _say_yaml({route: {method: operation}}), 2, "openapi_operation", id_)
+    for name, schema in (under(under(spec, "components"), "schemas") or under(spec, "definitions")).items():
         shape = next((k for k in ("oneOf", "anyOf", "allOf") if k in schema), schema.get("type", "object")) if isinstance(schema, dict) else "scalar"
         id_ = found.node(f"{found.id}::components/schemas/{name}", "OpenApiSchema", name=name, shape=shape)
         found.edge(root, id_)
         relate(id_, schema)
-        found.chunk(f"schemas/{name}", json.dumps({name: schema}, default=str), 2, "openapi_schema", id_)
+        found.chunk(f"schemas/{name}", _say_yaml({name: schema}), 2, "openapi_schema", id_)
     return found
 
 
@@ -203,31 +262,71 @@ def register(pattern: str, parser: Parser) -> None:
 
 
 def parse(files: DataFrame, kb: str, parsers: list[tuple[str, Parser]] | None = None) -> DataFrame:
-    """One row a file that some parser takes, from ``files(path, content)``."""
+    """One row a file that some parser takes, from ``files(path, content)`` and, if there is one, the column ``module``.
+
+    A file that makes its parser fail is a document with ``valid`` false, and no other file suffers."""
     chosen = list(parsers or PARSERS)
+    files = files if "module" in files.columns else files.withColumn("module", F.lit(None).cast("string"))
+
+    def one(path: str, content: str | bytes | None, module: str | None) -> dict | None:
+        parser = next((p for pattern, p in chosen if re.search(pattern, path)), None)
+        if parser is None:
+            return None
+        text = content if isinstance(content, str) else bytes(content or b"").decode("utf-8", "replace")
+        try:
+            return (parser(text, kb, path, module or None) if parser is python else parser(text, kb, path)).row(path)
+        except Exception as e:  # noqa: BLE001  whatever a parser raises
+            found = Found(kb, path, "unknown")
+            found.properties |= {"valid": "false", "error": type(e).__name__}
+            return found.row(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                parser = next((p for pattern, p in chosen if re.search(pattern, path)), None)
-                if parser:
-                    text = content if isinstance(content, str) else bytes(content or b"").decode("utf-8", "replace")
-                    rows.append(parser(text, kb, path).row(path))
-            yield pd.DataFrame(rows, columns=["path", "document", "chunks", "nodes", "edges"])
+            rows = [one(p, c, m if isinstance(m, str) else None) for p, c, m in zip(batch["path"], batch["content"], batch["module"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r], columns=["path", "document", "chunks", "nodes", "edges"])
+
+    return files.select("path", "content", "module").mapInPandas(run, RESULT)
+
+
+def _ancestors(path: Column) -> Column:
+    """The folders above a path, from the top; the first one is the empty name."""
+    parts = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
-    return files.select("path", "content").mapInPandas(run, RESULT)
 
+def package_roots(files: DataFrame) -> DataFrame:
+    """``(root)``: the folders that hold a topmost package, one whose own folder is none."""
+    folder = F.regexp_extract("path", r"^(?:(.*)/)?[^/]*$", 1)
+    packages = files.filter(F.col("path").rlike(r"(^|/)__init__\.py$")).select(folder.alias("folder")).filter("folder <> ''").distinct()
+    up = F.regexp_extract("folder", r"^(?:(.*)/)?[^/]*$", 1)
+    top = packages.withColumn("up", up).join(packages.select(F.col("folder").alias("up")), "up", "left_anti")
+    return top.select(F.col("up").alias("root")).distinct()
 
-def chunks_of(parsed: DataFrame) -> DataFrame:
+
+def with_modules(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """``files`` with ``module``, the dotted name below the nearest root above; the bare file name where there is none."""
+    py = files.select("path").filter(F.col("path").rlike(r"\.py$")).distinct()
+    near = py.withColumn("root", F.explode(_ancestors(F.col("path")))).join(roots, "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    below = F.when(F.col("root") == "", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
+    named = near.select("path", tx.module_name(below).alias("module"))
+    stem = F.when(F.col("path").rlike(r"\.py$"), F.regexp_extract("path", r"([^/]*)\.py$", 1))
+    return files.join(named, "path", "left").withColumn("module", F.coalesce("module", stem))
+
+
+def chunks_of(parsed: DataFrame, rules: Sequence[Rule] = (), budget: int = tx.TOKEN_BUDGET) -> DataFrame:
+    """Chunks of all documents: those over the budget are split again into numbered parts, chunks of level 3 know the last
+    one of level 2 before them, and the first rule of the path gives the labels."""
     rows = parsed.select("path", F.col("document.id").alias("parent_document_id"), F.explode("chunks").alias("c")).select(F.col("path").alias("file_path"), "parent_document_id", "c.*")
-    crumb = F.col("header_breadcrumb")
-    return rows.withColumns({"section_breadcrumb": crumb, "content_type": tx.content_type(F.col("content")), "chunk_id": tx.short_hash(F.col("file_path"), crumb, F.col("chunk_index").cast("string"))})
+    rows = rows.withColumn("p", F.explode(tx.resplit_parts(F.col("content"), F.col("header_breadcrumb"), budget)))
+    rows = rows.withColumn("section_breadcrumb", F.col("header_breadcrumb")).withColumns({c: F.col(f"p.{c}") for c in ("part", "header_breadcrumb", "content", "content_type")}).drop("p")
+    rows = rows.withColumn("chunk_index", F.row_number().over(W.partitionBy("file_path").orderBy("chunk_index", "part")) - 1).drop("part")
+    rows = rows.withColumns({"labels": rule_labels(F.col("file_path"), rules), "chunk_id": tx.short_hash(F.col("file_path"), F.col("header_breadcrumb"), F.col("chunk_index").cast("string"))})
+    return with_parent(rows, "file_path", "chunk_index", "chunk_level", "chunk_id")
 
 
 def nodes_of(parsed: DataFrame, kb: str) -> DataFrame:
     both = parsed.select(F.explode(F.concat(F.array("document"), "nodes")).alias("n")).select("n.id", "n.label", F.lit(kb).alias("kb_name"), "n.properties")
-    return both.dropDuplicates(["id"])
+    return one_each(both, ["id"])
 
 
 def edges_of(parsed: DataFrame) -> DataFrame:
@@ -237,3 +336,16 @@ def edges_of(parsed: DataFrame) -> DataFrame:
     want = F.replace("to_id", F.lit("::__import__::"), F.lit("::"))
     resolved = F.when(F.col("kind") != "imports", F.col("to_id")).when(F.col("module").isNotNull(), F.col("module")).otherwise(F.replace("to_id", F.lit("__import__"), F.lit("__external__")))
     return edges.join(modules, want == F.col("module"), "left").select("from_id", F.coalesce(resolved, "to_id").alias("to_id"), "rel_type", "kind")
+
+
+def with_placeholders(nodes: DataFrame, edges: DataFrame, kb: str) -> DataFrame:
+    """``nodes`` with one for every related thing that was not parsed, so that no relation is lost for want of an end."""
+    label = F.when(F.col("kind") == "imports", "Module").when(F.col("kind") == "inherits_from", "Class").otherwise("OpenApiSchema")
+    lacking = edges.filter("rel_type = 'RELATES'").join(nodes.select(F.col("id").alias("to_id")), "to_id", "left_anti").groupBy(F.col("to_id").alias("id")).agg(F.min(label).alias("label"))
+    name = F.element_at(F.split("id", "::"), -1)
+    return nodes.unionByName(lacking.select("id", "label", F.lit(kb).alias("kb_name"), F.create_map(F.lit("name"), name, F.lit("placeholder"), F.lit("true")).alias("properties")))
+
+
+def payload(parsed: DataFrame) -> DataFrame:
+    """What a graph takes of each file: nodes and edges, and of the chunks their number only."""
+    return parsed.select("path", "document", "nodes", "edges", F.size("chunks").alias("chunks_count"))

@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in ``spark.checkpoint.dir``, read back. Loops need this: each step refers to
-    the last one more than once, so unwritten plans would double in size with every step."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; where that is not set, in a temporary folder if Spark is local, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="lorestone-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in such a folder, read back. Loops need this: each step refers to the last one
+    more than once, so unwritten plans would double in size with every step."""
+    spark = df.sparkSession
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
