@@ -483,14 +483,14 @@ def manifest_upsert(spark, sf_dir):  # A16 A17 A18 A19
     return kept.select(F.col("path").alias("file_path"), "content_hash", "mtime")
 
 
-@query("""select n_name as name, n_regionkey as created_at, 9 as updated_at, case when n_regionkey = 1 then 'new' else 'old' end as project_root from nation where n_name >= 'B' and n_name < 'K' and n_regionkey <> 4 order by name""")
+@query("""select n_name as name, n_regionkey as created_at, 9 as updated_at, case when n_regionkey = 1 then 'new' else 'old' end as project_root from nation where n_name like 'NATION_1%' and n_regionkey <> 4""")
 def kb_list(spark, sf_dir):  # K21 K33 B12
     n = table(spark, sf_dir, "nation")
     rows = n.select(F.col("n_name").alias("name"), F.lit("old").alias("project_root"), F.array(F.col("n_regionkey").cast("string")).alias("tags"), F.lit("{}").alias("metadata_json"), F.col("n_regionkey").alias("created_at"), F.lit(9).alias("updated_at"))
     links = rows.select(F.col("name").alias("from_kb"), F.col("name").alias("to_kb"))
     changed = kb.upsert_kbs(rows, rows.filter("created_at = 1").select("name", F.lit("new").alias("project_root"), "tags", "metadata_json"), F.lit(9))
     kept, _ = kb.delete_kbs(changed, links, rows.filter("created_at = 4").select("name"))
-    return kb.list_kbs(kept).filter("name >= 'B' and name < 'K'").select("name", "created_at", "updated_at", "project_root")
+    return kb.list_kbs(kept, "NATION_1").select("name", "created_at", "updated_at", "project_root")
 
 
 @query("""select n_nationkey as name, coalesce(s.n, 0) as links_out, coalesce(c.n, 0) as links_in from nation left join (select s_nationkey, count(*) as n from supplier group by 1) s on s_nationkey = n_nationkey
@@ -552,3 +552,164 @@ def federated_by_peer(spark, sf_dir):  # D14 M4 A28: peers that are down are lis
 def sync_applied(spark, sf_dir):  # K27 A31 I7: the mirror after its plan
     ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return sync.applied(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), ids.union(ids.select(F.col("id") + 500_000)).distinct())
+
+
+def named(prefix: str, key: str):
+    return F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string"))
+
+
+@query("""select name, direction from (select 'n:' || s_nationkey as f, 's:' || s_suppkey as name, 'out' as direction from supplier union all select 'n:' || s_suppkey % 30, 's:' || s_suppkey, 'in' from supplier) where f = 'n:7'""")
+def kb_links_by_direction(spark, sf_dir):  # K20 K22: out of a name, into it, both
+    s = table(spark, sf_dir, "supplier")
+    links = s.select(named("n", "s_nationkey").alias("from_kb"), named("s", "s_suppkey").alias("to_kb")).union(s.select(named("s", "s_suppkey"), F.concat(F.lit("n:"), (F.col("s_suppkey") % 30).cast("string"))))
+    both = kb.links_of(links, "n:7")
+    return both.select(F.when(F.col("direction") == "out", F.col("to_kb")).otherwise(F.col("from_kb")).alias("name"), "direction")
+
+
+@query("""select n_regionkey as deleted_region, count(*) as deleted from nation join supplier on s_nationkey = n_nationkey where n_regionkey = 2 group by 1""")
+def unlinked_count(spark, sf_dir):  # D11: how many rows a deletion takes
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    gone = n.filter("n_regionkey = 2").select(F.col("n_nationkey").alias("from_kb"))
+    return kb.deleted(s.select(F.col("s_nationkey").alias("from_kb"), "s_suppkey"), gone, ["from_kb"]).select(F.lit(2).alias("deleted_region"), "deleted")
+
+
+@query("""select o_orderkey as id, case when o_orderkey % 3 = 0 then 'clerk' when o_orderkey % 3 = 1 then 'agent:' || o_orderpriority else 'user:unknown' end as author from orders""")
+def annotation_author(spark, sf_dir):  # B18: as said, else the client, else unknown; blanks say nothing
+    o, turn = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
+    said, client = F.when(turn == 0, " clerk ").when(turn == 1, "  "), F.when(turn == 2, "").otherwise(F.col("o_orderpriority"))
+    return o.select(F.col("o_orderkey").alias("id"), kb.author(said, client).alias("author"))
+
+
+@query("""select 'c:' || c_custkey as target_id, to_json({'target_id': 'c:' || c_custkey, 'target_kind': 'Class', 'breadcrumb': case when c_custkey % 2 = 0 then c_mktsegment else c_name end})::varchar as target_snapshot from customer""")
+def target_snapshots(spark, sf_dir):  # H30: the first of breadcrumb, qualified name and name
+    also = F.map_filter(F.create_map(F.lit("name"), F.col("c_name"), F.lit("qualname"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))), lambda k, v: v.isNotNull())
+    return kb.target_snapshot(table(spark, sf_dir, "customer").select(named("c", "c_custkey").alias("id"), F.lit("Class").alias("label"), also.alias("properties")))
+
+
+@query("""select 'federation' as id, 'federation' as label, 'federation' as kind, null as parent union all select n_name, n_name, 'kb', 'federation' from nation where n_name = 'NATION_3'""")
+def federation_roots(spark, sf_dir):  # K26: the federation and the local knowledge base
+    return kb.roots(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "NATION_3")
+
+
+@query("""select 'n:' || s_nationkey as source, 's:' || s_suppkey as target, case when s_suppkey % 2 = 0 then 'calls' else 'contains' end as kind from supplier""")
+def edges_for_views(spark, sf_dir):  # K29: the kind, else the type
+    s = table(spark, sf_dir, "supplier")
+    return kb.web_edges(s.select(named("n", "s_nationkey").alias("from_id"), named("s", "s_suppkey").alias("to_id"), F.lit("CONTAINS").alias("rel_type"), F.when(F.col("s_suppkey") % 2 == 0, "calls").alias("kind")))
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 then source || '!' when doc_id % 3 = 1 then 'd' || doc_id || '.md' else 'docs/' end as title, substr(text, 1, 200) as excerpt,
+  case when doc_id % 3 = 0 then [source, 'x'] when doc_id % 3 = 1 then ['a', 'b'] else ['label'] end as tags from documents""")
+def titles_and_excerpts(spark, sf_dir):  # B19 B20 M2: titles and tags of headers, else of paths and labels
+    d, turn = table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    header = F.when(turn == 0, F.to_json(F.struct(F.concat("source", F.lit("!")).alias("title"), F.array("source", F.lit("x")).alias("tags")))).when(turn == 1, F.lit('{"title": "", "tags": "a, b"}')).otherwise("no JSON")
+    path = F.when(turn == 2, "docs/").otherwise(F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".md")))
+    return d.select("doc_id", tx.title(header, path).alias("title"), search.excerpt(F.col("text"), 200).alias("excerpt"), tx.tags(header, F.array(F.lit("label"))).alias("tags"))
+
+
+@query("""select event_id, case when event_id % 3 = 0 then props::json->>'$.k' end as k, case when event_id % 3 = 1 then 2 else 0 end as listed from events""")
+def safe_json(spark, sf_dir):  # H12: what is no JSON of the shape is empty
+    e, turn = table(spark, sf_dir, "events"), F.col("event_id") % 3
+    text = F.when(turn == 0, F.col("props")).when(turn == 1, F.lit('["a", "b"]')).otherwise("[oops")
+    return e.select("event_id", tx.json_map(F.when(turn != 1, text))["k"].alias("k"), F.size(tx.json_list(F.when(turn != 0, text))).alias("listed"))
+
+
+@query("""select p_partkey, regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_]*') as name_is, regexp_full_match(replace(p_name, ' ', '_'), '[A-Za-z_][A-Za-z0-9_]*') as joined_is, false as digit_is from part""")
+def identifiers(spark, sf_dir):  # H32
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", tx.is_identifier(F.col("p_name")).alias("name_is"), tx.is_identifier(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("joined_is"), tx.is_identifier(F.concat(F.lit("1"), "p_brand")).alias("digit_is")
+    )
+
+
+@query("""select event_id, case when event_id % 5 < 4 then event_id % 5 end::int as major, case when event_id % 5 < 4 then user_id end::int as minor, event_id % 5 = 1 as compatible from events""")
+def versions(spark, sf_dir):  # H34: the same major number; what is no version is not compatible
+    major = (F.col("event_id") % 5).cast("string")
+    text = F.when(F.col("event_id") % 5 < 4, F.concat_ws(".", major, F.col("user_id").cast("string"), F.lit("7-beta"))).otherwise("latest")
+    read = tx.version(text)
+    return table(spark, sf_dir, "events").select("event_id", read["major"].alias("major"), read["minor"].alias("minor"), tx.compatible(F.lit("1.4.0"), text).alias("compatible"))
+
+
+@query("""select event_id, event_id * 1000 + 7 as milliseconds, strftime(make_timestamp(event_id * 1000000), '%M:%S') as clock from events""")
+def utc_times(spark, sf_dir):  # H31
+    at = tx.utc(F.col("event_id") * 1000 + 7)
+    return table(spark, sf_dir, "events").select("event_id", F.unix_millis(at).alias("milliseconds"), F.date_format(at, "mm:ss").alias("clock"))
+
+
+@query("""select c_name as name, case when c_custkey in (select o_custkey from orders) then 'alive' else 'unreachable' end as status from customer where c_name <> 'Customer#000000005'""")
+def peer_status(spark, sf_dir):  # A28
+    from lorestone.sources import files
+
+    peers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("pid")).filter("name <> 'Customer#000000005'")
+    return files.peer_status(peers, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pid")).distinct()).select("name", "status")
+
+
+@query(f"""with near as (select e.vec_id, {DISTANCE} as distance {NEAR} order by 2, 1 limit 50)
+select vec_id, 'Class' as node_label, quality as node_quality from near join labels on doc_id = vec_id where toxic = 0""")
+def hybrid_pivot(spark, sf_dir):  # C15: hits with the graph nodes that they are about
+    hits = search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), "vec_id", 50, "embedding").withColumn("artifact_qualname", named("a", "vec_id"))
+    about = F.create_map(F.lit("quality"), F.col("quality").cast("string"))
+    nodes = table(spark, sf_dir, "labels").filter("toxic = 0").select(named("a", "doc_id").alias("id"), F.lit("Class").alias("label"), about.alias("properties"))
+    return search.pivot_to_nodes(hits, nodes).select("vec_id", "node_label", F.col("node_properties")["quality"].cast("int").alias("node_quality"))
+
+
+@query("""with j as (select o_orderkey as id, o_orderstatus as s, o_orderdate as t, o_custkey % 7 as h, o_custkey % 5 as m from orders)
+select (select count(distinct source) from documents) as documents, (select count(*) from documents) as chunks, (select id from j where s = 'O' order by t desc, id desc limit 1) as current_job,
+  (select count(*) from labels) as cache_entries, (select h::double / nullif(h + m, 0) from j where s = 'F' order by t desc, id desc limit 1) as last_hit_rate""")
+def status_rollup(spark, sf_dir):  # D8 D13 M6 M8
+    state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    jobs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), state.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("finished_at"), (F.col("o_custkey") % 7).alias("cache_hits"), (F.col("o_custkey") % 5).alias("cache_misses")
+    )
+    return incremental.status(table(spark, sf_dir, "documents").select(F.col("source").alias("file_path")), jobs, table(spark, sf_dir, "labels"))
+
+
+@query("""select doc_id, case when doc_id % 2 = 0 then 5 when doc_id % 3 = 0 then 9 else 1 end as accessed_at, case when doc_id % 2 = 0 then 5 else 1 end as created_at, case when doc_id % 2 = 0 then 2 else 4 end as dimensions
+from documents where doc_id % 10 <> 7 or doc_id % 3 = 0""")
+def cache_changes(spark, sf_dir):  # A20 A21 A22: rows are put, touched and pruned
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("content_hash"), F.lit("m").alias("model"), "doc_id")
+    old = d.select("content_hash", "model", F.lit(4).alias("dimensions"), F.lit("v").alias("vector"), F.lit(1).alias("created_at"), F.when(F.col("doc_id") % 10 == 7, 0).otherwise(1).alias("accessed_at"))
+    touched = incremental.cache_touch(old, d.select("content_hash", (F.col("doc_id") % 3 == 0).alias("hit")), F.lit(9))
+    put = d.filter("doc_id % 2 = 0").select("content_hash", "model", F.lit(2).alias("dimensions"), F.lit("w").alias("vector"))
+    kept = incremental.cache_prune(incremental.cache_put(touched, put.union(put), F.lit(5)), 9, F.lit(10))
+    return kept.select(F.col("content_hash").cast("long").alias("doc_id"), "accessed_at", "created_at", "dimensions")
+
+
+@query("""select c_custkey, c_name as name, case when c_custkey % 3 = 0 then 'new' else c_mktsegment end as segment, case when c_custkey % 3 = 0 then 'yes' end as added, case when c_custkey % 3 = 0 then 'kb2' else 'kb1' end as kb_name from customer
+union all select c_custkey + 1000000, null, 'new', 'yes', 'kb2' from customer where c_custkey % 30 = 0""")
+def nodes_upsert(spark, sf_dir):  # K8: new properties over old ones, old keys stay
+    c = table(spark, sf_dir, "customer")
+    nodes = c.select(F.col("c_custkey").alias("id"), F.lit("Class").alias("label"), F.lit("kb1").alias("kb_name"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment")).alias("properties"))
+    fresh = F.create_map(F.lit("segment"), F.lit("new"), F.lit("added"), F.lit("yes"))
+    ids = c.filter("c_custkey % 3 = 0").select("c_custkey").union(c.filter("c_custkey % 30 = 0").select(F.col("c_custkey") + 1_000_000))
+    changed = graph.upsert_nodes(nodes, ids.select(F.col("c_custkey").alias("id"), F.lit("Class").alias("label"), F.lit("kb2").alias("kb_name"), fresh.alias("properties")))
+    return changed.select(F.col("id").alias("c_custkey"), *[F.col("properties")[k].alias(k) for k in ("name", "segment", "added")], "kb_name")
+
+
+@query("""with n as (select 'r:' || r_regionkey as id, r_regionkey as r from region union all select 'n:' || n_nationkey, n_regionkey from nation union all select 's:' || s_suppkey, n_regionkey from supplier join nation on s_nationkey = n_nationkey)
+select id, case when r <> 1 then id end as target_id, r = 1 as gone from n""")
+def document_deleted(spark, sf_dir):  # K5 K6 K13 K14: a document goes with all below it, annotations stay as orphans
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    regions = table(spark, sf_dir, "region").select(named("r", "r_regionkey").alias("id"))
+    nodes = regions.union(n.select(named("n", "n_nationkey"))).union(s.select(named("s", "s_suppkey")))
+    below = n.select(named("r", "n_regionkey").alias("from_id"), named("n", "n_nationkey").alias("to_id"))
+    edges = below.union(s.select(named("n", "s_nationkey"), named("s", "s_suppkey"))).select("*", F.lit("CONTAINS").alias("rel_type"))
+    notes = nodes.select("id", F.col("id").alias("target_id"), F.lit(0).alias("updated_at"))
+    left = graph.delete_document(nodes, edges, below.select(F.col("from_id").alias("doc_id"), F.col("to_id").alias("id")), notes, regions.filter("id = 'r:1'"), F.lit(1))
+    here = left["nodes"].select("id", F.lit(False).alias("gone"))
+    return left["annotations"].join(here, "id", "left").select("id", "target_id", F.coalesce("gone", F.lit(True)).alias("gone"))
+
+
+@query("""select case when doc_id % 7 < 5 then 'src/p' else 'lib/p' end || doc_id % 7 || '/in/m' || doc_id || '.py' as path, case when doc_id % 7 < 5 then 'p' || doc_id % 7 || '.in.m' || doc_id else 'm' || doc_id end as module from documents""")
+def module_names(spark, sf_dir):  # A34 H18: dotted names below the folder that holds the topmost package, for namespaces (p4) too, file names elsewhere
+    from lorestone.sources import parsers
+
+    d = table(spark, sf_dir, "documents")
+    folder = F.concat(F.when(F.col("doc_id") % 7 < 5, "src/p").otherwise("lib/p"), (F.col("doc_id") % 7).cast("string"))
+    files = d.select(F.concat(folder, F.lit("/in/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
+    inits = d.filter("doc_id % 7 < 4").select(folder.alias("f")).distinct()
+    inits = inits.select(F.concat("f", F.lit("/__init__.py")).alias("path")).union(inits.select(F.concat("f", F.lit("/in/__init__.py"))))
+    return parsers.with_modules(files, parsers.package_roots(files.union(inits)))
+
+
+@query("""with r as (select doc_id, row_number() over (partition by source order by doc_id) as place from documents) select doc_id from r where place = 1""")
+def nodes_one_each(spark, sf_dir):  # K12: one row of each key, the same on every run
+    return graph.one_each(table(spark, sf_dir, "documents").select("source", F.format_string("%012d", "doc_id").alias("id")), ["source"]).select(F.col("id").cast("long").alias("doc_id"))
