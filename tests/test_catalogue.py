@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from lorestone.plans import catalogue
+from lorestone.plans import catalogue, parsing  # noqa: F401  importing it registers its queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
