@@ -1,9 +1,9 @@
 """Source divergence audit: how far the sources of a language are from each other in the words they use.
 
-Sorted streams are scanned for runs. In each map task the terms of the documents are sorted by language, term,
-source and document; a run of one term and source gives its document frequency and its count, so a task passes on one row
-a run and not one a document. The partial runs are dealt out by language, term and source, sorted again and merged
-the same way. Terms in enough documents are kept. A last scan, sorted by language, term and source, turns each run of
+Sorted streams are scanned for runs. In each map task the terms of a few MB of documents at a time are sorted by language,
+term, source and document; a run of one term and source gives its document frequency and its count, so a task passes on
+rows for runs and not for documents. The partial runs are dealt out by language, term and source, sorted again and
+merged by the same scan. Terms in enough documents are kept. A last scan, sorted by language, term and source, turns each run of
 a term into shares of its sources, and gives partial distances of pairs of sources and the terms that a source has more
 of than its language. The sources of a language come before its terms in the same sorted stream, so nothing is
 broadcast; a stretch of terms is handled at a time, as large as its matrix of terms by sources may be.
@@ -13,8 +13,8 @@ steps of long division, so it is exact up to sums of 9 * 10^15.
 
 Defined results: nulls in text, language and source are empty; every row is a document, repeated ones too; a group
 without terms, or in a language that keeps none, has pairs of distance 0 and no terms; a language of one source has no pairs; an
-empty table gives an empty audit. Of equal values the item of lesser UTF-8 bytes comes first. A null id only
-matters for order. Other columns than id, text, language and source are not read.
+empty table gives an empty audit. Of equal values the item of lesser UTF-8 bytes comes first. Other columns
+than text, language and source are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lorestone.llm import wordvec as wv
 from lorestone.llm.common import materialize
@@ -40,24 +39,54 @@ LETTERS = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 PRIOR, SCALE = 5, 1000
 #: Cells of a matrix of terms by sources, and of one of sources by sources, that a task holds.
 CELLS = 1 << 19
+#: Bytes of text whose terms a task sorts at a time, runs that it holds before it passes them on, rows of an Arrow batch.
+SLICE_BYTES, HELD, BATCH_ROWS = 1 << 22, 600_000, 50_000
+KEYS, SUMS = ["lang", "term", "source"], ["documents", "n"]
 RUNS = "lang string, term string, source string, documents long, n long"
 FOUND = "lang string, source string, part string, item string, value long"
 
 
+def _sorted_terms(batch: pa.RecordBatch) -> pa.Table:
+    """The runs of language, term and source in some documents' terms, sorted by these and by document."""
+    data, offsets = wv.buffers(batch.column("text"))
+    data = wv.LOWER[data]
+    words = wv.split(data, offsets, LETTERS)
+    ends = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(words.start), pa.py_buffer(ends), pa.py_buffer(data[LETTERS[data]])).dictionary_encode()
+    groups = [batch.column(c).dictionary_encode() for c in ("lang", "source")]
+    lang, source = (g.indices.to_numpy() for g in groups)
+    order = np.lexsort((source, lang))  # documents by language and source
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    row = place[np.repeat(np.arange(batch.num_rows), np.diff(words.first))]
+    lang, source = lang[order].astype(np.int64), source[order]
+    terms, rows = max(1, len(coded.dictionary)), max(1, batch.num_rows)
+    key, n = np.unique((lang[row] * terms + coded.indices.to_numpy()) * rows + row, return_counts=True)
+    key, row = np.divmod(key, rows)  # here a document's run ends
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (source[row[1:]] != source[row[:-1]])
+    at = np.flatnonzero(first)
+    sums = [np.diff(np.append(at, len(key))), np.add.reduceat(n, at) if len(at) else n]
+    named = [groups[0].dictionary.take(pa.array(lang[row[at]])), coded.dictionary.take(pa.array(key[at] % terms)).cast(pa.string()), groups[1].dictionary.take(pa.array(source[row[at]]))]
+    return pa.table([*named, *(pa.array(x, pa.int64()) for x in sums)], names=KEYS + SUMS)
+
+
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables).group_by(KEYS, use_threads=False).aggregate([(c, "sum") for c in SUMS])
+    return whole.rename_columns([c.removesuffix("_sum") for c in whole.column_names]).select(KEYS + SUMS)
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct term of each document, with its count."""
-    for batch in wv.slices(batches):
-        data, offsets = wv.buffers(batch.column("text"))
-        data = wv.LOWER[data]
-        words = wv.split(data, offsets, LETTERS)
-        ends = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
-        column = pa.LargeStringArray.from_buffers(len(words.start), pa.py_buffer(ends), pa.py_buffer(data[LETTERS[data]]))
-        coded = column.dictionary_encode()
-        row = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
-        pair, n = np.unique(row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
-        row, code = np.divmod(pair, max(1, len(coded.dictionary)))
-        of = lambda c: batch.column(c).take(pa.array(row))  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([of("lang"), coded.dictionary.take(pa.array(code)).cast(pa.string()), of("source"), of("doc"), pa.array(np.ones(len(n), np.int64)), pa.array(n)], ["lang", "term", "source", "doc", "documents", "n"])
+    """Runs of a task's documents, merged as long as no more than HELD of them are held."""
+    held: list[pa.Table] = []
+    for batch in wv.slices(batches, most=SLICE_BYTES):
+        held.append(_sorted_terms(batch))
+        if sum(map(len, held)) > HELD:
+            held = [_merged(held)]
+            if len(held[0]) > HELD // 2:
+                yield from held.pop().combine_chunks().to_batches(BATCH_ROWS)
+    if held:
+        yield from _merged(held).combine_chunks().to_batches(BATCH_ROWS)
 
 
 def _starts(columns: list[pa.Array]) -> np.ndarray:
@@ -72,7 +101,7 @@ def _starts(columns: list[pa.Array]) -> np.ndarray:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sums of each run of language, term and source in a sorted stream; a run may go over many batches."""
-    names = ["lang", "term", "source", "documents", "n"]
+    names = KEYS + SUMS
     last: pa.RecordBatch | None = None  # the sums of the run that is still open
     for batch in batches:
         if not batch.num_rows:
@@ -94,14 +123,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_runs(docs: DataFrame) -> DataFrame:
-    """``(lang, term, source, documents, n)`` of ``docs(doc_id, text, lang, source)``, written to the shared folder."""
+    """``(lang, term, source, documents, n)`` of ``docs(text, lang, source)``, written to the shared folder."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = docs.select(F.col("doc_id").alias("doc"), empty("text"), empty("lang"), empty("source"))
-    kind = rows.schema["doc"].dataType
-    to_arrow_type(kind)  # an id that Arrow can't carry is an error here
-    terms = rows.mapInArrow(_terms, f"lang string, term string, source string, doc {kind.simpleString()}, documents long, n long")
-    here = terms.sortWithinPartitions("lang", "term", "source", "doc").mapInArrow(_scan, RUNS)
-    return materialize(here.repartition("lang", "term", "source").sortWithinPartitions("lang", "term", "source").mapInArrow(_scan, RUNS))
+    here = docs.select(empty("text"), empty("lang"), empty("source")).mapInArrow(_terms, RUNS)
+    return materialize(here.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_scan, RUNS))
 
 
 def shares(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:

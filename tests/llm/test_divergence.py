@@ -52,8 +52,10 @@ def got(df):
     return [tuple(r) for r in df.select("lang", "source", "part", "item", "value", "rank").collect()]
 
 
-@pytest.mark.parametrize(("least", "most", "cells"), [(3, 4, 1 << 19), (3, 4, 2), (1, 50, 7)])
-def test_against_plain_counting(spark, rows, least, most, cells, monkeypatch):
+@pytest.mark.parametrize(("least", "most", "cells", "held"), [(3, 4, 1 << 19, 600_000), (3, 4, 2, 10), (1, 50, 7, 100)])
+def test_against_plain_counting(spark, rows, least, most, cells, held, monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "SLICE_BYTES", held * 10)
     monkeypatch.setattr(divergence, "CELLS", cells)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     found = got(divergence.divergence_report(docs, least, most))
