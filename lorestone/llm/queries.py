@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorestone.llm import decontaminate, divergence, language, lmscore, media, mixing, neardup, quality, secrets, sharding, toxicity, warc
+from lorestone.llm import crosstoken, decontaminate, divergence, language, lmscore, media, mixing, neardup, quality, secrets, sharding, toxicity, warc
 from lorestone.llm.common import table
 
 
@@ -54,13 +54,17 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_report(table(spark, sf_dir, "pages"))
 
 
+def op12_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align_report(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
         op1_mixing, op2_toxicity, op3_secrets, op4_quality, op5_sharding, op6_language, op7_media, op8_decontaminate, op9_lmscore, op10_neardup,
-        op11_warc, op13_divergence,
+        op11_warc, op12_crosstoken, op13_divergence,
     )
 }
 
