@@ -24,6 +24,7 @@ import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache, partial
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -40,8 +41,8 @@ FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose words are encoded at a time, words whose tokens a worker remembers.
 SLICE_BYTES, REMEMBERED = 1 << 22, 200_000
-#: More than any id of a second vocabulary.
-SIDE = 1 << 20
+#: More than any id of a second vocabulary; what ids are less by while they are dealt.
+SIDE, HALF = 1 << 16, 1 << 15
 #: Pairs whose counts are sent to all tasks at most.
 BROADCAST_PAIRS = 2_000_000
 #: Fixed value: how a byte-level tokenizer of this kind splits a text before it merges.
@@ -78,13 +79,16 @@ def second_bytes(path: str) -> list[bytes]:
 
 
 class _Encoder:
-    """Both tokenizers, and the tokens of words met before. A byte-level vocabulary's ids are the ranks of its merges."""
+    """Both tokenizers, and the tokens of words met before. Ids go as 16-bit numbers, less HALF, so vocabularies
+    may have 2 * HALF entries at most; a larger one is an error. A byte-level vocabulary's ids are the ranks of its merges."""
 
     def __init__(self, first: str, second: str) -> None:
         from sentencepiece import SentencePieceProcessor
         from tiktoken import Encoding
 
         self.bytes = first_bytes(first), second_bytes(second)
+        if max(map(len, self.bytes)) > 2 * HALF:
+            raise ValueError(f"a vocabulary has more than {2 * HALF} entries")
         self.first = Encoding("first", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes[0]) if b}, special_tokens={})
         self.second = SentencePieceProcessor(model_file=second)
         self.known: dict[str, tuple[list[int], list[int], bool]] = {}
@@ -121,9 +125,9 @@ def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 def _ragged(lists: list, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists at ``pick`` one after the other, and where each ends."""
-    size = np.array([len(x) for x in lists], np.int64)
-    flat = np.concatenate([np.asarray(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
-    begin, n = np.concatenate([[0], np.cumsum(size)])[:-1][pick], size[pick]
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+    begin, n = (np.cumsum(size) - size)[pick], size[pick]
     ends = np.cumsum(n)
     return flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
@@ -144,7 +148,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Itera
             if not good.all():
                 ids = ids[np.repeat(good, np.diff(ends))]
             sides.append((ids, size))
-        lists = [wv.list_array(ids, np.concatenate([[0], np.cumsum(n)])) for ids, n in sides]
+        lists = [wv.list_array((ids - HALF).astype(np.int16), np.concatenate([[0], np.cumsum(n)])) for ids, n in sides]
         text = pa.StructArray.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "a", "b"])
         yield pa.RecordBatch.from_arrays([batch.column("uid"), text], ["uid", "text"])
 
@@ -154,7 +158,7 @@ def tokens(docs: DataFrame, first: str, second: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     to_arrow_type(kind)  # an id that Arrow can't carry is an error here
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    return rows.mapInArrow(partial(_tokens, first=first, second=second), f"uid long not null, text struct<doc_id:{kind.simpleString()},a:array<int>,b:array<int>>")
+    return rows.mapInArrow(partial(_tokens, first=first, second=second), f"uid long not null, text struct<doc_id:{kind.simpleString()},a:array<smallint>,b:array<smallint>>")
 
 
 @contextmanager
@@ -180,7 +184,7 @@ def _lengths(spark: SparkSession, side: list[bytes]) -> DataFrame:
 
 def _ends(dealt: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
     """The tokens of a side with the byte where each ends."""
-    rows = dealt.select("uid", F.posexplode_outer(F.col("text")[side]).alias("pos", "id")).join(lengths, "id")
+    rows = dealt.select("uid", F.posexplode_outer(F.col("text")[side]).alias("pos", "id")).withColumn("id", F.col("id").cast("int") + HALF).join(lengths, "id")
     end = F.sum("length").over(W.partitionBy("uid").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
     return rows.select("uid", F.col("id").alias(side), F.col("pos").alias(f"pos_{side}"), end.cast("int").alias("end"))
 
@@ -196,12 +200,13 @@ def align(docs: DataFrame, folder: str = FOLDER, first: str = FIRST, second: str
     order = W.partitionBy("uid").orderBy("end")
     after = lambda side: (F.col(f"pos_{side}") - F.coalesce(F.lag(f"pos_{side}").over(order), F.lit(-1))).alias(f"n_{side}")
     cuts = a.hint("merge").join(b, ["uid", "end"]).select("uid", "a", "b", "pos_a", "pos_b", F.row_number().over(order).alias("grp"), after("a"), after("b"))
-    alone = F.when((F.col("n_a") == 1) & (F.col("n_b") == 1), F.concat(F.col("a").cast("string"), F.lit("|"), F.col("b").cast("string")))
+    alone = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    said = F.when(alone, F.concat(F.col("a").cast("string"), F.lit("|"), F.col("b").cast("string"))).alias("said")
     found = cuts.groupBy("uid").agg(
-        F.sort_array(F.collect_list(F.struct("grp", alone.alias("said"), "pos_a", "n_a", "pos_b", "n_b"))).alias("groups"),
+        F.sort_array(F.collect_list(F.struct("grp", said, F.when(~alone, F.struct("pos_a", "n_a", "pos_b", "n_b")).alias("of")))).alias("groups"),
         F.collect_list(F.col("a").cast("long") * SIDE + F.col("b")).alias("links"),
     )
-    part = lambda side: f"array_join(cast(slice(text.{side}, g.pos_{side} - g.n_{side} + 2, g.n_{side}) as array<string>), ',')"
+    part = lambda side: f"array_join(transform(slice(text.{side}, g.of.pos_{side} - g.of.n_{side} + 2, g.of.n_{side}), t -> cast(int(t) + {HALF} as string)), ',')"
     said = F.expr(f"array_join(transform(groups, g -> coalesce(g.said, concat({part('a')}, '|', {part('b')}))), ';')")
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     documents = dealt.join(found.hint("merge"), "uid", "left").select(
