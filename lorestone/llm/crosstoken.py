@@ -20,6 +20,7 @@ text are not read. ``docs`` should be read from files, as rows are numbered by p
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -40,7 +41,9 @@ from lorestone.llm.common import materialize
 FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose words are encoded at a time, words whose tokens a worker remembers.
-SLICE_BYTES, REMEMBERED = 1 << 22, 200_000
+SLICE_BYTES, REMEMBERED = 1 << 22, 150_000
+#: Bytes of text whose tokens a task sorts; some 50 times as much memory.
+PART_BYTES = 2 << 20
 #: More than any id of a second vocabulary; what ids are less by while they are dealt.
 SIDE, HALF = 1 << 16, 1 << 15
 #: Pairs whose counts are sent to all tasks at most.
@@ -91,36 +94,38 @@ class _Encoder:
             raise ValueError(f"a vocabulary has more than {2 * HALF} entries")
         self.first = Encoding("first", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes[0]) if b}, special_tokens={})
         self.second = SentencePieceProcessor(model_file=second)
-        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
+        self.young: dict[str, tuple[list[int], list[int], bool]] = {}
+        self.old: dict[str, tuple[list[int], list[int], bool]] = {}
 
     def words(self, words: list[str]) -> list[tuple[list[int], list[int], bool]]:
         """Ids of either side of each word with a space before it, and whether both spell that."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.known, new = {}, words
-            for w, y in zip(new, self.second.encode(new, num_threads=1), strict=True):
-                x, whole = self.first.encode_ordinary(f" {w}"), f" {w}".encode()
-                self.known[w] = (x, y, all(b"".join([of[i] for i in ids]) == whole for of, ids in zip(self.bytes, (x, y), strict=True)))
-        return [self.known[w] for w in words]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young  # what is met again stays
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young and w not in old]
+        fresh = {}
+        for w, y in zip(new, self.second.encode(new, num_threads=1), strict=True):
+            x, whole = self.first.encode_ordinary(f" {w}"), f" {w}".encode()
+            fresh[w] = (x, y, b"".join(map(self.bytes[0].__getitem__, x)) == whole and b"".join(map(self.bytes[1].__getitem__, y)) == whole)
+        young.update(fresh)
+        young.update((w, old[w]) for w in words if w in old)
+        return list(map(young.__getitem__, words))
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The texts cut at single spaces between printable ASCII characters or letters of two bytes: words, and where each text's words begin."""
-    space = np.flatnonzero(data == 32)
-    space = space[(space > 0) & (space < len(data) - 1)]
-    ends = _PRINTABLE[data[space - 1]] | _FOLLOWS[data[space - 1]] & _LETTER[data[space - 2]]
-    space = space[ends & (_PRINTABLE | _LETTER)[data[space + 1]]]
-    row = np.searchsorted(offsets, space, "right") - 1
-    space = space[(space > offsets[row]) & (space < offsets[row + 1] - 1)]
-    keep = np.ones(len(data), bool)
-    keep[space] = False
+    cut = data[1:-1] == 32
+    if len(cut) > 0:
+        cut &= (_PRINTABLE[data[:-2]] | _FOLLOWS[data[:-2]] & np.concatenate([[False], _LETTER[data[:-3]]])) & (_PRINTABLE | _LETTER)[data[2:]]
+    cut = np.concatenate([[False], cut, [False]])[: len(data)]
     full = offsets[:-1][np.diff(offsets) > 0]
-    begin = np.sort(np.concatenate([full, space]))  # of a word, before the spaces go
-    gone = np.searchsorted(space, begin)
-    ends = np.append(begin - gone, len(data) - len(space))
-    first = np.searchsorted(begin, offsets)
-    return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[keep])), first
+    cut[full] = cut[offsets[1:][np.diff(offsets) > 0] - 1] = False  # no row's first or last character
+    begins = cut.copy()
+    begins[full] = True
+    begin = np.flatnonzero(begins)
+    gone = np.cumsum(cut)
+    ends = np.append(begin - gone[begin] + cut[begin], len(data) - (gone[-1] if len(gone) else 0))
+    return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[~cut])), np.searchsorted(begin, offsets)
 
 
 def _ragged(lists: list, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +139,15 @@ def _ragged(lists: list, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
     encoder = _Encoder(first, second)
-    for batch in wv.slices(batches, most=SLICE_BYTES):
+    gc.disable()  # words' tokens are many small lists, and none is part of a cycle
+    try:
+        yield from _encoded(wv.slices(batches, most=SLICE_BYTES), encoder)
+    finally:
+        gc.enable()
+
+
+def _encoded(slices: Iterator[pa.RecordBatch], encoder: _Encoder) -> Iterator[pa.RecordBatch]:
+    for batch in slices:
         words, at = _cut(*wv.buffers(batch.column("text")))
         coded = words.dictionary_encode()
         known, pick = encoder.words(coded.dictionary.to_pylist()), coded.indices.to_numpy()
@@ -189,13 +202,15 @@ def _ends(dealt: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
     return rows.select("uid", F.col("id").alias(side), F.col("pos").alias(f"pos_{side}"), end.cast("int").alias("end"))
 
 
-def align(docs: DataFrame, folder: str = FOLDER, first: str = FIRST, second: str = SECOND) -> DataFrame:
+def align(docs: DataFrame, folder: str = FOLDER, first: str = FIRST, second: str = SECOND, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document ``(uid, doc_id, n_a, n_b, n_groups, groups_sha256, links)``, written; a link is the first id times SIDE plus the second.
 
     A cut's group is what either side has after the cut before it. Most groups are one token of either side; the
     others are taken from the document's tokens by their places."""
     spark, paths = docs.sparkSession, [str(Path(folder, name)) for name in (first, second)]
-    dealt = tokens(docs, *paths).repartition("uid").sortWithinPartitions("uid")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    dealt = tokens(docs, *paths).repartition(parts, "uid").sortWithinPartitions("uid")
     a, b = (_ends(dealt, side, _lengths(spark, of(path))) for side, of, path in zip("ab", (first_bytes, second_bytes), paths, strict=True))
     order = W.partitionBy("uid").orderBy("end")
     after = lambda side: (F.col(f"pos_{side}") - F.coalesce(F.lag(f"pos_{side}").over(order), F.lit(-1))).alias(f"n_{side}")
