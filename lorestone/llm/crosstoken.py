@@ -41,7 +41,7 @@ from lorestone.llm.common import materialize
 FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose words are encoded at a time, words whose tokens a worker remembers.
-SLICE_BYTES, REMEMBERED = 1 << 22, 150_000
+SLICE_BYTES, REMEMBERED = 1 << 21, 50_000
 #: Bytes of text whose tokens a task sorts; some 50 times as much memory.
 PART_BYTES = 2 << 20
 #: More than any id of a second vocabulary; what ids are less by while they are dealt.
