@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -177,11 +176,6 @@ def compatible(mine: Column, theirs: Column) -> Column:
     return F.coalesce(version(mine)["major"] == version(theirs)["major"], F.lit(False))
 
 
-def is_read_only(sql: str) -> bool:
-    """Whether a query has none of the words that write."""
-    return not re.search(r"(?i)\b(create|merge|delete|set|remove|detach|insert|update|drop|alter|truncate)\b", sql)
-
-
 def resplit_parts(text: Column, crumb: Column, budget: int = TOKEN_BUDGET) -> Column:
     """The parts of a text over the budget, numbered in their breadcrumbs and each with its own type."""
     pieces = resplit(text, budget)

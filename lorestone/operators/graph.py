@@ -12,6 +12,8 @@ from lorestone.sources.scratch import written
 
 #: Steps after which what was reached is written as one table, so plans stay small however deep the graph is.
 UNIONS = 16
+#: Rows that are sent to all tasks at most.
+FEW = 20_000
 EDGE_KEY = ("from_id", "to_id", "rel_type", "kind")
 
 
@@ -44,16 +46,24 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
 
 
 def reach(nodes: DataFrame, ways: DataFrame, roots: Column, depth: int | None = None) -> DataFrame:
-    """``(id, distance)`` of the nodes up to ``depth`` steps from the roots, or of all there are, one join a step."""
+    """``(id, distance)`` of the nodes up to ``depth`` steps from the roots, or of all there are, one join a step. As long as
+    a step's nodes are few, which a count shows, they are sent to the ways and to the nodes, and neither is shuffled."""
     ids = nodes.select("id")
-    found = written(nodes.filter(roots).select("id", F.lit(0).alias("distance")))
-    edge, d = found, 0
-    while depth is None or d < depth:
+    edge = written(nodes.filter(roots).select("id", F.lit(0).alias("distance")))
+    found, total, n, d = edge, edge.count(), edge.count(), 0
+    while n and (depth is None or d < depth):
         d += 1
-        near = ways.join(edge, edge["id"] == ways["here"]).select(F.col("there").alias("id")).distinct()
-        edge = written(near.join(found, "id", "left_anti").join(ids, "id", "left_semi").select("id", F.lit(d).alias("distance")))
-        if edge.isEmpty():
-            break
+        near = ways.join(F.broadcast(edge) if n <= FEW else edge, edge["id"] == ways["here"], "left_semi").select(F.col("there").alias("id")).distinct()
+        near = near.join(F.broadcast(found) if total <= FEW else found, "id", "left_anti")
+        if n <= FEW:
+            near = written(near)
+            few = near.limit(FEW + 1).count() <= FEW
+        else:
+            few = False
+        edge = ids.join(F.broadcast(near), "id", "left_semi") if few else near.join(ids, "id", "left_semi")
+        edge = written(edge.select("id", F.lit(d).alias("distance")))
+        n = edge.count()
+        total += n
         found = written(found.union(edge)) if d % UNIONS == 0 else found.union(edge)
     return found
 
@@ -118,21 +128,20 @@ def _over(old: str, new: str) -> Column:
 
 
 def one_each(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row of each key, the same on every run: maps count by their sorted entries."""
-    said = F.to_json(F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if rows.schema[c].dataType.typeName() == "map" else F.col(c) for c in rows.columns]))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(said))
+    """One row of each key, the same on every run: the one whose two 64-bit hashes are least. Maps count by their sorted entries."""
+    said = [F.array_sort(F.map_entries(c)) if rows.schema[c].dataType.typeName() == "map" else F.col(c) for c in rows.columns]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(*said), F.xxhash64(F.lit(1), *said)))
     return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
 def merge_relates(edges: DataFrame, changes: DataFrame) -> DataFrame:
-    """``edges`` with ``changes``: one edge for each pair of ends, type and kind, new properties over old ones."""
-    fresh = one_each(changes, EDGE_KEY).withColumnRenamed("properties", "new")
-    match = [edges[k].eqNullSafe(fresh[k]) for k in EDGE_KEY]
-    both = edges.select(*[F.col(k).alias(f"old_{k}") for k in EDGE_KEY], F.col("properties").alias("old")).join(fresh, [F.col(f"old_{k}").eqNullSafe(fresh[k]) for k in EDGE_KEY], "inner")
-    merged = both.select(*EDGE_KEY, _over("old", "new").alias("properties"))
-    kept = edges.join(fresh, match, "left_anti").select(*EDGE_KEY, "properties")
-    new = fresh.join(edges, match, "left_anti").select(*EDGE_KEY, F.col("new").alias("properties"))
-    return kept.unionByName(merged).unionByName(new)
+    """``edges`` with ``changes``: one edge for each pair of ends, type and kind, new properties over old ones. One full
+    join, in which an edge of no kind equals another."""
+    old = edges.select(*[F.col(k).alias(f"old_{k}") for k in EDGE_KEY], F.col("properties").alias("old"))
+    fresh = one_each(changes, EDGE_KEY).select(*[F.col(k).alias(f"new_{k}") for k in EDGE_KEY], F.col("properties").alias("new"))
+    both = old.join(fresh, [F.col(f"old_{k}").eqNullSafe(F.col(f"new_{k}")) for k in EDGE_KEY], "full")
+    kept = F.when(F.col("new_from_id").isNull(), F.col("old")).when(F.col("old_from_id").isNull(), F.col("new")).otherwise(_over("old", "new"))
+    return both.select(*[F.coalesce(f"new_{k}", f"old_{k}").alias(k) for k in EDGE_KEY], kept.alias("properties"))
 
 
 def merge_edges(edges: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -168,18 +177,18 @@ def reattach(annotations: DataFrame, nodes: DataFrame, moves: DataFrame) -> Data
     return both.withColumn("target_id", F.when(F.col("there").isNull() & F.col("new_target").isNotNull(), F.col("new_target")).otherwise(F.col("target_id"))).select(*annotations.columns)
 
 
-def annotate(annotations: DataFrame, added: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Summaries take the place of the target's last one, with its id and time of creation; others are added. Those of
-    targets that are not among the nodes, if these are given, are left out; of a batch's summaries for one target the last one counts."""
-    if nodes is not None:
-        added = added.join(nodes.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi").select(*added.columns)
+def annotate(annotations: DataFrame, added: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Summaries take the place of the target's last one, with its id and time of creation; others are added. Of a batch's
+    summaries for one target the last one counts. Those whose target is not among the nodes come back as a second table."""
+    ids = nodes.select(F.col("id").alias("target_id")).distinct()
+    lacking, added = added.join(ids, "target_id", "left_anti").select(*added.columns), added.join(ids, "target_id", "left_semi").select(*added.columns)
     last = F.row_number().over(W.partitionBy("target_id").orderBy(F.desc("created_at"), F.desc("id")))
     summaries = added.filter("kind = 'summary'").withColumn("__place", last).filter("__place = 1").drop("__place")
     added = added.filter("kind <> 'summary'").unionByName(summaries)
     old = annotations.filter("kind = 'summary'").select(F.col("target_id").alias("old_target"), F.col("id").alias("old_id"), F.col("created_at").alias("old_created"))
     fresh = added.join(old, (F.col("target_id") == F.col("old_target")) & (F.col("kind") == "summary"), "left")
     fresh = fresh.withColumn("id", F.coalesce("old_id", "id")).withColumn("created_at", F.coalesce("old_created", "created_at")).select(*annotations.columns)
-    return annotations.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+    return annotations.join(fresh.select("id"), "id", "left_anti").unionByName(fresh), lacking
 
 
 def reconcile(nodes: DataFrame, edges: DataFrame, members: DataFrame, annotations: DataFrame, parsed_docs: DataFrame, parsed_nodes: DataFrame, parsed_edges: DataFrame, now: Column, depth: int | None = None) -> dict[str, DataFrame]:

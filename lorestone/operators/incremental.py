@@ -80,8 +80,11 @@ def diff_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table with rows of the keys in ``changes`` replaced; new keys are added."""
-    return table.join(changes.select(*keys), list(keys), "left_anti").unionByName(changes)
+    """The table with rows of the keys in ``changes`` replaced; new keys are added. Of a key's rows in one batch one
+    stays, the same on every run; ``latest`` before says which."""
+    said = F.xxhash64(*[F.array_sort(F.map_entries(c)) if changes.schema[c].dataType.typeName() == "map" else F.col(c) for c in changes.columns])
+    one = latest(changes, keys, [said])
+    return table.join(one.select(*keys), list(keys), "left_anti").unionByName(one)
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -91,6 +94,25 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
+def previous(history: DataFrame) -> DataFrame:
+    """``history(file_path, content_hash, state, version, ...)`` with what the file was in the version before, if it was there."""
+    before = W.partitionBy("file_path").orderBy("version")
+    was = F.lag(F.when(F.col("state") != "deleted", F.col("content_hash"))).over(before)
+    return history.withColumn("previous_hash", was).withColumn("previous_version", F.lag("version").over(before))
+
+
+def as_of(history: DataFrame, version: int) -> DataFrame:
+    """The files as a version of the manifest had them."""
+    last = latest(history.filter(F.col("version") <= version), ["file_path"], [F.desc("version")])
+    return last.filter("state <> 'deleted'").select("file_path", "content_hash", "mtime", "chunk_count")
+
+
+def changed_between(history: DataFrame, after: int, until: int) -> DataFrame:
+    """``(file_path, state)`` of files that two versions have differently: new, deleted, changed."""
+    at = lambda v, mark: as_of(history, v).withColumnRenamed("file_path", "path").withColumn("mtime", F.lit(mark))  # noqa: E731  content alone counts
+    return diff_files(at(until, 1.0), at(after, 0.0)).filter("state in ('new', 'deleted', 'changed')").withColumnRenamed("path", "file_path")
+
+
 def touch_mtime(manifest: DataFrame, times: DataFrame) -> DataFrame:
     """New mtimes for known paths; all else stays, unknown paths are ignored."""
     new = times.select("path", F.col("mtime").alias("new_mtime"))
@@ -141,6 +163,15 @@ def job_counters(states: DataFrame) -> DataFrame:
     return done.withColumn("cache_hit_rate", hit_rate(F.col("cache_hits"), F.col("cache_misses")))
 
 
+def job_records(log: DataFrame) -> DataFrame:
+    """One row a job of ``log(job_id, job_type, status, at, error, ...)``, where each change of its status is a row: its last status, and when
+    it began and ended."""
+    rest = [c for c in log.columns if c not in ("job_id", "job_type", "status", "at")]
+    last = F.max(F.struct("at", (F.col("status") != "running").alias("over"), "status", *rest)).alias("x")
+    rows = log.groupBy("job_id", "job_type").agg(F.min("at").alias("created_at"), last)
+    return rows.select("job_id", "job_type", "x.status", "created_at", F.when(F.col("x.over"), F.col("x.at")).alias("finished_at"), *[f"x.{c}" for c in rest])
+
+
 def last_finished_job(jobs: DataFrame) -> DataFrame:
     """Of ``jobs(job_id, status, created_at, finished_at, ...)`` the completed one that ended last, with its hit rate."""
     done = jobs.filter("status = 'completed'").orderBy(F.coalesce("finished_at", "created_at").desc_nulls_last(), F.desc("job_id")).limit(1)

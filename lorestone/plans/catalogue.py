@@ -362,14 +362,15 @@ def reattach(spark, sf_dir):  # K18
 old as (select user_id, max(event_id) as old_id from e where event_type = 'view' and event_id % 2 = 0 group by 1),
 new as (select user_id, max(event_id) as new_id from e where event_type = 'view' and event_id % 2 = 1 group by 1)
 select event_id as id, user_id as target_id, event_type as kind, event_id as body from e where event_type <> 'view'
-union all select coalesce(o.old_id, n.new_id), user_id, 'view', coalesce(n.new_id, o.old_id) from old o full join new n using (user_id)""")
-def summary_replace(spark, sf_dir):  # K15: odd events are written over what the even ones left, for users that exist
+union all select coalesce(o.old_id, n.new_id), user_id, 'view', coalesce(n.new_id, o.old_id) from old o full join new n using (user_id)
+union all select event_id, user_id, event_type, event_id from events where user_id % 5 = 0 and event_id % 2 = 1""")
+def summary_replace(spark, sf_dir):  # K15: odd events are written over what the even ones left, for users that exist; what is for others comes back
     e = table(spark, sf_dir, "events").filter("user_id % 5 <> 0 or event_id % 2 = 1")
     rows = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("target_id"), F.when(F.col("event_type") == "view", "summary").otherwise(F.col("event_type")).alias("kind"), F.col("event_id").alias("body"), F.col("event_id").alias("created_at"))
     nodes = e.filter("user_id % 5 <> 0").select(F.col("user_id").alias("id")).distinct()
-    before = graph.annotate(rows.limit(0), rows.filter("id % 2 = 0"), nodes)
-    after = graph.annotate(before, rows.filter("id % 2 = 1"), nodes)
-    return after.select("id", "target_id", F.when(F.col("kind") == "summary", "view").otherwise(F.col("kind")).alias("kind"), "body")
+    before, none = graph.annotate(rows.limit(0), rows.filter("id % 2 = 0"), nodes)
+    after, lacking = graph.annotate(before, rows.filter("id % 2 = 1"), nodes)
+    return after.unionByName(lacking).unionByName(none).select("id", "target_id", F.when(F.col("kind") == "summary", "view").otherwise(F.col("kind")).alias("kind"), "body")
 
 
 @query("""with old as (select doc_id, source from documents where doc_id % 4 <> 0), new as (select doc_id, source from documents where doc_id % 3 <> 0)
@@ -461,13 +462,52 @@ def chunk_replace(spark, sf_dir):  # A9 A13 A14 A15: documents are replaced in o
     d = table(spark, sf_dir, "documents")
     rows = lambda content: d.select(F.col("doc_id").cast("string").alias("file_path"), (F.col("doc_id") % 10).alias("chunk_index"), content.alias("content"), F.col("doc_id").cast("string").alias("chunk_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
     root = scratch.folder(spark)
-    old = store.write(rows(F.col("source")), root)
+    old = store.write(rows(F.col("source")), root, 0)
     new = rows(F.upper("source")).filter("cast(file_path as bigint) % 3 = 0")
     gone = old.filter("cast(file_path as bigint) % 5 = 0 or cast(file_path as bigint) % 3 = 0").select("file_path")
-    store.write(store.replace_documents(old, new, gone, 2), root)
+    store.write(store.replace_documents(old, new, gone, 2), root, 1)
     return store.read(spark, root, "file_path string").select("file_path", "chunk_index", "content")
 
 
+@query("""select doc_id::varchar as file_path, case when doc_id % 3 = 0 then upper(source) else source end as content, 2::bigint as version from documents where doc_id % 3 = 0 or doc_id % 5 <> 0
+union all select doc_id::varchar, 'looked up', 2 from documents where doc_id = 4""")
+def bucket_replace(spark, sf_dir):  # A14 A15 A16 A17 A19 A21: documents replaced and deleted in their folders, a stale writer refused, a key looked up
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.coalesce("source", F.lit("")).alias("content"))
+    stored = store.Buckets(spark, scratch.folder(spark), "file_path string, content string", "file_path", 16)
+    first = stored.replace(d, 0)
+    number = F.col("file_path").cast("bigint")
+    again = stored.replace(d.filter(number % 3 == 0).withColumn("content", F.upper("content")), first, d.filter((number % 5 == 0) & (number % 3 != 0)))
+    try:
+        stored.replace(d, first)
+    except store.Stale:
+        rows = stored.read().unionByName(stored.lookup("4").withColumn("content", F.lit("looked up")))
+        return rows.withColumn("version", F.lit(again).cast("bigint"))
+    raise ValueError("a writer of an old version went through")
+
+
+HISTORY = "(select doc_id, 'p' || doc_id as path, sha256(coalesce(source, '')) as h, lang from documents)"
+
+
+@query(f"""with h as (select path, doc_id, unnest([{{'v': 1, 's': 'new', 'h': h}}, {{'v': 2, 's': case when doc_id % 4 = 0 then 'deleted' else 'changed' end, 'h': case when doc_id % 4 = 0 then null else h || 'x' end}}, {{'v': 3, 's': 'new', 'h': h}}]) as x from {HISTORY}),
+k as (select path, x.v as v, x.s as s, x.h as h from h where x.v = 1 or (x.v = 2 and doc_id % 2 = 0) or (x.v = 3 and doc_id % 8 = 0)),
+p as (select *, lag(h) over (partition by path order by v) as was from k)
+select 'row' as what, path as file_path, v::bigint as version, s as state, was as hash from p
+union all select 'as of 2', path, null, null, arg_max(h, v) from k where v <= 2 group by path having arg_max(s, v) <> 'deleted'
+union all select '1 to 3', path, null, case when max(v) = 2 and arg_max(s, v) = 'deleted' then 'deleted' else 'changed' end, null from k group by path having arg_max(h, v) is null or arg_max(h, v) <> arg_min(h, v) or (arg_max(s, v) = 'deleted')""")
+def manifest_history(spark, sf_dir):  # A10 D11 E9: what files were before, at a version, and between two
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("file_path"), F.sha2(F.coalesce("source", F.lit("")), 256).alias("content_hash"), F.lit(1.0).alias("mtime"), F.lit(1).alias("chunk_count"))
+    row = lambda v, state, on, content: d.filter(on).select("file_path", content.alias("content_hash"), "mtime", "chunk_count", F.lit(state).alias("state"), F.lit(v).cast("bigint").alias("version"))
+    own, k = F.col("content_hash"), F.col("doc_id")
+    past = row(1, "new", F.lit(True), own).unionByName(row(2, "deleted", k % 4 == 0, F.lit(None).cast("string"))).unionByName(row(2, "changed", (k % 2 == 0) & (k % 4 != 0), F.concat(own, F.lit("x")))).unionByName(row(3, "new", k % 8 == 0, own))
+    past = scratch.written(past)
+    none = lambda kind: F.lit(None).cast(kind)
+    return (
+        incremental.previous(past).select(F.lit("row").alias("what"), "file_path", "version", "state", F.col("previous_hash").alias("hash"))
+        .unionByName(incremental.as_of(past, 2).select(F.lit("as of 2").alias("what"), "file_path", none("bigint").alias("version"), none("string").alias("state"), F.col("content_hash").alias("hash")))
+        .unionByName(incremental.changed_between(past, 1, 3).select(F.lit("1 to 3").alias("what"), "file_path", none("bigint").alias("version"), "state", none("string").alias("hash")))
+    )
+
+
 @query("select doc_id, 'text' as kind, '' as language, '' as artifact_qualname, '' as parent_document_id, source as header_breadcrumb, source as section_breadcrumb from documents")
 def schema_evolution(spark, sf_dir):  # A11 A12
     return store.evolved_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("header_breadcrumb")))

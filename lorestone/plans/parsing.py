@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lorestone.functions import text as tx
 from lorestone.operators import chunks, graph, search, store
+from lorestone.operators import incremental
 from lorestone.operators.incremental import Rule
+from lorestone.plans import guard
 from lorestone.plans.catalogue import query, table
 from lorestone.sources import parsers
 
@@ -92,7 +94,7 @@ def python_edges(spark, sf_dir):  # A6c H20 H21 H23: imports of parsed modules r
 def openapi_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """API descriptions; of every tenth document the paths are of a wrong shape."""
     spec = (
-        '{"openapi": "3.0.0", "info": {"title": "API %d"}, "paths": {"/x": {"get": {"a": [{"$ref": "#/components/schemas/S%d"}, {"$ref": "#/components/schemas/S%d"}]}, "note": {}}}, '
+        '{"openapi": "3.0.0", "info": {"title": "API %d"}, "paths": {"/x": {"GET": {"operationId": "op%d", "summary": "Gets %l", "a": [{"$ref": "#/components/schemas/S%d"}, {"$ref": "#/components/schemas/S%d"}]}, "note": {}}}, '
         '"components": {"schemas": {"S%d": {"type": "object", "p": {"$ref": "../lib/c.yaml#/components/schemas/O"}}, "U": {"oneOf": [{"$ref": "https://far.example/s.json#/A"}]}}}}'
     )
     made = files(spark, sf_dir, "api/%d.json", spec)
@@ -163,14 +165,44 @@ def documents_with_degree(spark, sf_dir):  # C16: orders without a link count no
     return orders.join(graph.degree(edges).withColumnRenamed("id", "o_orderkey"), "o_orderkey", "left").select("o_orderkey", "o_orderpriority", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-@query("""select source, count(*) as n from documents where lang = 'en' group by source""")
-def guarded_sql(spark, sf_dir):  # B13 F7 J4: reads with parameters pass, all that writes is refused
-    text = "select source, count(*) as n from {documents} where lang = :lang group by source"
-    refused = [s for s in ("DROP table x", "insert into t select 1", "delete from t") if not tx.is_read_only(s)]
-    if not tx.is_read_only(text) or len(refused) < 3:
-        raise ValueError("the guard lets a write pass or stops a read")
+#: Texts that may not run over a table ``t``, and texts that may.
+REFUSED = (
+    "drop table t", "insert into t select * from t", "delete from t", "call x()", "refresh table t", "load data inpath 'x' into table t", "replace table t as select 1", "set a = 1", "create view v as select * from t",
+    "with a as (select 1) insert into t select * from a", "select * from other", "select * from parquet.`/etc`", "select (select max(a) from other) from t", "select reflect('java.lang.System', 'exit', 1) from t", "explain select * from t",
+    "select transform(a) using 'cat' from t", "show tables", "truncate table t", "select 1; drop table t", "from t insert into x select a",
+)
+ALLOWED = ("select 'set' as a from t", "select * from t where kind = 'delete'", "with u as (select * from t) select * from u join t using (a)", "select offset from t", "select `drop` from t", "from t |> where a > 1", "select a from t where a in (select b from t)", "values (1)")
+
+
+@query(
+    "select * from (values " + ", ".join(f"('{'r' if k < len(REFUSED) else 'a'}{k if k < len(REFUSED) else k - len(REFUSED)}', {'true' if k < len(REFUSED) else 'false'})" for k in range(len(REFUSED) + len(ALLOWED))) + ") v(name, refused) "
+    "union all select source, false from documents where lang = 'en' group by source having count(*) > 3"
+)
+def guarded_sql(spark, sf_dir):  # B13 F7 J4: which texts are refused; reads with parameters pass
+    def refused(text: str) -> bool:
+        try:
+            guard.check(spark, text, ["t"])
+        except guard.Refused:
+            return True
+        return False
+
+    rows = [(f"{k}{i}", refused(t)) for k, texts in (("r", REFUSED), ("a", ALLOWED)) for i, t in enumerate(texts)]
     language, _ = search.checked_request("en")
-    return spark.sql(text, args={"lang": language}, documents=table(spark, sf_dir, "documents"))
+    read = guard.run(spark, "select source from {documents} where lang = :lang group by source having count(*) > 3", {"lang": language}, documents=table(spark, sf_dir, "documents"))
+    return spark.createDataFrame(rows, "name string, refused boolean").union(read.select("source", F.lit(False)))
+
+
+@query("""select distinct 'node' as what, 'n' || n_nationkey as a, n_name as b, 'kb' as kind from nation union all select 'node', 'r' || r_regionkey, 'r' || r_regionkey, 'unknown' from region
+union all select 'edge', 'r' || n_regionkey, 'n' || n_nationkey, 'holds' from nation""")
+def guarded_graph(spark, sf_dir):  # J4 K25: a query's cells as nodes, each once, and edges; the federation's own node is none
+    cells = guard.run(spark, """
+      with n as (select 'n' || n_nationkey as id, n_name as label, 'kb' as kind, cast(null as string) as source, cast(null as string) as target from {nation})
+      select * from n union all select * from n
+      union all select 'r' || r_regionkey, null, null, null, null from {region}
+      union all select 'federation', 'Federation', 'kb', null, null
+      union all select null, null, 'holds', 'r' || n_regionkey, 'n' || n_nationkey from {nation}""", nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"))
+    nodes, edges = graph.graph_shape(cells)
+    return nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("label").alias("b"), "kind").union(edges.select(F.lit("edge"), "source", "target", "kind"))
 
 
 @query("""with n as (select 'c' || c_custkey as id, case c_custkey % 3 when 0 then 'document' when 1 then 'kb' else 'class' end as kind, c_custkey as k from customer)

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorestone.operators.incremental import cache_lookup, cache_put, cache_touch
+from lorestone.operators.incremental import cache_lookup, cache_put, cache_touch, upsert
+from lorestone.sources.scratch import written
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
@@ -39,11 +40,19 @@ def embed(texts: DataFrame, embedder: Embedder) -> DataFrame:
     return texts.select("content_hash", "text").mapInPandas(run, "content_hash string, text string, vector array<float>")
 
 
-def through_cache(texts: DataFrame, cache: DataFrame, model: str, dimensions: int, embedder: Embedder, now: Column) -> tuple[DataFrame, DataFrame]:
-    """``texts(key, text)`` with vectors, and the cache as it is then. Each missing text is embedded once."""
+def looked_up(texts: DataFrame, cache: DataFrame, model: str, dimensions: int, embedder: Embedder, now: Column) -> tuple[DataFrame, DataFrame]:
+    """``texts(key, text)`` with vectors, and the rows of the cache that change: those that were used, and new ones. Each
+    missing text is embedded once; what was embedded is written first."""
     looked = cache_lookup(texts, cache, model, dimensions)
     missing = looked.filter("not hit").select("content_hash", "text").dropDuplicates(["content_hash"])
-    fresh = embed(missing, embedder).select("content_hash", F.lit(model).alias("model"), F.lit(dimensions).alias("dimensions"), "vector")
+    fresh = written(embed(missing, embedder).select("content_hash", F.lit(model).alias("model"), F.lit(dimensions).alias("dimensions"), "vector"))
     new = fresh.select("content_hash", F.col("vector").alias("new_vector"))
     done = looked.join(new, "content_hash", "left").withColumn("vector", F.coalesce("vector", "new_vector")).drop("new_vector")
-    return done, cache_put(cache_touch(cache, looked, now), fresh, now)
+    used = cache.join(looked.filter("hit").select("content_hash").distinct(), "content_hash", "left_semi")
+    return done, cache_put(cache_touch(used, looked, now), fresh, now)
+
+
+def through_cache(texts: DataFrame, cache: DataFrame, model: str, dimensions: int, embedder: Embedder, now: Column) -> tuple[DataFrame, DataFrame]:
+    """``texts(key, text)`` with vectors, and the cache as it is then."""
+    done, changes = looked_up(texts, cache, model, dimensions, embedder, now)
+    return done, upsert(cache, changes, ["content_hash", "model"])

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorestone.operators.incremental import Rule, assign_rules
+from lorestone.operators.incremental import Rule
+from lorestone.sources import ignore
+from lorestone.sources.rules import Trie
 from lorestone.sources.scratch import written
 
 FILES = "path string, content binary, mtime double, size_bytes bigint, content_hash string"
@@ -33,30 +37,80 @@ def qualified(spark: SparkSession, root: str) -> str:
     return re.sub(r":/+", "://" if "file" not in str(store.getUri()) else ":///", path.makeQualified(store.getUri(), store.getWorkingDirectory()).toString(), count=1)
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, mtime, size_bytes)`` of every file below ``root``, names with a leading underscore or dot among them, which
-    Spark's own readers pass over. A job lists a level of folders, its tasks a folder each."""
-    uri = qualified(spark, root)
+LISTED = "path string, mtime double, size_bytes bigint, is_dir boolean, rule string, states array<int>, ignored boolean"
+
+
+def listing(spark: SparkSession, root: str, ignored: bool = True, rules: Sequence[Rule] | None = None, tracked: DataFrame | None = None, opened: Accumulator | None = None) -> DataFrame:
+    """``(path, mtime, size_bytes)`` of the files below ``root``, names with a leading underscore or dot among them, which
+    Spark's own readers pass over. A job lists a level of folders, its tasks a folder each. Symbolic links to folders are not followed.
+
+    What the ignore rules of the folders above exclude is left out, unless ``ignored`` is false or ``tracked(path)`` names it; with ``rules``
+    there is ``rule``, only files that they take are there, and folders where no rule is alive are not opened. ``opened`` counts folders."""
+    uri, trie = qualified(spark, root), Trie(rules) if rules is not None else None
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
-            for folder in batch["path"]:
-                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
-                rows = [(x.path[len(base) :].strip("/"), x.mtime_ns / 1e9, x.size, x.type == fs.FileType.Directory) for x in found if x.type in (fs.FileType.File, fs.FileType.Directory)]
-                yield pd.DataFrame(rows, columns=["path", "mtime", "size_bytes", "is_dir"]).astype({"size_bytes": "Int64"})
-
-    level, levels = spark.createDataFrame([("",)], "path string"), []
+            for folder, states, within in zip(batch["path"], batch["states"], batch["ignored"], strict=True):
+                if opened is not None:
+                    opened.add(1)
+                rows = []
+                for x in store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
+                    path, is_dir = x.path[len(base) :].strip("/"), x.type == fs.FileType.Directory
+                    if x.type not in (fs.FileType.File, fs.FileType.Directory) or is_dir and isinstance(store, fs.LocalFileSystem) and os.path.islink(x.path):
+                        continue
+                    below = trie.enter(states, path) if trie and is_dir else []
+                    rule = trie.match(states, path) if trie and not is_dir else None
+                    if trie is None or below or rule is not None or path.rpartition("/")[2] == ignore.NAME:
+                        rows.append((path, x.mtime_ns / 1e9, x.size, is_dir, rule, below, within))
+                yield pd.DataFrame(rows, columns=["path", "mtime", "size_bytes", "is_dir", "rule", "states", "ignored"]).astype({"size_bytes": "Int64"})
+
+    start = spark.createDataFrame([("", trie.root() if trie else [], False)], "path string, states array<int>, ignored boolean")
+    level, levels, known = start, [], None
     while True:
-        found = written(level.mapInPandas(names, "path string, mtime double, size_bytes bigint, is_dir boolean"))
-        levels.append(found.filter("not is_dir").drop("is_dir"))
-        level = found.filter("is_dir").select("path")
+        found = written(level.mapInPandas(names, LISTED))
+        if ignored:
+            known = _more_rules(found, uri, known)
+            found = _kept(found, known, tracked)
+        levels.append(found.filter("not is_dir").select("path", "mtime", "size_bytes", *(["rule"] if trie else [])))
+        level = found.filter("is_dir").select("path", "states", "ignored")
         n = level.count()
         if not n:
-            return reduce(DataFrame.union, levels)
+            out = reduce(DataFrame.union, levels)
+            return out.filter("rule is not null") if trie else out
         level = level.repartition(min(n, spark.sparkContext.defaultParallelism * 4))
 
 
+def _more_rules(found: DataFrame, uri: str, known: DataFrame | None) -> DataFrame:
+    """The rules of the levels before and of this one's ignore files, which tasks read."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path in batch["path"]:
+                with store.open_input_file(f"{base}/{path}") as file:
+                    rows = ignore.rules_of(path.rpartition("/")[0], file.readall().decode("utf-8", "replace"))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ignore.RULES.split(", ")])
+
+    own = found.filter(~F.col("is_dir") & (F.substring_index("path", "/", -1) == ignore.NAME)).select("path")
+    if own.isEmpty():
+        return known if known is not None else found.sparkSession.createDataFrame([], ignore.RULES)
+    fresh = own.mapInPandas(lines, ignore.RULES)
+    return written(fresh if known is None else known.union(fresh))
+
+
+def _kept(found: DataFrame, rules: DataFrame, tracked: DataFrame | None) -> DataFrame:
+    """Entries that are not ignored, by themselves or with their folder, and of the others tracked files and the folders above them."""
+    columns = [c.split()[0] for c in LISTED.split(", ")]
+    decided = ignore.decided(found.withColumnRenamed("ignored", "within"), rules)
+    decided = decided.withColumn("ignored", F.col("within") | F.col("ignored") | F.col("is_dir") & (F.substring_index("path", "/", -1) == ".git"))
+    if tracked is None:
+        return written(decided.filter("not ignored").select(*columns))
+    above = tracked.select(F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), k -> array_join(slice(split(path, '/'), 1, k), '/'))")).alias("path")).distinct()
+    held = decided.join(above.withColumn("held", F.lit(True)), "path", "left")
+    return written(held.filter("not ignored or held").select(*columns))
+
+
 def with_content(files: DataFrame, root: str) -> DataFrame:
     """Listed files with ``content`` and ``content_hash``, read in tasks; what has gone meanwhile is left out."""
     uri = qualified(files.sparkSession, root)
@@ -80,9 +134,9 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return with_content(listing(spark, root), root).select("path", "content", "mtime", "size_bytes", "content_hash")
 
 
-def discover(spark: SparkSession, root: str, rules: Sequence[Rule], tracked: DataFrame | None = None) -> DataFrame:
+def discover(spark: SparkSession, root: str, rules: Sequence[Rule], tracked: DataFrame | None = None, ignored: bool = True) -> DataFrame:
     """Files with their rule; of those, where ``tracked(path)`` is given, the tracked ones. Only these are read."""
-    files = assign_rules(listing(spark, root), rules)
+    files = listing(spark, root, ignored, rules, tracked)
     return with_content(files if tracked is None else files.join(tracked.select("path"), "path", "left_semi"), root)
 
 

@@ -239,10 +239,11 @@ def openapi(text: str, kb: str, path: str) -> Found:
     for route, methods in under(spec, "paths").items():
         for method, operation in methods.items() if isinstance(methods, dict) else ():
             if method.lower() in HTTP_METHODS and isinstance(operation, dict):
-                id_ = found.node(f"{found.id}::{route}::{method}", "OpenApiOperation", name=f"{method.upper()} {route}")
+                about = {"path": str(route), "method": method.lower(), "operation_id": str(operation.get("operationId") or ""), "summary": str(operation.get("summary") or "")}
+                id_ = found.node(f"{found.id}::{route}::{method.lower()}", "OpenApiOperation", name=f"{method.upper()} {route}", **about)
                 found.edge(root, id_)
                 relate(id_, operation)
-                found.chunk(f"{method.upper()} {route}", _say_yaml({route: {method: operation}}), 2, "openapi_operation", id_)
+                found.chunk(f"{method.upper()} {route}", _say_yaml({"path": route, "method": method.lower(), **operation}), 2, "openapi_operation", id_)
     for name, schema in (under(under(spec, "components"), "schemas") or under(spec, "definitions")).items():
         shape = next((k for k in ("oneOf", "anyOf", "allOf") if k in schema), schema.get("type", "object")) if isinstance(schema, dict) else "scalar"
         id_ = found.node(f"{found.id}::components/schemas/{name}", "OpenApiSchema", name=name, shape=shape)

@@ -69,7 +69,7 @@ def test_annotations_follow_the_graph(spark):
     at = "timestamp '2024-01-01'"
     notes = spark.createDataFrame([("s1", "n1", "summary"), ("g1", "n2", "gotcha")], "id string, target_id string, kind string").selectExpr("*", f"{at} as created_at", f"{at} as updated_at")
     added = spark.createDataFrame([("s2", "n1", "summary"), ("s3", "n2", "summary")], "id string, target_id string, kind string").selectExpr("*", "timestamp '2025-01-01' as created_at", "timestamp '2025-01-01' as updated_at")
-    got = {r.id: r for r in graph.annotate(notes, added).collect()}
+    got = {r.id: r for r in graph.annotate(notes, added, added.select(F.col("target_id").alias("id")))[0].collect()}
     assert set(got) == {"s1", "g1", "s3"} and got["s1"].created_at.year == 2024 and got["s1"].updated_at.year == 2025
     victims = spark.createDataFrame([("n2",)], "id string")
     left = {r.id: r.target_id for r in graph.orphan(notes, victims, F.current_timestamp()).collect()}
