@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
@@ -62,7 +63,7 @@ class Buckets:
     root: str
     schema: str
     key: str
-    wanted: int = 64
+    wanted: int = 16
 
     #: Versions whose claims are kept, for a look at what was touched.
     KEPT = 100
@@ -102,10 +103,8 @@ class Buckets:
 
     def touched(self, *keys: DataFrame) -> list[int]:
         """The folders of the keys: no more numbers than there are folders."""
-        found: set[int] = set()
-        for k in keys:
-            found |= {r[0] for r in k.select(self.place(F.col(self.key))).distinct().collect()}
-        return sorted(found)
+        places = [k.select(self.place(F.col(self.key)).alias("b")) for k in keys]
+        return sorted(r.b for r in reduce(DataFrame.union, places).distinct().collect())
 
     def replace(self, rows: DataFrame, version: int, gone: DataFrame | None = None, unique: Sequence[str] | None = None) -> int:
         """Put ``rows`` in the place of all that has their keys, or equals them in the ``unique`` columns, and take out the keys of ``gone``: the version
@@ -129,7 +128,7 @@ class Buckets:
             same = [held[k].eqNullSafe(F.col(f"__{k}")) for k in keys]
             held = held.join(rows.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), same, "left_anti")
             new = held.unionByName(rows.select(*held.columns)).withColumn("bucket", self.place(F.col(self.key)))
-            spread = new.repartition(len(buckets), "bucket")
+            spread = new.repartition(min(len(buckets), 4 * self.spark.sparkContext.defaultParallelism), "bucket")
             spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/data")
         except Exception:
             files, path = _files(self.spark, claim)
@@ -170,6 +169,8 @@ class Buckets:
 
     def sync(self, rows: DataFrame, version: int, unique: Sequence[str] | None = None) -> int:
         """Make the table equal to ``rows``: the folders of what differs are rewritten, all others are only read."""
+        if not version:
+            return self.replace(rows, version, None, unique)
         keys = list(unique or [self.key])
         names = [f.name for f in self._all().drop("bucket").schema]
         plain = lambda df: [F.array_sort(F.map_entries(c)).alias(c) if df.schema[c].dataType.typeName() == "map" else F.col(c) for c in names]

@@ -33,7 +33,7 @@ class Home:
 
     spark: SparkSession
     root: str
-    buckets: int = 64
+    buckets: int = 16
 
     def table(self, name: str) -> store.Buckets:
         schema, key = {
@@ -59,7 +59,7 @@ class Home:
 
 def index(
     spark: SparkSession, root: str, rules: Sequence[Rule], name: str, home: str, embedder: embed.Embedder, model: str, dimensions: int, now: Column, tracked: DataFrame | None = None,
-    ignored: bool = True, with_graph: bool = True, buckets: int = 64,
+    ignored: bool = True, with_graph: bool = True, buckets: int = 16,
 ) -> DataFrame:
     """Bring the tables under ``home`` up to the files under ``root``: one row of counters, which the job's record keeps too.
 
@@ -107,7 +107,7 @@ def _index(at: Home, root: str, rules: Sequence[Rule], name: str, embedder: embe
     held = cache.read(cache.touched(texts.select(F.sha2("text", 256).alias("content_hash"))))
     looked, changes = embed.looked_up(texts, held, model, dimensions, embedder, now)
     looked = written(looked.select(F.col("key").alias("chunk_id"), "vector", "hit"))
-    cache.replace(changes, versions[cache.root], unique=["content_hash", "model"])
+    cache.replace(written(changes), versions[cache.root], unique=["content_hash", "model"])
     fresh = written(store.with_vectors(rows.join(looked, "chunk_id").select(*CHUNK_COLUMNS), dimensions))
     gone = states.filter("state = 'deleted'").select(F.col("path").alias("file_path"))
     replaced = gone.union(todo.withColumnRenamed("path", "file_path"))
