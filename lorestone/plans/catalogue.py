@@ -508,6 +508,13 @@ def manifest_history(spark, sf_dir):  # A10 D11 E9: what files were before, at a
     )
 
 
+@query("""select query_id, vec_id, distance, place from (select q.vec_id as query_id, c.vec_id as vec_id, d as distance, row_number() over (partition by q.vec_id order by d, c.vec_id)::int as place
+from embeddings q, embeddings c, lateral (select round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))), 6) as d) t) where place <= 5""")
+def nearest_of_all(spark, sf_dir):  # C17: the nearest of all vectors for each of them
+    e = table(spark, sf_dir, "embeddings")
+    return search.top_k_each(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e.select("vec_id", F.col("embedding").alias("vector")), "vec_id", 5)
+
+
 @query("select doc_id, 'text' as kind, '' as language, '' as artifact_qualname, '' as parent_document_id, source as header_breadcrumb, source as section_breadcrumb from documents")
 def schema_evolution(spark, sf_dir):  # A11 A12
     return store.evolved_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("header_breadcrumb")))
