@@ -196,8 +196,9 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 
 def read_records(archives: DataFrame, folder: str) -> DataFrame:
     """RECORDS of all that the ``archives(archive)`` in ``folder`` hold, walked from end to end and written."""
-    names = archives.select("archive").distinct()
-    return materialize(names.mapInArrow(partial(_read, folder=folder), RECORDS))
+    names = materialize(archives.select("archive").distinct())
+    # as many tasks as archives: their names are small, what they stand for is not
+    return materialize(names.repartition(max(1, names.count())).mapInArrow(partial(_read, folder=folder), RECORDS))
 
 
 def _to_originals(many: DataFrame, originals: DataFrame, key: str) -> DataFrame:
@@ -261,7 +262,8 @@ def _renewed(member: bytes, original: dict | None, date: str) -> bytes:
 
 def deduplicate(resolved: DataFrame, old: str, new: str, date: str | None = None) -> DataFrame:
     """``(archive, at, length)`` of the records, written anew into archives in ``new``."""
-    rows = resolved.select("archive", "at", "length", "original").repartition("archive").sortWithinPartitions("archive", "at")
+    resolved = resolved.select("archive", "at", "length", "original")
+    rows = resolved.repartition(max(1, resolved.select("archive").distinct().count()), "archive").sortWithinPartitions("archive", "at")
     return materialize(rows.mapInArrow(partial(_rewrite, old=old, new=new, date=date or now()), INDEX))
 
 
@@ -281,7 +283,8 @@ def warc_report(pages: DataFrame, folder: str | None = None, least: int = LEAST_
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     raw, clean = (qualified(spark, f"{folder or scratch_dir(spark)}/{name}") for name in ("raw", "clean"))
     crawled = read_records(archive(pages.select("page_id", "url", "html"), raw), raw)
-    found = revisited(read_records(deduplicate(resolve(crawled, kind, least), raw, clean), clean))
+    resolved = materialize(resolve(crawled, kind, least))
+    found = revisited(read_records(deduplicate(resolved, raw, clean), clean))
     as_page: list[Column] = [F.col(c).cast(kind).alias(c) for c in ("page_id", "refers_to")]
     return found.select(as_page[0], "payload_bytes", "payload_digest", "record_type", as_page[1])
 
