@@ -11,7 +11,7 @@ from lorestone.operators import incremental
 from lorestone.operators.incremental import Rule
 from lorestone.plans import guard
 from lorestone.plans.catalogue import query, table
-from lorestone.sources import parsers
+from lorestone.sources import ignore, parsers, rules
 
 KB = "kb"
 
@@ -215,3 +215,23 @@ def kinds_shown(spark, sf_dir):  # B14: of the graph, documents and knowledge ba
     nodes = c.select(name(k).alias("id"), F.when(k % 3 == 0, "document").when(k % 3 == 1, "kb").otherwise("class").alias("kind"))
     edges = c.select(name(k).alias("from_id"), F.explode(F.array(name(k + 1), name(k + 3))).alias("to_id"))
     return graph.kind_view(nodes, edges)[1].select("from_id", "to_id")
+
+
+@query("""with f as (select distinct 'd' || doc_id % 50 || '/a/b/f' || doc_id % 2500 || '.md' as path, doc_id % 50 as d, doc_id % 2500 as n from documents),
+m as (select path, d, p_partkey as k from f left join part on p_partkey = n and p_partkey % 40 = d)
+select path, case when k is null then 'rest' else 'r' || k end as rule from m where coalesce(k % 11 <> 0, d = 1 or d between 10 and 19)""")
+def many_rules(spark, sf_dir):  # A1 B9 C4: a rule a part, all in one trie
+    parts = [r[0] for r in table(spark, sf_dir, "part").select("p_partkey").orderBy("p_partkey").collect()]
+    listed = [Rule(f"r{k}", f"d{k % 40}/**/f{k}.*", k % 11 == 0) for k in parts] + [Rule("rest", "d1*/**")]
+    name = F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string"), F.lit("/a/b/f"), (F.col("doc_id") % 2500).cast("string"), F.lit(".md"))
+    return rules.assign(table(spark, sf_dir, "documents").select(name.alias("path")).distinct(), listed)
+
+
+@query("""with f as (select doc_id as i, doc_id % 5 as d, doc_id % 3 as s, coalesce(lang, 'none') as e from documents)
+select 'd' || d || '/s' || s || '/f' || i || '.' || e as path from f where not (d = 2 and s = 1) and case when d = 3 and i = 10 then true when d = 3 and i % 10 = 0 then false when e = 'de' then d = 1 else true end""")
+def ignored_paths(spark, sf_dir):  # A2 C3: the last rule that matches wins, deeper files' rules come later, and nothing comes back from an ignored folder
+    d = table(spark, sf_dir, "documents")
+    path = F.format_string("d%d/s%d/f%d.%s", F.col("doc_id") % 5, F.col("doc_id") % 3, F.col("doc_id"), F.coalesce("lang", F.lit("none")))
+    texts = {"": "*.de\n!d1/**/*.de\n/d2/s1/\n", "d2/s1": "!*\n", "d3": "f*0.*\n!f10.*\n"}
+    known = spark.createDataFrame([r for folder, text in texts.items() for r in ignore.rules_of(folder, text)], ignore.RULES)
+    return ignore.not_ignored(d.select(path.alias("path")), known)

@@ -1,7 +1,7 @@
 """Parsers from files to documents, chunks, nodes and edges, run in tasks over batches of files.
 
 A parser is a small function of one file; ``parse`` deals the files out and the results are three
-tables. Further parsers are registered by suffix, the first that fits is used.
+tables. Markdown files, the most there are, are cut by Spark itself (``markdown``). Further parsers are registered by suffix, the first that fits is used.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from lorestone.model import HTTP_METHODS
 from lorestone.operators.chunks import with_parent
 from lorestone.operators.graph import one_each
 from lorestone.operators.incremental import Rule, rule_labels
+from lorestone.sources import markdown
 
 BODY_CHARS = 800
 RESULT = (
@@ -56,70 +58,6 @@ class Found:
         return {"path": path, "document": {"id": self.id, "label": "Document", "properties": self.properties}, "chunks": self.chunks, "nodes": self.nodes, "edges": self.edges}
 
 
-def _load_yaml(text: str) -> Any:
-    try:
-        import yaml
-    except ImportError:  # then only JSON, which is YAML too, is read
-        return json.loads(text)
-    return yaml.safe_load(text)
-
-
-def _say_yaml(value: Any) -> str:
-    try:
-        import yaml
-    except ImportError:
-        return json.dumps(value)
-    return yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
-
-
-def markdown(text: str, kb: str, path: str, split_h2: bool = False) -> Found:
-    """Sections by heading, fences left alone; with ``split_h2`` deeper sections join the one above."""
-    found = Found(kb, path, "markdown")
-    front, body = None, text
-    head = re.match(r"---\s*\n(.*?)\n---\s*(?:\n|$)", text, re.DOTALL)
-    if head:
-        try:
-            front = json.dumps(_load_yaml(head[1]), default=str)
-            body = text[head.end() :]
-        except Exception as e:  # noqa: BLE001  a header that isn't YAML is text
-            found.properties["frontmatter_error"] = type(e).__name__
-    sections, stack, lines, fenced = [], [], [], False
-
-    def close() -> None:
-        content = "\n".join(lines).strip()
-        if content:
-            crumb = " > ".join(t for _, t in stack) or "Document"
-            sections.append([crumb, content, min(len(stack), 3) or 1, [" > ".join(t for _, t in stack[: i + 1]) for i in range(len(stack) - 1)]])
-        lines.clear()
-
-    for line in body.split("\n"):
-        fenced ^= line.lstrip().startswith("```")
-        heading = None if fenced else re.match(r"(#+)\s(.*)", line)
-        if heading:
-            close()
-            while stack and stack[-1][0] >= len(heading[1]):
-                stack.pop()
-            stack.append((len(heading[1]), heading[2].strip()))
-        lines.append(line)
-    close()
-    if split_h2:
-        merged: list[list] = []
-        for s in sections:
-            if s[2] == 3 and merged:
-                merged[-1][1] += "\n\n" + s[1]
-            else:
-                merged.append(s)
-        sections = merged
-    ids = {}
-    for crumb, content, level, parents in sections:
-        section = f"{found.id}::{crumb}"
-        if crumb not in ids:
-            ids[crumb] = found.node(section, "MarkdownSection", name=crumb.rpartition(" > ")[2], breadcrumb=crumb)
-            found.edge(next((ids[p] for p in reversed(parents) if p in ids), found.id), section)
-        found.chunk(crumb, content, level, "markdown_section", section, front)
-    return found
-
-
 def _signature(n: ast.AST) -> str:
     if isinstance(n, ast.ClassDef):
         return f"class {n.name}({', '.join(map(ast.unparse, n.bases))})" if n.bases else f"class {n.name}"
@@ -216,11 +154,15 @@ def _ref_target(ref: str, kb: str, path: str) -> str:
     return f"{kb}::{where}::components/schemas/{name}" if name else f"{kb}::{where}::spec"
 
 
+def _said(value: Any) -> str:
+    return yaml.safe_dump(value, sort_keys=False, allow_unicode=True)
+
+
 def openapi(text: str, kb: str, path: str) -> Found:
     """Operations and schemas of an API description, with references between them. Parts of a wrong shape are passed over."""
     found = Found(kb, path, "openapi")
     try:
-        spec = _load_yaml(text)
+        spec = yaml.safe_load(text)
     except Exception as e:  # noqa: BLE001  whatever the reader raises, the file is malformed
         found.properties |= {"valid": "false", "error": type(e).__name__}
         return found
@@ -243,30 +185,37 @@ def openapi(text: str, kb: str, path: str) -> Found:
                 id_ = found.node(f"{found.id}::{route}::{method.lower()}", "OpenApiOperation", name=f"{method.upper()} {route}", **about)
                 found.edge(root, id_)
                 relate(id_, operation)
-                found.chunk(f"{method.upper()} {route}", _say_yaml({"path": route, "method": method.lower(), **operation}), 2, "openapi_operation", id_)
+                found.chunk(f"{method.upper()} {route}", _said({"path": route, "method": method.lower(), **operation}), 2, "openapi_operation", id_)
     for name, schema in (under(under(spec, "components"), "schemas") or under(spec, "definitions")).items():
         shape = next((k for k in ("oneOf", "anyOf", "allOf") if k in schema), schema.get("type", "object")) if isinstance(schema, dict) else "scalar"
         id_ = found.node(f"{found.id}::components/schemas/{name}", "OpenApiSchema", name=name, shape=shape)
         found.edge(root, id_)
         relate(id_, schema)
-        found.chunk(f"schemas/{name}", _say_yaml({name: schema}), 2, "openapi_schema", id_)
+        found.chunk(f"schemas/{name}", _said({name: schema}), 2, "openapi_schema", id_)
     return found
 
 
 Parser = Callable[[str, str, str], Found]
+#: Stands for Markdown files, which Spark cuts into sections.
+SECTIONS = "sections"
 #: Suffix pattern to parser, the first that fits.
-PARSERS: list[tuple[str, Parser]] = [(r"(?i)\.(md|markdown)$", markdown), (r"\.py$", python), (r"(?i)\.(ya?ml|json)$", openapi)]
+PARSERS: list[tuple[str, Parser | str]] = [(r"(?i)\.(md|markdown)$", SECTIONS), (r"\.py$", python), (r"(?i)\.(ya?ml|json)$", openapi)]
 
 
 def register(pattern: str, parser: Parser) -> None:
     PARSERS.append((pattern, parser))
 
 
-def parse(files: DataFrame, kb: str, parsers: list[tuple[str, Parser]] | None = None) -> DataFrame:
+def parse(files: DataFrame, kb: str, parsers: list[tuple[str, Parser | str]] | None = None) -> DataFrame:
     """One row a file that some parser takes, from ``files(path, content)`` and, if there is one, the column ``module``.
 
     A file that makes its parser fail is a document with ``valid`` false, and no other file suffers."""
     chosen = list(parsers or PARSERS)
+    first = F.lit(None).cast("int")
+    for k, (pattern, _) in reversed(list(enumerate(chosen))):
+        first = F.when(F.col("path").rlike(pattern), k).otherwise(first)
+    sections = [k for k, (_, parser) in enumerate(chosen) if parser == SECTIONS]
+    own = F.coalesce(first.isin(sections), F.lit(False))
     files = files if "module" in files.columns else files.withColumn("module", F.lit(None).cast("string"))
 
     def one(path: str, content: str | bytes | None, module: str | None) -> dict | None:
@@ -286,7 +235,8 @@ def parse(files: DataFrame, kb: str, parsers: list[tuple[str, Parser]] | None =
             rows = [one(p, c, m if isinstance(m, str) else None) for p, c, m in zip(batch["path"], batch["content"], batch["module"], strict=True)]
             yield pd.DataFrame([r for r in rows if r], columns=["path", "document", "chunks", "nodes", "edges"])
 
-    return files.select("path", "content", "module").mapInPandas(run, RESULT)
+    others = files.filter(first.isNotNull() & ~own).select("path", "content", "module").mapInPandas(run, RESULT)
+    return others.union(markdown.parse(files.filter(own).select("path", "content"), kb).select(*others.columns))
 
 
 def _ancestors(path: Column) -> Column:
