@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorestone.functions import text as tx
+from lorestone.functions import variants
 from lorestone.model import EDGES
 from lorestone.operators import chunks, graph, incremental, kb, search, store, sync
 from lorestone.sources import scratch
@@ -515,6 +516,32 @@ def nearest_of_all(spark, sf_dir):  # C17: the nearest of all vectors for each o
     return search.top_k_each(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), e.select("vec_id", F.col("embedding").alias("vector")), "vec_id", 5)
 
 
+@query("""select event_id, (props->>'$.k')::int as k, event_type as tag, case when event_id % 3 = 0 then true end as deep from events where event_id % 10 <> 0 and (props->>'$.k')::int > 50
+union all select -1, null, 'OBJECT<a: OBJECT<more: OBJECT<deep: BOOLEAN>, props: OBJECT<k: BIGINT>>, tags: ARRAY<STRING>>', null""")
+def nested_props(spark, sf_dir):  # H12 A8: nested properties survive as they are, are filtered on by path, and what is no JSON is null
+    e = table(spark, sf_dir, "events")
+    more = F.when(F.col("event_id") % 3 == 0, '{"deep": true}').otherwise("{}")
+    text = F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(F.concat(F.lit('{"a": {"props": '), "props", F.lit(', "more": '), more, F.lit('}, "tags": ["x", "'), "event_type", F.lit('"]}')))
+    held = e.select("event_id", variants.parsed(text).alias("v"))
+    found = held.select("event_id", variants.field(F.col("v"), "$.a.props.k", "int").alias("k"), variants.field(F.col("v"), "$.tags[1]").alias("tag"), variants.field(F.col("v"), "$.a.more.deep", "boolean").alias("deep")).filter("k > 50")
+    return found.union(spark.createDataFrame([(-1, None, variants.shape(held, "v"), None)], found.schema))
+
+
+@query("""select o_orderkey as id, '{"_type":"node","id":"o' || o_orderkey || '","labels":["A","Order"],"properties":{"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","raw":"' || lower(hex(encode(o_orderpriority))) || '","list":["' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || 'Z",null],"map":{"' || o_custkey || '":' || case when o_orderkey % 2 = 0 then 'null' else o_custkey::varchar end || '}}}' as cell from orders
+union all select -o_orderkey, '{"_type":"path","nodes":["o' || o_orderkey || '","c' || o_custkey || '"],"relationships":[{"_type":"relationship","id":"r","type":"by","start":"o' || o_orderkey || '","end":null,"properties":null}]}' from orders
+union all select 0, 'null'""")
+def coerced_values(spark, sf_dir):  # H33: nodes, relationships and paths as JSON, with days, times, bytes and maps at any depth
+    o = table(spark, sf_dir, "orders")
+    name, at = F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.col("o_orderdate").cast("timestamp")
+    held = F.struct(F.col("o_orderdate").cast("date").alias("day"), F.encode("o_orderpriority", "UTF-8").alias("raw"), F.array(at, F.lit(None).cast("timestamp")).alias("list"), F.create_map("o_custkey", F.when(F.col("o_orderkey") % 2 != 0, F.col("o_custkey"))).alias("map"))
+    nodes = variants.as_json(o.select(F.col("o_orderkey").alias("id"), variants.node_value(name, F.array(F.lit("Order"), F.lit("A")), held).alias("cell")), "cell")
+    none = F.lit(None).cast("string")
+    way = variants.path_value(F.array(name, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))), F.array(variants.relationship_value(F.lit("r"), F.lit("by"), name, none, none)))
+    paths = variants.as_json(o.select((-F.col("o_orderkey")).alias("id"), way.alias("cell")), "cell")
+    empty = variants.as_json(o.select(F.lit(0).cast("bigint").alias("id"), F.lit(None).cast("binary").alias("cell")).limit(1), "cell")
+    return nodes.unionByName(paths).unionByName(empty)
+
+
 @query("select doc_id, 'text' as kind, '' as language, '' as artifact_qualname, '' as parent_document_id, source as header_breadcrumb, source as section_breadcrumb from documents")
 def schema_evolution(spark, sf_dir):  # A11 A12
     return store.evolved_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("header_breadcrumb")))
