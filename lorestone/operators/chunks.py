@@ -19,10 +19,10 @@ def list_documents(chunks: DataFrame, document: str, order: str, first: Sequence
     return chunks.groupBy(document).agg(F.count("*").alias("chunk_count"), *[F.min_by(c, order).alias(c) for c in first])
 
 
-def get_document(chunks: DataFrame, document: str, order: str, content: str, only: Column | None = None) -> DataFrame:
-    """Documents, or the sections that ``only`` selects, with their text."""
+def get_document(chunks: DataFrame, document: str, order: str, content: str, only: Column | None = None, first: Sequence[str] = ()) -> DataFrame:
+    """Documents, or the sections that ``only`` selects, with their text and columns of their first chunk."""
     rows = chunks if only is None else chunks.filter(only)
-    return rows.groupBy(document).agg(joined(order, content).alias("content"), F.count("*").alias("chunk_count"))
+    return rows.groupBy(document).agg(joined(order, content).alias("content"), F.count("*").alias("chunk_count"), *[F.min_by(c, order).alias(c) for c in first])
 
 
 def _so_far(document: str, order: str) -> W:

@@ -165,8 +165,10 @@ def orphan(annotations: DataFrame, victims: DataFrame, now: Column) -> DataFrame
     return both.withColumn("updated_at", F.when(F.col("gone"), now).otherwise(F.col("updated_at"))).withColumn("target_id", F.when(F.col("gone").isNull(), F.col("target_id"))).select(*annotations.columns)
 
 
-def orphans(annotations: DataFrame, nodes: DataFrame) -> DataFrame:
-    return annotations.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_anti")
+def orphans(annotations: DataFrame, nodes: DataFrame, limit: int | None = None, order: Sequence[str] = ("created_at", "id")) -> DataFrame:
+    """Annotations whose target is not there: all, or the first ones in the order."""
+    found = annotations.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_anti").select(*annotations.columns)
+    return found if limit is None else found.orderBy(*order).limit(limit)
 
 
 def reattach(annotations: DataFrame, nodes: DataFrame, moves: DataFrame) -> DataFrame:

@@ -90,9 +90,10 @@ def get_document(spark, sf_dir):  # D4 F2
     return chunks.get_document(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query("select conv_id, string_agg(text, chr(10) || chr(10) order by turn, text) as content, count(*) as chunk_count from conversations where role = 'assistant' group by conv_id")
+@query("select conv_id, string_agg(text, chr(10) || chr(10) order by turn, text) as content, count(*) as chunk_count, min(turn % 3 + 1) filter (turn = first) as level from (select *, min(turn) over (partition by conv_id) as first from conversations where role = 'assistant') group by conv_id")
 def get_section(spark, sf_dir):  # D6 B3
-    return chunks.get_document(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", F.col("role") == "assistant")
+    rows = table(spark, sf_dir, "conversations").withColumn("level", F.col("turn") % 3 + 1)
+    return chunks.get_document(rows, "conv_id", "turn", "text", F.col("role") == "assistant", ["level"])
 
 
 @query("select doc_id from documents where list_has_all([lang, source], ['en', 'src3'])")
@@ -344,6 +345,13 @@ def describe_node(spark, sf_dir):  # K1 C6
     return graph.describe(nodes, edges, notes).select(F.col("id").alias("c_custkey"), "c_name", n("links_out"), n("annotations"))
 
 
+@query("select doc_id, quality from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id and d.doc_id % 7 <> 0) order by quality desc, doc_id limit 50")
+def first_orphans(spark, sf_dir):  # F5 K17: the first fifty in an order
+    live = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"))
+    notes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("target_id"), (-F.col("quality")).alias("created_at"), F.col("doc_id").alias("id"))
+    return graph.orphans(notes, live, 50).select(F.col("target_id").alias("doc_id"), (-F.col("created_at")).alias("quality"))
+
+
 @query("select doc_id from labels l where not exists (select 1 from documents d where d.doc_id = l.doc_id and d.doc_id % 7 <> 0)")
 def orphans(spark, sf_dir):  # C10 K17
     live = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"))

@@ -14,7 +14,7 @@ from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorestone.operators.incremental import Rule
+from lorestone.operators.incremental import Rule, merge_rules
 from lorestone.sources import ignore
 from lorestone.sources.rules import Trie
 from lorestone.sources.scratch import written
@@ -152,6 +152,41 @@ def read_rules(text: str) -> list[Rule]:
     return [Rule(r["ruleName"], r["match"]["glob"], r.get("exclude", False), tuple(r.get("labels", ())), (r.get("chunking") or {}).get("split_level")) for r in listed]
 
 
+#: Where a folder's own settings may be, the first that is there counts; and rules if there are none anywhere.
+SETTINGS = (".lorestone.json", "lorestone.json", ".lorestone/config.json")
+DEFAULT_RULES = (Rule("default", "**/*.md"),)
+
+
+def _loaded(text: str | None) -> dict | None:
+    """An object of settings; a plain list, as older files have, is its rules."""
+    if text is None:
+        return None
+    found = json.loads(text)
+    return {"rules": found} if isinstance(found, list) else found
+
+
+def settings(root: str, general: str | None = None, names: Sequence[str] = SETTINGS) -> dict:
+    """``rules``, ``name``, ``graph`` and what else is set for the folder ``root``: its own settings go over those of the folder ``general``,
+    rule by rule and field by field; with neither, all Markdown files are taken. Both folders are named with their scheme."""
+
+    def read(folder: str | None, name: str) -> dict | None:
+        if folder is None:
+            return None
+        store, base = fs.FileSystem.from_uri(folder)
+        if store.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+            return None
+        with store.open_input_stream(f"{base}/{name}") as file:
+            return _loaded(file.readall().decode())
+
+    shared = read(general, "config.json")
+    own = next((found for name in names if (found := read(root, name)) is not None), None)
+    if shared is None and own is None:
+        return {"rules": list(DEFAULT_RULES)}
+    fields = {k: v for part in (shared, own) for k, v in (part or {}).items() if k != "rules" and v is not None}
+    rules = [read_rules(json.dumps(part)) if part is not None else [] for part in (shared, own)]
+    return fields | {"rules": merge_rules(*rules)}
+
+
 PEERS = "name string, pid bigint, socket string, project_root string, started_at double"
 
 

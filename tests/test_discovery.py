@@ -80,3 +80,21 @@ def test_trie_agrees_with_patterns(spark):
         assert {p: trie.of(p, known) for p in paths} == {p: slowly(p, chosen) for p in paths}
     table = spark.createDataFrame([(p, 1) for p in paths] + [(None, 2)], "path string, rule int").withColumn("more", F.lit("x"))
     assert {r.path: r.rule for r in assign(table, rules[:7]).collect()} == {p: slowly(p, rules[:7]) for p in paths if slowly(p, rules[:7])}
+
+
+def test_settings_of_a_folder(tmp_path):
+    root, general = tmp_path / "kb", tmp_path / "conf"
+    (root / ".lorestone").mkdir(parents=True)
+    general.mkdir()
+    say = lambda path, text: path.write_text(text)
+    uris = f"file://{root}", f"file://{general}"
+    assert files.settings(*uris) == {"rules": [Rule("default", "**/*.md")]} and files.settings(uris[0]) == {"rules": [Rule("default", "**/*.md")]}
+    say(general / "config.json", '{"version": 1, "name": "all", "graph": {"enabled": true}, "rules": [{"ruleName": "a", "match": {"glob": "*.a"}}, {"ruleName": "b", "match": {"glob": "*.b"}}]}')
+    assert files.settings(*uris)["name"] == "all"
+    say(root / ".lorestone" / "config.json", '[{"ruleName": "b", "match": {"glob": "*.bb"}}, {"ruleName": "c", "match": {"glob": "*.c"}}]')
+    assert [(r.name, r.glob) for r in files.settings(*uris)["rules"]] == [("a", "*.a"), ("b", "*.bb"), ("c", "*.c")]
+    say(root / "lorestone.json", '{"name": "own", "graph": null, "rules": []}')
+    found = files.settings(*uris)
+    assert (found["name"], found["graph"], len(found["rules"])) == ("own", {"enabled": True}, 2)
+    say(root / ".lorestone.json", '{"rules": [{"ruleName": "z", "match": {"glob": "z"}, "exclude": true}]}')
+    assert [r.name for r in files.settings(uris[0])["rules"]] == ["z"]

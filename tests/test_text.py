@@ -13,36 +13,32 @@ from lorestone.functions import text as tx
 TEXT = st.text(alphabet="abc é.!?\n ", max_size=120)
 
 
-def merged(parts, separator, budget):
-    done, open_, used = [], [], 0
-    for p in parts:
-        n = len(p) // 4
-        if open_ and used + n > budget:
-            done.append(separator.join(open_))
-            open_, used = [p], n
-        else:
-            open_, used = [*open_, p], used + n
-    return done + [separator.join(open_)] if open_ else done
-
-
-def resplit(text, budget):
-    if len(text) // 4 <= budget:
-        return [text]
-    out = []
-    for piece in merged([p for p in re.split(r"\n\n+", text) if p.strip()], "\n\n", budget):
-        sub = [piece] if len(piece) // 4 <= budget else merged([s for s in re.split(r"(?<=[.!?])\s+", piece) if s.strip()], " ", budget)
-        for s in sub:
-            out += [s] if len(s) // 4 <= budget else [s[i : i + 4 * budget] for i in range(0, len(s), 4 * budget)]
-    return out
+SOLID = lambda t: re.sub(r"\s", "", t)
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(TEXT, min_size=20, max_size=40))
-def test_resplit(spark, texts):
+def test_resplit_keeps_all_and_stays_within_the_budget(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: (r.parts, r.words) for r in df.select("i", tx.resplit(F.col("t"), 5).alias("parts"), tx.word_count(F.col("t")).alias("words")).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == (resplit(t, 5), len(t.split()))
+        parts, words = got[i]
+        assert words == len(t.split()) and SOLID("".join(parts)) == SOLID(t)  # only blanks between pieces go
+        assert all(len(p) < 4 * 6 for p in parts)  # five tokens of four characters, and a part of one
+        if len(t) < 4 * 6:
+            assert parts == [t]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.text(alphabet="abc", max_size=30), min_size=1, max_size=12), min_size=20, max_size=30))
+def test_merged_neighbours_fit_and_no_two_could_join(spark, lists):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<string>")
+    tokens = lambda s: len(s) // 4
+    for r in df.select("x", tx.greedy_merge(F.col("x"), "|", 5).alias("pieces")).collect():
+        split = [p.split("|") for p in r.pieces]
+        assert [q for p in split for q in p] == r.x
+        assert all(len(p) == 1 or sum(map(tokens, p)) <= 5 for p in split)
+        assert all(sum(map(tokens, a)) + tokens(b[0]) > 5 for a, b in zip(split, split[1:]))
 
 
 def test_small_functions(spark):
