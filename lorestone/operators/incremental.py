@@ -196,5 +196,20 @@ def status(chunks: DataFrame, jobs: DataFrame, cache: DataFrame) -> DataFrame:
     return out
 
 
+#: Of a sketch's registers; with 12 an estimate is off by 1.6 % in two of three cases, and small numbers are exact.
+SKETCH_BITS = 12
+
+
+def sketched(rows: DataFrame, part: Column, key: str) -> DataFrame:
+    """``(part, keys, n)``: a sketch of the distinct keys of each part of a table, and its rows."""
+    return rows.groupBy(part.alias("part")).agg(F.hll_sketch_agg(key, F.lit(SKETCH_BITS)).alias("keys"), F.count("*").alias("n"))
+
+
+def from_sketches(sketches: DataFrame) -> DataFrame:
+    """One row: about how many distinct keys all parts have together, and how many rows. Reads nothing but the sketches."""
+    union = F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("keys")), F.lit(0))
+    return sketches.agg(union.alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def hit_rate(hits: Column, misses: Column) -> Column:
     return hits / F.nullif(hits + misses, F.lit(0))

@@ -550,6 +550,14 @@ def coerced_values(spark, sf_dir):  # H33: nodes, relationships and paths as JSO
     return nodes.unionByName(paths).unionByName(empty)
 
 
+@query("select count(*) as chunks, true as close from lineitem")
+def status_sketches(spark, sf_dir):  # D2 D13: distinct documents from sketches of parts, within 5 % of what counting says
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file_path"))
+    found = incremental.from_sketches(incremental.sketched(rows, F.pmod(F.xxhash64("file_path"), F.lit(8)), "file_path"))
+    exact = rows.agg(F.count_distinct("file_path").alias("exact"))
+    return found.crossJoin(F.broadcast(exact)).select(F.col("n").alias("chunks"), (F.abs(F.col("keys") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 @query("select doc_id, 'text' as kind, '' as language, '' as artifact_qualname, '' as parent_document_id, source as header_breadcrumb, source as section_breadcrumb from documents")
 def schema_evolution(spark, sf_dir):  # A11 A12
     return store.evolved_chunks(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("header_breadcrumb")))

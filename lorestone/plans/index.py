@@ -39,8 +39,9 @@ class Home:
         schema, key = {
             "chunks": (CHUNKS, "file_path"), "manifest": (MANIFEST, "file_path"), "cache": (CACHE, "content_hash"), "nodes": (NODES, "id"), "edges": (EDGES, "from_id"),
             "members": (MEMBERS, "doc_id"), "annotations": (ANNOTATIONS, "id"), "kbs": (KBS, "name"),
+            "sketches": ("place string, table_name string, keys binary, n bigint", "place"),
         }[name]
-        return store.Buckets(self.spark, f"{self.root}/{name}", schema, key, 1 if name == "kbs" else self.buckets)
+        return store.Buckets(self.spark, f"{self.root}/{name}", schema, key, 1 if name in ("kbs", "sketches") else self.buckets)
 
     def log(self, name: str, schema: str) -> DataFrame:
         """A table that is only added to."""
@@ -52,6 +53,28 @@ class Home:
         done = self.log("history", HISTORY).filter(F.col("version") <= self.table("manifest").version())
         return incremental.latest(done, ["file_path", "version"], [F.desc("at"), F.desc("content_hash")])
 
+    def status(self) -> DataFrame:
+        """One row: documents (an estimate), chunks, cached embeddings, the running job and the last one's hit rate. Reads the
+        folders' sketches and the jobs' records, never chunks."""
+        held, jobs = self.table("sketches").read(), self.jobs()
+        chunks = incremental.from_sketches(held.filter("table_name = 'chunks'")).select(F.col("keys").alias("documents"), F.col("n").alias("chunks"))
+        cache = incremental.from_sketches(held.filter("table_name = 'cache'")).select(F.col("n").alias("cache_entries"))
+        now = incremental.current_job(jobs).agg(F.max("job_id").alias("current_job"))
+        last = incremental.last_finished_job(jobs).agg(F.max("cache_hit_rate").alias("last_hit_rate"))
+        return chunks.crossJoin(cache).crossJoin(now).crossJoin(last)  # each is one row
+
+    def sketch(self, name: str, version: int) -> None:
+        """Bring the sketches of a table's folders up to its newest version, from ``version``: only what was touched since is read."""
+        table, sketches = self.table(name), self.table("sketches")
+        sketches.settle()
+        touched = sorted({b for v in range(version + 1, table.version() + 1) for b in table.changes(v)})
+        if not touched:
+            return
+        place = lambda c: F.concat(F.lit(f"{name}:"), c.cast("string"))
+        rows = incremental.sketched(table.read(touched), place(table.place(F.col(table.key))), table.key)
+        gone = self.spark.createDataFrame([(f"{name}:{b}",) for b in touched], "place string")
+        sketches.replace(written(rows.select(F.col("part").alias("place"), F.lit(name).alias("table_name"), "keys", "n")), sketches.version(), gone)
+
     def jobs(self) -> DataFrame:
         """One row a job, by its last record."""
         return incremental.job_records(self.log("jobs", JOBS))
@@ -112,6 +135,8 @@ def _index(at: Home, root: str, rules: Sequence[Rule], name: str, embedder: embe
     gone = states.filter("state = 'deleted'").select(F.col("path").alias("file_path"))
     replaced = gone.union(todo.withColumnRenamed("path", "file_path"))
     chunks.replace(fresh, versions[chunks.root], replaced)
+    for t in ("cache", "chunks"):
+        at.sketch(t, versions[at.table(t).root] - bool(lost[at.table(t).root]))  # what was settled is sketched too
     if with_graph:
         _into_graph(at, root, name, parsed, gone, now)
     counted = rows.join(looked.select("chunk_id", "hit"), "chunk_id").groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))

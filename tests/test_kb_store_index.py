@@ -143,10 +143,10 @@ def test_index_job(spark, tmp_path):
     (root / "skip.md").write_text("# no")
     calls = []
 
-    def run(at):
+    def run(at, with_graph=True):
         inner = embed.hashed_words(8)
         calls.append(at)
-        return index.index(spark, f"file://{root}", RULES, "kb", home, inner, "hash", 8, F.lit(at)).first()
+        return index.index(spark, f"file://{root}", RULES, "kb", home, inner, "hash", 8, F.lit(at), with_graph=with_graph).first()
 
     first = run(1)
     assert (first.files_total, first.files_processed, first.files_deleted, first.cache_hits) == (3, 3, 0, 0)
@@ -163,6 +163,7 @@ def test_index_job(spark, tmp_path):
     assert (again.files_skipped, again.files_processed) == (3, 0) and {n.name: contents(n) for n in tables} == before
     (root / "guide.md").unlink()
     (root / "src" / "pkg" / "core.py").write_text("x = 1\n")
+    assert [(r.documents, r.chunks, r.cache_entries, r.current_job) for r in at.status().collect()] == [(3, at.table("chunks").read().count(), at.table("cache").read().count(), None)]
     before = {n: contents(Path(home, n)) for n in ("chunks", "manifest")}
     third = run(3)
     assert (third.files_deleted, third.files_processed) == (1, 1)
@@ -177,13 +178,14 @@ def test_index_job(spark, tmp_path):
     assert [(r.status, r.files_processed) for r in at.jobs().orderBy("created_at").collect()] == [("completed", 3), ("completed", 0), ("completed", 1)]
     assert {r.file_path for r in index.Home(spark, home).table("manifest").read().collect()} == {"src/pkg/__init__.py", "src/pkg/core.py"}
     shutil.rmtree(Path(home) / "chunks")  # lost chunks: all is indexed anew, from the cache
-    fourth = run(4)
+    fourth = run(4, False)
     assert fourth.files_processed == 2 and fourth.cache_misses == 0 and fourth.cache_hit_rate == 1.0
     place = spark.range(1).select(at.table("chunks").place(F.lit("src/pkg/core.py"))).first()[0]
     shutil.rmtree(Path(home) / "chunks" / "data" / f"bucket={place}")  # a writer died within a commit: what it touched is built anew
     store._create(spark, f"{home}/chunks/_log/{at.table('chunks').version() + 1:010d}.claim", f"[{place}]")
-    fifth = run(5)
+    fifth = run(5, False)
     assert fifth.files_processed == 1 and at.table("chunks").lookup("src/pkg/core.py").count() > 0
+    assert [(r.documents, r.chunks) for r in at.status().collect()] == [(2, at.table("chunks").read().count())]
     with pytest.raises(Exception, match="dimensions"):
         (root / "new.md").write_text("# new")
         index.index(spark, f"file://{root}", RULES, "kb", home, embed.hashed_words(4), "other", 8, F.lit(6))
