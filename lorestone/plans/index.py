@@ -63,17 +63,20 @@ class Home:
         last = incremental.last_finished_job(jobs).agg(F.max("cache_hit_rate").alias("last_hit_rate"))
         return chunks.crossJoin(cache).crossJoin(now).crossJoin(last)  # each is one row
 
-    def sketch(self, name: str, version: int) -> None:
-        """Bring the sketches of a table's folders up to its newest version, from ``version``: only what was touched since is read."""
-        table, sketches = self.table(name), self.table("sketches")
+    def sketch(self, since: dict[str, int]) -> None:
+        """Bring the sketches of some tables' folders up to their newest versions, from those in ``since``: only what was touched since is read."""
+        sketches, rows, gone = self.table("sketches"), None, []
         sketches.settle()
-        touched = sorted({b for v in range(version + 1, table.version() + 1) for b in table.changes(v)})
-        if not touched:
-            return
-        place = lambda c: F.concat(F.lit(f"{name}:"), c.cast("string"))
-        rows = incremental.sketched(table.read(touched), place(table.place(F.col(table.key))), table.key)
-        gone = self.spark.createDataFrame([(f"{name}:{b}",) for b in touched], "place string")
-        sketches.replace(written(rows.select(F.col("part").alias("place"), F.lit(name).alias("table_name"), "keys", "n")), sketches.version(), gone)
+        for name, version in since.items():
+            table = self.table(name)
+            touched = sorted({b for v in range(version + 1, table.version() + 1) for b in table.changes(v)})
+            if touched:
+                place = F.concat(F.lit(f"{name}:"), table.place(F.col(table.key)).cast("string"))
+                own = incremental.sketched(table.read(touched), place, table.key).select(F.col("part").alias("place"), F.lit(name).alias("table_name"), "keys", "n")
+                rows = own if rows is None else rows.union(own)
+                gone += [(f"{name}:{b}",) for b in touched]
+        if rows is not None:
+            sketches.replace(written(rows), sketches.version(), self.spark.createDataFrame(gone, "place string"))
 
     def jobs(self) -> DataFrame:
         """One row a job, by its last record."""
@@ -135,8 +138,7 @@ def _index(at: Home, root: str, rules: Sequence[Rule], name: str, embedder: embe
     gone = states.filter("state = 'deleted'").select(F.col("path").alias("file_path"))
     replaced = gone.union(todo.withColumnRenamed("path", "file_path"))
     chunks.replace(fresh, versions[chunks.root], replaced)
-    for t in ("cache", "chunks"):
-        at.sketch(t, versions[at.table(t).root] - bool(lost[at.table(t).root]))  # what was settled is sketched too
+    at.sketch({t.root.rpartition("/")[2]: versions[t.root] - bool(lost[t.root]) for t in (cache, chunks)})  # what was settled is sketched too
     if with_graph:
         _into_graph(at, root, name, parsed, gone, now)
     counted = rows.join(looked.select("chunk_id", "hit"), "chunk_id").groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
