@@ -72,14 +72,20 @@ def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, learnable: Colu
 
 
 def fit_sample(ids: DataFrame, texts: DataFrame, rows: int, chars: int) -> tuple[list[tuple[str, object]], DataFrame]:
-    """A bounded sample of ``texts(doc_id, text)``, which may also have ``y``, to fit a model on; and the table of all
-    ``ids(doc_id, y, size)`` that it comes from.
+    """The rows of ``sample_table``, on the driver, and the table that they come from."""
+    sample, ids = sample_table(ids, texts, rows, chars)
+    return [(r["text"], r["y"]) for r in sample.orderBy("doc_id", "y").select("text", "y").collect()] if sample else [], ids
+
+
+def sample_table(ids: DataFrame, texts: DataFrame, rows: int, chars: int) -> tuple[DataFrame | None, DataFrame]:
+    """A bounded sample ``(doc_id, y, text)`` of ``texts(doc_id, text)``, which may also have ``y``, to fit a model on, or None
+    if it is empty; and the table of all ``ids(doc_id, y, size)`` that it comes from.
 
     Of each label the ``rows`` texts with the least draws by their ids, those of at most ``chars`` characters
     first. Longer ones fill up a label that has fewer, as long as the label's texts stay within rows * chars
     characters together; one that alone is longer is left out. Two passes read the texts: one for ids and lengths,
-    one for the sample. Of texts that share an id and a label the least is taken. In the order of ids; rows without
-    id, text or label are left out.
+    one for the sample. Of texts that share an id and a label the least is taken. Rows without id, text or label are
+    left out.
     """
     digest = F.sha2(F.col("doc_id").cast("string"), 256)
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
@@ -106,12 +112,12 @@ def fit_sample(ids: DataFrame, texts: DataFrame, rows: int, chars: int) -> tuple
             taken[r["y"]] = [number + 1, space - r["size"]]
             chosen.append((r["doc_id"], r["y"]))
     if not chosen:
-        return [], ids
+        return None, ids
     # at most `rows` ids of each label
     kept = F.broadcast(ids.sparkSession.createDataFrame(chosen, ids.select("doc_id", "y").schema))
     both = texts.filter(F.col("text").isNotNull()).join(kept, ["doc_id", "y"] if "y" in texts.columns else "doc_id")
     least = both.groupBy("doc_id", "y").agg(F.min(F.struct(F.length("text"), "text")).alias("x"))
-    return [(r["text"], r["y"]) for r in least.orderBy("doc_id", "y").select("x.text", "y").collect()], ids
+    return least.select("doc_id", "y", "x.text"), ids
 
 
 def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:

@@ -17,6 +17,7 @@ table gives no rows. Other columns than the id and the text are not read by a sc
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorestone.llm import wordvec as wv
-from lorestone.llm.common import crc_mod, fit_sample, labelled_ids, unused
+from lorestone.llm.common import crc_mod, labelled_ids, sample_table, unused
 
 #: Labelled rows of either label that a fit takes at most; texts of more characters come after all others.
 FIT_ROWS, FIT_CHARS = 1500, 12_000
@@ -220,16 +221,18 @@ class Network:
 
 def _distinct_texts(column: pa.Array) -> np.ndarray:
     """Rows that share none of a few least shingles with a row before."""
-    data, offsets = wv.buffers(column)
-    words = wv.split(data, offsets)
-    sets, begin = wv.shingles(wv.hashes(data, words), words.first, 3)
     seen: set[int] = set()
-    kept = []
-    for i, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
-        keys = {int(wv.mix64(sets[a:b] + np.uint64(s)).min()) ^ s for s in range(1, 5)} if b > a else set()
-        if not keys & seen:
-            kept.append(i)
-        seen |= keys
+    kept, i = [], 0
+    for batch in wv.slices(iter([pa.record_batch([column], ["text"])])):
+        data, offsets = wv.buffers(batch.column("text"))
+        words = wv.split(data, offsets)
+        sets, begin = wv.shingles(wv.hashes(data, words), words.first, 3)
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            keys = {int(wv.mix64(sets[a:b] + np.uint64(s)).min()) ^ s for s in range(1, 5)} if b > a else set()
+            if not keys & seen:
+                kept.append(i)
+            seen |= keys
+            i += 1
     return np.array(kept, np.int64)
 
 
@@ -302,11 +305,22 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Netw
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Network:
-    """Fit on at most ``rows`` documents of either label; the share of toxic ones is that of all that may be learned from."""
+    """Fit, in a task, on at most ``rows`` documents of either label; the share of toxic ones is that of all that may be
+    learned from. The driver gets the network alone."""
     ids = labelled_ids(docs, labels, "toxic", crc_mod(F.col("doc_id"), 3) != 1)
-    sample, ids = fit_sample(ids, docs.select("doc_id", "text"), rows, chars)
+    sample, ids = sample_table(ids, docs.select("doc_id", "text"), rows, chars)
+    if sample is None:
+        return fit([], [])
     share = ids.select("doc_id", "y").distinct().agg(F.avg("y")).first()[0] or 0.0
-    return fit([t for t, _ in sample], [y for _, y in sample], share)
+    one = sample.repartition(1).sortWithinPartitions("doc_id", "y").select("text", "y")
+    return pickle.loads(one.mapInArrow(partial(_fitted, share=share), "net binary").first()[0])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    if rows:
+        net = fit([t for t, _ in rows], [y for _, y in rows], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], net: Broadcast, column: str) -> Iterator[pa.RecordBatch]:

@@ -138,3 +138,19 @@ def test_hashes_of_long_texts_go_by_pieces(monkeypatch):
     whole = wordvec.hashes(data, words)
     monkeypatch.setattr(wordvec, "SLICE_BYTES", 64)
     assert (wordvec.hashes(data, words) == whole).all() and len(set(whole.tolist())) == 400
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    rows = corpus(21)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    learned = sorted(r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1)
+    want = toxicity.fit([r[1] for r in learned], [r[2] for r in learned], sum(r[2] for r in learned) / len(learned))
+
+    def on_driver(*_):
+        raise AssertionError("the driver fits the network")
+
+    # tasks import the module anew; only this process has the patch
+    monkeypatch.setattr(toxicity, "fit", on_driver)
+    net = toxicity.train(docs, labels)
+    assert (net.vocabulary == want.vocabulary).all() and (net.slope, net.shift) == pytest.approx((want.slope, want.shift), rel=1e-3)
