@@ -2,12 +2,14 @@
 
 Tokenizing is the one step in Python; the alignment is relational. Each document's tokens of either side are
 exploded with their places, a window adds up their lengths to the bytes where they end, and the two sides meet in an
-equi-join on document and end. A running count of the ends that both have, the cuts, is the group id of every token; the
-tokens that a cut joins are linked. Documents are dealt once, by row, as short arrays of token ids; joins and windows
+equi-join on document and end. The ends that both have, the cuts, are gathered by document as two places in one number each and
+sorted; a cut's place among them is the group id of the tokens up to it, and the tokens that it joins are linked. Digests and links are
+read off the ids and cuts in Arrow batches. Documents are dealt once, by row, as short arrays of token ids; joins and windows
 keep to that partitioning.
 
 The tokens of a text are those of its words: both tokenizers never put a token over a space between two
-printable ASCII or two-byte characters, so a slice of texts is cut there and each distinct word is encoded once. A text counts as
+printable ASCII or two-byte characters, so a slice of texts is cut there and each distinct word is encoded once; such words
+go to the first tokenizer as one text. A text counts as
 encoded only if every word's tokens of either side spell the word.
 
 How often an id pair is linked in the corpus is counted with partial sums; the counts go to all tasks only if they are
@@ -20,16 +22,18 @@ text are not read. ``docs`` should be read from files, as rows are numbered by p
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import cache, partial
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,9 +45,11 @@ from lorestone.llm.common import materialize
 FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose words are encoded at a time, words whose tokens a worker remembers.
-SLICE_BYTES, REMEMBERED = 1 << 21, 50_000
+SLICE_BYTES, REMEMBERED = 1 << 21, 400_000
 #: Bytes of text whose tokens a task sorts; some 50 times as much memory.
 PART_BYTES = 2 << 20
+#: Tokens that are written out for digests at a time; a longer document is taken alone.
+SAID_TOKENS = 1 << 18
 #: More than any id of a second vocabulary; what ids are less by while they are dealt.
 SIDE, HALF = 1 << 16, 1 << 15
 #: Pairs whose counts are sent to all tasks at most.
@@ -81,6 +87,38 @@ def second_bytes(path: str) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
 
+@dataclass
+class _Coded:
+    """Ids of a side's tokens, word after word, and where each word's end; or bytes of ids."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+
+    def of(self, pick: np.ndarray) -> _Coded:
+        """Of the words at ``pick``."""
+        begin = np.concatenate([[0], self.ends])[pick]
+        n = self.ends[pick] - begin
+        ends = np.cumsum(n)
+        return _Coded(self.ids[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends)
+
+    def then(self, other: _Coded) -> _Coded:
+        return _Coded(np.concatenate([self.ids, other.ids]), np.concatenate([self.ends, other.ends + len(self.ids)]))
+
+
+def _coded(lists: list) -> _Coded:
+    ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+    return _Coded(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]) if len(ends) else 0), ends)
+
+
+def _spaced(words: pa.Array) -> np.ndarray:
+    """The words' bytes, a space before each."""
+    data, offsets = wv.buffers(words)
+    out, body = np.full(len(data) + len(words), 32, np.uint8), np.ones(len(data) + len(words), bool)
+    body[offsets[:-1] + np.arange(len(words))] = False
+    out[body] = data
+    return out
+
+
 class _Encoder:
     """Both tokenizers, and the tokens of words met before. Ids go as 16-bit numbers, less HALF, so vocabularies
     may have 2 * HALF entries at most; a larger one is an error. A byte-level vocabulary's ids are the ranks of its merges."""
@@ -92,24 +130,59 @@ class _Encoder:
         self.bytes = first_bytes(first), second_bytes(second)
         if max(map(len, self.bytes)) > 2 * HALF:
             raise ValueError(f"a vocabulary has more than {2 * HALF} entries")
+        self.sizes = [np.array([len(b) for b in side]) for side in self.bytes]
+        self.flat = [_Coded(np.frombuffer(b"".join(side), np.uint8), np.cumsum(n)) for side, n in zip(self.bytes, self.sizes, strict=True)]
         self.first = Encoding("first", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes[0]) if b}, special_tokens={})
         self.second = SentencePieceProcessor(model_file=second)
-        self.young: dict[str, tuple[list[int], list[int], bool]] = {}
-        self.old: dict[str, tuple[list[int], list[int], bool]] = {}
-
-    def words(self, words: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """Ids of either side of each word with a space before it, and whether both spell that."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young  # what is met again stays
-        young, old = self.young, self.old
-        new = [w for w in words if w not in young and w not in old]
-        fresh = {}
-        for w, y in zip(new, self.second.encode(new, num_threads=1), strict=True):
-            x, whole = self.first.encode_ordinary(f" {w}"), f" {w}".encode()
-            fresh[w] = (x, y, b"".join(map(self.bytes[0].__getitem__, x)) == whole and b"".join(map(self.bytes[1].__getitem__, y)) == whole)
-        young.update(fresh)
-        young.update((w, old[w]) for w in words if w in old)
-        return list(map(young.__getitem__, words))
+        self.met = pa.array([], pa.large_string())
+        self.sides, self.spelt = [_coded([]), _coded([])], np.zeros(0, bool)
+
+    def words(self, words: pa.Array) -> tuple[list[_Coded], np.ndarray]:
+        """Ids of either side of each word with a space before it, and whether both spell that. Words are distinct."""
+        found = pc.index_in(words, value_set=self.met)
+        new = words.filter(found.is_null())
+        fresh = self._encoded(new)
+        place = found.to_numpy(zero_copy_only=False) if not found.null_count else pc.fill_null(found, -1).to_numpy()
+        place = np.where(place < 0, len(self.met) + np.cumsum(place < 0) - 1, place)
+        sides, spelt = [old.then(more) for old, more in zip(self.sides, fresh, strict=True)], np.concatenate([self.spelt, self._spell(new, fresh)])
+        out = [side.of(place) for side in sides], spelt[place]
+        if len(spelt) > REMEMBERED:  # the words at hand are what is remembered
+            self.met, self.sides, self.spelt = words, *out
+        else:
+            self.met, self.sides, self.spelt = pa.concat_arrays([self.met, new]), sides, spelt
+        return out
+
+    def _encoded(self, words: pa.Array) -> list[_Coded]:
+        listed = words.to_pylist()
+        return [self._first(words, listed), _coded(self.second.encode(listed, num_threads=1))]
+
+    def _first(self, words: pa.Array, listed: list[str]) -> _Coded:
+        """Words with the edges that texts are cut between go as one text."""
+        data, offsets = wv.buffers(words)
+        if not len(words):
+            return _coded([])
+        head, last, before = data[offsets[:-1]], data[offsets[1:] - 1], data[np.maximum(offsets[1:] - 2, offsets[:-1])]
+        plain = (_PRINTABLE | _LETTER)[head] & (_PRINTABLE[last] | _FOLLOWS[last] & _LETTER[before])
+        text = _spaced(words if plain.all() else words.filter(pa.array(plain))).tobytes().decode()
+        ids = self.first.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+        ends, want = np.cumsum(self.sizes[0][ids]), np.cumsum(np.diff(offsets)[plain] + 1)
+        at = np.searchsorted(ends, want)
+        if len(at) and (at[-1] != len(ends) - 1 or not np.array_equal(ends[at], want)):  # tokens that don't spell their words
+            return _coded([self.first.encode_ordinary(f" {w}") for w in listed])
+        alone = _coded([self.first.encode_ordinary(f" {listed[i]}") for i in np.flatnonzero(~plain).tolist()])
+        both = _Coded(ids, at + 1).then(alone)
+        return both if plain.all() else both.of(np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])))
+
+    def _spell(self, words: pa.Array, sides: list[_Coded]) -> np.ndarray:
+        """Whether both sides spell each word: their bytes are as many, and the same."""
+        out, want, whole = np.ones(len(words), bool), np.diff(wv.buffers(words)[1]) + 1, _spaced(words)
+        for of, sizes, side in zip(self.flat, self.sizes, sides, strict=True):
+            out &= np.diff(np.concatenate([[0], np.cumsum(sizes[side.ids])])[np.concatenate([[0], side.ends])]) == want
+            at = np.flatnonzero(out)
+            if len(at):
+                same = of.of(side.of(at).ids).ids == whole[np.repeat(out, want)]
+                out[at] = np.logical_and.reduceat(same, np.cumsum(want[at]) - want[at])
+        return out
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -128,35 +201,19 @@ def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[~cut])), np.searchsorted(begin, offsets)
 
 
-def _ragged(lists: list, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists at ``pick`` one after the other, and where each ends."""
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
-    begin, n = (np.cumsum(size) - size)[pick], size[pick]
-    ends = np.cumsum(n)
-    return flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
-
-
 def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
     encoder = _Encoder(first, second)
-    gc.disable()  # words' tokens are many small lists, and none is part of a cycle
-    try:
-        yield from _encoded(wv.slices(batches, most=SLICE_BYTES), encoder)
-    finally:
-        gc.enable()
-
-
-def _encoded(slices: Iterator[pa.RecordBatch], encoder: _Encoder) -> Iterator[pa.RecordBatch]:
-    for batch in slices:
+    for batch in wv.slices(batches, most=SLICE_BYTES):
         words, at = _cut(*wv.buffers(batch.column("text")))
         coded = words.dictionary_encode()
-        known, pick = encoder.words(coded.dictionary.to_pylist()), coded.indices.to_numpy()
-        spelt = np.concatenate([[0], np.cumsum(~np.array([k[2] for k in known], bool)[pick])])
-        good = spelt[at[1:]] == spelt[at[:-1]]
+        known, whole = encoder.words(coded.dictionary)
+        pick = coded.indices.to_numpy()
+        unspelt = np.concatenate([[0], np.cumsum(~whole[pick])])
+        good = unspelt[at[1:]] == unspelt[at[:-1]]
         sides = []
-        for side in (0, 1):
-            ids, ends = _ragged([k[side] for k in known], pick)
-            ends = np.concatenate([[0], ends])[at]
+        for side in known:
+            all_ = side.of(pick)
+            ids, ends = all_.ids, np.concatenate([[0], all_.ends])[at]
             size = np.where(good, np.diff(ends), 0)
             if not good.all():
                 ids = ids[np.repeat(good, np.diff(ends))]
@@ -202,34 +259,65 @@ def _ends(dealt: DataFrame, side: str, lengths: DataFrame) -> DataFrame:
     return rows.select("uid", F.col("id").alias(side), F.col("pos").alias(f"pos_{side}"), end.cast("int").alias("end"))
 
 
+@cache
+def _written() -> pa.Array:
+    """Each id in digits before a comma, then each before a bar and each before a semicolon."""
+    return pa.array([f"{i}{mark}" for mark in ",|;" for i in range(2 * HALF)])
+
+
+def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists, and how many each has; none of a null."""
+    return column.flatten().to_numpy(), pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+
+
+def _said(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, groups: np.ndarray) -> list[str]:
+    """Digest of each document's groups. ``end_*``: where the groups' tokens end; ``groups``: how many each document has."""
+    n_a, n_b, ends = np.diff(end_a, prepend=np.int32(0)), np.diff(end_b, prepend=np.int32(0)), end_a + end_b
+    ids = np.empty(len(a) + len(b), np.int32)
+    ids[np.repeat(end_b - n_b, n_a) + np.arange(len(a), dtype=np.int32)] = a
+    ids[np.repeat(end_a, n_b) + np.arange(len(b), dtype=np.int32)] = b
+    ids[ends - n_b - 1] += SIDE
+    ids[ends - 1] += 2 * SIDE
+    _, at, said = _written().take(pa.array(ids)).buffers()
+    edges = np.frombuffer(at, np.int32)[np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(groups)])]].tolist()
+    view = memoryview(said or b"")
+    return [hashlib.sha256(view[u : v - 1]).hexdigest() if v > u else "" for u, v in zip(edges[:-1], edges[1:], strict=True)]  # no mark after the last group
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents with their tokens and cuts: sizes, digest and links, some SAID_TOKENS tokens at a time."""
+    for whole in batches:
+        doc_id, *both = whole.column("text").flatten()
+        size, low = np.cumsum(sum(_list(x)[1].astype(np.int64) for x in both)), 0
+        while low < whole.num_rows:
+            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + SAID_TOKENS, "right")))
+            cuts, groups = _list(whole.column("cuts")[low:high])
+            sides = [_list(x[low:high]) for x in both]
+            ids = [x.astype(np.int32) + HALF for x, _ in sides]
+            places = [np.repeat(np.cumsum(n, dtype=np.int32) - n, groups) + place.astype(np.int32) for (_, n), place in zip(sides, (cuts >> 32, cuts & 0xFFFFFFFF), strict=True)]
+            links = ids[0][places[0]].astype(np.int64) * SIDE + ids[1][places[1]]
+            digests = _said(*ids, *(x + 1 for x in places), groups)
+            numbers = [pa.array(n.astype(np.int64)) for n in (*(n for _, n in sides), groups)]
+            columns = [whole.column("uid")[low:high], doc_id[low:high], *numbers, pa.array(digests, pa.string()), wv.list_array(links, np.concatenate([[0], np.cumsum(groups)]))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+            low = high
+
+
 def align(docs: DataFrame, folder: str = FOLDER, first: str = FIRST, second: str = SECOND, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document ``(uid, doc_id, n_a, n_b, n_groups, groups_sha256, links)``, written; a link is the first id times SIDE plus the second.
 
-    A cut's group is what either side has after the cut before it. Most groups are one token of either side; the
-    others are taken from the document's tokens by their places."""
+    A cut's group is what either side has after the cut before it."""
     spark, paths = docs.sparkSession, [str(Path(folder, name)) for name in (first, second)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     dealt = tokens(docs, *paths).repartition(parts, "uid").sortWithinPartitions("uid")
     a, b = (_ends(dealt, side, _lengths(spark, of(path))) for side, of, path in zip("ab", (first_bytes, second_bytes), paths, strict=True))
-    order = W.partitionBy("uid").orderBy("end")
-    after = lambda side: (F.col(f"pos_{side}") - F.coalesce(F.lag(f"pos_{side}").over(order), F.lit(-1))).alias(f"n_{side}")
-    cuts = a.hint("merge").join(b, ["uid", "end"]).select("uid", "a", "b", "pos_a", "pos_b", F.row_number().over(order).alias("grp"), after("a"), after("b"))
-    alone = (F.col("n_a") == 1) & (F.col("n_b") == 1)
-    said = F.when(alone, F.concat(F.col("a").cast("string"), F.lit("|"), F.col("b").cast("string"))).alias("said")
-    found = cuts.groupBy("uid").agg(
-        F.sort_array(F.collect_list(F.struct("grp", said, F.when(~alone, F.struct("pos_a", "n_a", "pos_b", "n_b")).alias("of")))).alias("groups"),
-        F.collect_list(F.col("a").cast("long") * SIDE + F.col("b")).alias("links"),
-    )
-    part = lambda side: f"array_join(transform(slice(text.{side}, g.of.pos_{side} - g.of.n_{side} + 2, g.of.n_{side}), t -> cast(int(t) + {HALF} as string)), ',')"
-    said = F.expr(f"array_join(transform(groups, g -> coalesce(g.said, concat({part('a')}, '|', {part('b')}))), ';')")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    documents = dealt.join(found.hint("merge"), "uid", "left").select(
-        "uid", "text.doc_id", size("text.a").alias("n_a"), size("text.b").alias("n_b"), F.when(F.col("groups").isNull(), 0).otherwise(F.size("groups")).cast("long").alias("n_groups"),
-        F.when(F.col("groups").isNull(), "").otherwise(F.sha2(said, 256)).alias("groups_sha256"), "links",
-    )
+    cut = F.shiftleft(F.col("pos_a").cast("long"), 32) + F.col("pos_b")  # in the order of the ends
+    cuts = a.hint("merge").join(b, ["uid", "end"]).groupBy("uid").agg(F.sort_array(F.collect_list(cut)).alias("cuts"))
+    documents = dealt.join(cuts.hint("merge"), "uid", "left").select("uid", "text", "cuts")
     with _settings(spark, SETTINGS):
-        return materialize(documents)
+        return materialize(documents.mapInArrow(_grouped, f"uid long, doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>"))
 
 
 def pair_counts(aligned: DataFrame, most: int = BROADCAST_PAIRS) -> tuple[DataFrame, bool]:

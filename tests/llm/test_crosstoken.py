@@ -98,3 +98,31 @@ def test_alignment(spark, rows, plain, most):
 def test_other_ids_and_empty_tables(spark):
     assert {(r.doc_id, r.n_groups > 0) for r in crosstoken.align_report(spark.createDataFrame([("a", "word"), ("b", None)], "doc_id string, text string")).collect()} == {("a", True), ("b", False)}
     assert crosstoken.align_report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_groups_are_written_by_batches(spark, rows, plain, monkeypatch):
+    """Windows add up lengths only, a slice of few tokens ends inside a table, and a document may be longer than a slice."""
+    plans, written = [], crosstoken.materialize
+    monkeypatch.setattr(crosstoken, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    monkeypatch.setattr(crosstoken, "SAID_TOKENS", 40)
+    docs = spark.createDataFrame(rows[:40], SCHEMA)
+    assert said(crosstoken.align_report(docs)) == plainly(rows[:40], plain)
+    assert plans[0].count("Window [") == 2 and plans[0].count("Join Inner") == 3
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([{"doc_id": d, "a": x, "b": x} for d, x in ((1, [1 - crosstoken.HALF] * 90), (2, []))], pa.struct([("doc_id", pa.int64()), ("a", pa.list_(pa.int16())), ("b", pa.list_(pa.int16()))])), pa.array([[k << 32 | k for k in range(1, 90, 2)], None], pa.list_(pa.int64()))], ["uid", "text", "cuts"])
+    found = [r for part in crosstoken._grouped(iter([batch])) for r in part.to_pylist()]
+    assert [(r["uid"], r["n_groups"], len(r["links"]), r["groups_sha256"]) for r in found] == [(7, 45, 45, hashlib.sha256(";".join(["1,1|1,1"] * 45).encode()).hexdigest()), (8, 0, 0, "")]
+
+
+@pytest.mark.parametrize("remembered", [400_000, 3])
+def test_words_met_in_an_earlier_slice_are_not_encoded_again(plain, monkeypatch, remembered):
+    monkeypatch.setattr(crosstoken, "REMEMBERED", remembered)
+    encoder = crosstoken._Encoder(*(f"{crosstoken.FOLDER}/{n}" for n in (crosstoken.FIRST, crosstoken.SECOND)))
+    encoded, inner = [], encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda words: encoded.extend(words.to_pylist()) or inner(words))
+    for words in (["stone", " x", "étude", "x▁", "harbour"], ["harbour", "日本", "stone", "a  b", " x", "x▁"], ["stone", "日本"], []):
+        sides, spelt = encoder.words(pa.array(words, pa.large_string()))
+        for k, word in enumerate(words):
+            ids = [side.of(np.array([k])).ids.tolist() for side in sides]
+            assert ids == [list(i) for i in plain(word)]
+            assert spelt[k] == all(b"".join(of[i] for i in x) == f" {word}".encode() for of, x in zip(both_bytes(), ids, strict=True))
+    assert len(encoded) == len(set(encoded)) == 7 and not spelt.size
