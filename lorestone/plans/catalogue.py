@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_at(rows: DataFrame) -> list[Column]:
+    """A row's place in storage: its file and its place there, which no split of the file changes."""
+    return [rows["_metadata.file_path"], rows["_metadata.row_index"]]
+
+
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The search's query: one row, by a pushed-down filter."""
     return table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
@@ -595,8 +600,10 @@ one as (select from_id, to_id, max_by(l_suppkey, l_linenumber) as author from l
 select from_id, to_id, 'documents' as kind, 'user:' || author as author from one""")
 def relates_link(spark, sf_dir):  # C7 C8 K11 K23: links of orders that exist, batch by batch, the others refused
     line = table(spark, sf_dir, "lineitem")
-    rows = line.select(F.concat(F.lit("o:"), "l_orderkey").alias("from_id"), F.concat(F.lit("p:"), "l_partkey").alias("to_id"), F.lit("documents").alias("kind"), F.concat(F.lit("user:"), "l_suppkey").alias("author"), F.lit("{}").alias("metadata_json"), "l_linenumber")
-    rows = incremental.latest(rows, ["from_id", "to_id"], [F.desc("l_linenumber")]).drop("l_linenumber")
+    numbered = F.col("l_linenumber").isNotNull()  # a line without a number names no author
+    rows = line.select(F.concat(F.lit("o:"), "l_orderkey").alias("from_id"), F.concat(F.lit("p:"), "l_partkey").alias("to_id"), F.lit("documents").alias("kind"), F.when(numbered, F.concat(F.lit("user:"), "l_suppkey")).alias("author"), F.lit("{}").alias("metadata_json"), "l_linenumber", *stored_at(line))
+    # of lines with one number the first in storage counts
+    rows = incremental.latest(rows, ["from_id", "to_id"], [F.col("author").isNull(), F.desc("l_linenumber"), "file_path", "row_index"]).drop("l_linenumber", "file_path", "row_index")
     orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"))
     nodes = orders.union(table(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey")))
     edges, _ = kb.link_artifacts(spark.createDataFrame([], EDGES), rows, nodes)
