@@ -220,11 +220,13 @@ def kinds_shown(spark, sf_dir):  # B14: of the graph, documents and knowledge ba
 @query("""with f as (select distinct 'd' || doc_id % 50 || '/a/b/f' || doc_id % 2500 || '.md' as path, doc_id % 50 as d, doc_id % 2500 as n from documents),
 m as (select path, d, p_partkey as k from f left join part on p_partkey = n and p_partkey % 40 = d)
 select path, case when k is null then 'rest' else 'r' || k end as rule from m where coalesce(k % 11 <> 0, d = 1 or d between 10 and 19)""")
-def many_rules(spark, sf_dir):  # A1 B9 C4: a rule a part, all in one trie
-    parts = [r[0] for r in table(spark, sf_dir, "part").select("p_partkey").orderBy("p_partkey").collect()]
-    listed = [Rule(f"r{k}", f"d{k % 40}/**/f{k}.*", k % 11 == 0) for k in parts] + [Rule("rest", "d1*/**")]
+def many_rules(spark, sf_dir):  # A1 B9 C4: a rule a part, and one after all these
+    k = F.col("p_partkey")
+    glob = F.concat(F.lit("d"), (k % 40).cast("string"), F.lit("/**/f"), k.cast("string"), F.lit(".*"))
+    listed = table(spark, sf_dir, "part").select(F.struct(F.lit(0).alias("late"), k.alias("key")).alias("place"), F.concat(F.lit("r"), k.cast("string")).alias("name"), glob.alias("glob"), (k % 11 == 0).alias("exclude"))
+    rest = spark.range(1).select(F.struct(F.lit(1).alias("late"), F.col("id").alias("key")).alias("place"), F.lit("rest").alias("name"), F.lit("d1*/**").alias("glob"), F.lit(False).alias("exclude"))
     name = F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string"), F.lit("/a/b/f"), (F.col("doc_id") % 2500).cast("string"), F.lit(".md"))
-    return rules.assign(table(spark, sf_dir, "documents").select(name.alias("path")).distinct(), listed)
+    return rules.assign_of_table(table(spark, sf_dir, "documents").select(name.alias("path")).distinct(), listed.union(rest))
 
 
 @query("""with f as (select doc_id as i, doc_id % 5 as d, doc_id % 3 as s, coalesce(lang, 'none') as e from documents)

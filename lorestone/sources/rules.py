@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lorestone.functions.text import glob_pattern
 from lorestone.operators.incremental import Rule
@@ -23,7 +24,7 @@ DEEPEST = 1024
 @dataclass
 class _Node:
     names: dict[str, int] = field(default_factory=dict)
-    globs: list[tuple[re.Pattern, str, int]] = field(default_factory=list)
+    globs: dict[str, tuple[re.Pattern, int]] = field(default_factory=dict)
     deep: int = -1  # the node that stays where it is in any folder
     stays: bool = False
     tail: int = -1  # the node that holds patterns for all of the path that is left, and stays with the place where they begin
@@ -57,11 +58,9 @@ class Trie:
                 self.nodes[node.tail].rest.append((re.compile(glob_pattern("/".join(parts[i:])), re.DOTALL), rule))
                 return
             elif "*" in part or "?" in part:
-                known = next((n for _, text, n in node.globs if text == part), None)
-                if known is None:
-                    known = self._new()
-                    self.nodes[at].globs.append((re.compile(glob_pattern(part), re.DOTALL), part, known))
-                at = known
+                if part not in node.globs:
+                    node.globs[part] = re.compile(glob_pattern(part), re.DOTALL), self._new()
+                at = node.globs[part][1]
             else:
                 if part not in node.names:
                     node.names[part] = self._new()
@@ -87,7 +86,7 @@ class Trie:
             node = self.nodes[s // DEEPEST]
             if name in node.names:
                 yield node.names[name]
-            yield from (n for pattern, _, n in node.globs if pattern.search(name))
+            yield from (n for pattern, n in node.globs.values() if pattern.search(name))
 
     def enter(self, states: Sequence[int], path: str) -> list[int]:
         """The states of a folder in one with ``states``; none if nothing below it can match, or all is excluded."""
@@ -105,7 +104,7 @@ class Trie:
         if node not in held:
             n = self.nodes[node]
             held[node] = False
-            held[node] = any(not self.rules[r].exclude for r in [*n.ends, *(r for _, r in n.rest)]) or any(self._includes(c) for c in [*n.names.values(), *(c for *_, c in n.globs), *(m for m in (n.deep, n.tail) if m >= 0)])
+            held[node] = any(not self.rules[r].exclude for r in [*n.ends, *(r for _, r in n.rest)]) or any(self._includes(c) for c in [*n.names.values(), *(c for _, c in n.globs.values()), *(m for m in (n.deep, n.tail) if m >= 0)])
         return held[node]
 
     def match(self, states: Sequence[int], path: str) -> str | None:
@@ -150,3 +149,46 @@ def assign(files: DataFrame, rules: Sequence[Rule], path: str = "path") -> DataF
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "rule")
     return files.drop("rule").mapInPandas(run, f"{schema}, rule string")
+
+
+#: Shares of the files, one of which a task tests against the rules that say nothing of a file's name.
+SHARES = 64
+#: Stands for any first folder, as no folder has this name.
+ANY = "/"
+
+
+def _key(glob: str) -> tuple[str, str]:
+    """The first folder of all paths that a glob matches, and what their names begin with; empty if the glob leaves it open."""
+    *above, name = glob.split("/")
+    wild = re.compile(r"[*?]")
+    first = above[0] if above and not wild.search(above[0]) else ANY
+    # a star pair that is a part of a component takes any number of components, the last one too
+    open_ = name == "**" or any("**" in part and part != "**" for part in (*above, name))
+    return first, "" if open_ else wild.split(name)[0]
+
+
+def assign_of_table(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """As ``assign``, by ``rules(place, name, glob, exclude)``, a table of any length: the first rule is that of the least place.
+
+    Files meet the rules of their first folder, or of any, whose names begin as theirs do, by one join on both. Rules that say
+    nothing of the name meet all files below their first folder, each share of them in another task."""
+
+    @F.pandas_udf("first string, begin string, pattern string")
+    def keyed(globs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(*_key(g), "(?s)" + glob_pattern(g)) for g in globs], columns=["first", "begin", "pattern"])
+
+    known = rules.filter("glob is not null").select("place", "name", "exclude", keyed("glob").alias("said")).select("place", "name", "exclude", "said.*")
+    shares = F.when(F.col("begin") == "", F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    known = known.select("place", "name", "exclude", "pattern", "first", "begin", F.explode(shares).alias("share"))
+
+    parts, last = F.split("__path", "/"), F.substring_index("__path", "/", -1)
+    firsts = F.when(F.size(parts) > 1, F.array(F.lit(ANY), parts[0])).otherwise(F.array(F.lit(ANY)))
+    begins = F.transform(F.sequence(F.lit(0), F.length(last)), lambda n: last.substr(F.lit(1), n))
+    paths = files.select(F.col(path).alias("__path")).filter("__path is not null").distinct()
+    asked = paths.select("__path", begins.alias("begins"), F.explode(firsts).alias("first")).select("__path", "first", F.explode("begins").alias("begin"))
+    share = F.when(F.col("begin") == "", F.pmod(F.xxhash64("__path"), F.lit(SHARES)).cast("int")).otherwise(F.lit(0))
+
+    met = asked.withColumn("share", share).join(known, ["first", "begin", "share"]).filter(F.regexp_like("__path", "pattern"))
+    include = F.when(~F.col("exclude"), F.struct("place", "name"))
+    found = met.groupBy("__path").agg(F.max("exclude").alias("out"), F.min(include).alias("x")).filter("not out").select("__path", F.col("x.name").alias("rule"))
+    return files.drop("rule").join(found, F.col(path) == F.col("__path")).drop("__path")
